@@ -32,7 +32,8 @@ BLOCK = 96  # chunks that are convolved at once
 #: Bound of the labelled sample that the model is fitted on.
 TRAIN_PER_CLASS = 1500
 EPOCHS, BATCH, RATE = 14, 32, 0.01
-THRESHOLD = 0.5
+#: Below one half, as losing a good document costs more than keeping a bad one.
+THRESHOLD = 0.25
 
 
 @dataclass

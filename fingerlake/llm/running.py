@@ -1,0 +1,28 @@
+"""Running sums over a global or per-key order without a single-task window."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def running_before(df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over the rows before, within ``keys``.
+
+    ``bucket`` must ascend with ``order``. Sums of whole buckets are accumulated
+    first, over one row a bucket; the rows are then only ordered inside their
+    bucket, so the work of a hot key is spread over its buckets.
+    """
+    names = [*keys, bucket]
+    per = df.groupBy(*names).agg(F.sum(value).alias("__sum"))
+    w = Window.partitionBy(*keys).orderBy(bucket) if keys else Window.partitionBy(F.lit(0)).orderBy(bucket)
+    per = per.withColumn("__base", F.coalesce(F.sum("__sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
+    for n in names:
+        per = per.withColumnRenamed(n, f"__k_{n}")
+    on = None
+    for n in names:
+        c = df[n].eqNullSafe(per[f"__k_{n}"])
+        on = c if on is None else on & c
+    rows = df.join(per, on).drop(*[f"__k_{n}" for n in names])
+    inner = Window.partitionBy(*names).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(out, F.col("__base") + F.coalesce(F.sum(value).over(inner), F.lit(0))).drop("__base")

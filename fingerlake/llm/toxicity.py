@@ -1,7 +1,8 @@
 """Toxic sentences, learned from document labels alone.
 
 Multiple-instance learning: a document is a bag of sentences. A sentence has the
-probability ``s = sigmoid(b + sum of its distinct words' weights)``; the
+probability ``s = sigmoid(b + sum of its distinct words' weights)``,
+where a word's weight is that of itself and of its openings; the
 document's is the noisy-or ``1 - prod(1 - s)``. Weights are fitted so that the
 noisy-or agrees with the document labels; the sentence scores then show where
 the offence is.
@@ -13,6 +14,7 @@ rows score alike; where the labels have one class only nothing is toxic.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -27,11 +29,17 @@ from pyspark.sql import types as T
 from fingerlake.llm.training import labelled_sample
 
 #: Bound of the labelled sample that the model is fitted on.
-TRAIN_PER_CLASS = 2500
-MIN_DOCS = 3
-EPOCHS, RATE, DECAY = 150, 0.15, 2e-3
+TRAIN_PER_CLASS = 2000
+MIN_DOCS = 8
+PREFIXES = (4, 5)
+EPOCHS, RATE, DECAY = 200, 0.15, 2e-4
+#: Weights below this are left out of the model.
+LEAST_WEIGHT = 0.05
 THRESHOLD = 0.5
 SENTENCE_THRESHOLD = 0.5
+#: A document is toxic only if its worst sentence reaches this: thousands of
+#: harmless sentences are no offence, though their noisy-or adds up.
+LOCATED = 0.1
 
 _SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+(?=\s|$)|[.!?]+|\n|$)")
 _WORD = re.compile(r"[^\W_]+")
@@ -47,6 +55,24 @@ def words(sentence: str) -> set[str]:
     return set(_WORD.findall(sentence.lower()))
 
 
+def features(word: str) -> list[str]:
+    """The word itself and, for inflected forms, its openings of 4 and 5 letters."""
+    return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
+
+
+class _Words(dict):
+    """Word -> weight, filled on demand; texts repeat their words."""
+
+    def __init__(self, weight: dict[str, float]):
+        self.by_feature = weight
+
+    def __missing__(self, w: str) -> float:
+        if len(self) > 500_000:
+            self.clear()
+        x = self[w] = math.fsum(self.by_feature.get(f, 0.0) for f in features(w))
+        return x
+
+
 @dataclass
 class NoisyOr:
     """``bias`` of None answers 0 for every sentence."""
@@ -54,18 +80,30 @@ class NoisyOr:
     bias: float | None = None
     weight: dict[str, float] = field(default_factory=dict)
 
+    def __post_init__(self):
+        self._word = _Words(self.weight)
+
+    def harmless(self, text: str) -> bool:
+        """True only if no sentence can reach ``LOCATED``.
+
+        A sentence's words are among the text's, so the sum of the text's
+        positive weights bounds that of any sentence.
+        """
+        if self.bias is None:
+            return True
+        most = sum(x for x in map(self._word.__getitem__, set(_WORD.findall(text.lower()))) if x > 0)
+        return self.bias + most + 1e-9 < math.log(LOCATED / (1 - LOCATED))
+
     def sentence(self, text: str) -> float:
         if self.bias is None:
             return 0.0
-        get = self.weight.get
-        s = self.bias + sum(get(w, 0.0) for w in sorted(words(text)) if w in self.weight)
-        return float(1 / (1 + np.exp(-min(max(s, -30.0), 30.0))))
+        z = self.bias + math.fsum(map(self._word.__getitem__, set(_WORD.findall(text.lower()))))
+        return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
     def document(self, text: str) -> tuple[float, list[tuple[int, str, float]]]:
         """The noisy-or, and (number, sentence, score) of each sentence."""
         scored = [(i, s, self.sentence(s)) for i, s in enumerate(sentences(text))]
-        p = 1 - float(np.exp(np.log1p(-np.clip([x[2] for x in scored], 0, 1 - 1e-12)).sum())) if scored else 0.0
-        return p, scored
+        return 1 - math.exp(math.fsum([math.log1p(-min(x[2], 1 - 1e-12)) for x in scored])), scored
 
 
 def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> NoisyOr:
@@ -73,7 +111,8 @@ def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> NoisyOr:
     y = np.array([v for _, v in rows], np.float64)
     if not len(y) or y.min() == y.max():
         return NoisyOr()
-    bags = [[words(s) for s in sentences(t)] for t, _ in rows]
+    of: dict[str, list[str]] = {}
+    bags = [[{f for w in words(s) for f in (of.get(w) or of.setdefault(w, features(w)))} for s in sentences(t)] for t, _ in rows]
     df = Counter(w for bag in bags for w in set().union(*bag))
     vocab = {w: i for i, w in enumerate(sorted(w for w, n in df.items() if n >= MIN_DOCS))}
     sent_doc, sent_ids, word_ids, n_sent = [], [], [], 0
@@ -100,14 +139,14 @@ def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> NoisyOr:
         # d(-log likelihood)/dz: (1 - s) cancels out of both classes.
         pull = np.where(y == 1, -np.exp(quiet) / np.maximum(p, 1e-9), 1.0) * cost
         g = pull[doc] * s
-        gw = np.bincount(w_of, weights=g[s_of], minlength=len(vocab)) + DECAY * w / len(y)
+        gw = np.bincount(w_of, weights=g[s_of], minlength=len(vocab)) + DECAY * w
         gb = g.sum()
         mw, vw = 0.9 * mw + 0.1 * gw, 0.99 * vw + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         c1, c2 = 1 - 0.9**t, 1 - 0.99**t
         w = w - RATE * (mw / c1) / (np.sqrt(vw / c2) + 1e-7)
         b = b - RATE * (mb / c1) / (np.sqrt(vb / c2) + 1e-7)
-    return NoisyOr(float(b), {k: float(w[i]) for k, i in vocab.items() if abs(w[i]) > 1e-3})
+    return NoisyOr(float(b), {k: float(w[i]) for k, i in vocab.items() if abs(w[i]) >= LEAST_WEIGHT})
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> NoisyOr:
@@ -132,10 +171,14 @@ def toxicity_udf(model: NoisyOr, threshold: float, sentence_threshold: float) ->
         for values in batches:
             out = []
             for v in values:
-                p, scored = model.document(v.as_py() or "")
+                text = v.as_py() or ""
+                if model.harmless(text):
+                    out.append(None)
+                    continue
+                p, scored = model.document(text)
                 hits = []
-                if p >= threshold:
-                    best = max(x[2] for x in scored)
+                best = max((x[2] for x in scored), default=0.0)
+                if p >= threshold and best >= LOCATED:
                     hits = [{"sentence_index": i, "sentence": s, "score": x} for i, s, x in scored if x >= sentence_threshold or x == best]
                 out.append({"probability": p, "offending": hits})
             yield pa.array(out, kind)
@@ -147,8 +190,8 @@ def toxic_sentences(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     """The offending sentences of the documents found toxic.
 
     ``(doc_id, toxic_probability, sentence_index, sentence, sentence_score)``; a
-    document whose noisy-or reaches ``threshold`` has at least one row: each
-    sentence of ``sentence_threshold`` or more, and always its worst.
+    document whose noisy-or reaches ``threshold`` and whose worst sentence
+    reaches ``LOCATED`` has at least one row: each sentence of ``sentence_threshold`` or more, and always its worst.
     """
     find = toxicity_udf(train(docs, labels), threshold, sentence_threshold)
     scored = docs.select("doc_id", find(F.col("text")).alias("__r"))
