@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,3 +47,127 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     else:
         raise RuntimeError("components did not converge")
     return cur.select(F.col("u").alias("id"), F.col("v").alias("component")).union(cur.select("v", "v").distinct())
+
+
+def build_edges(pairs: DataFrame, src: str = "id1", dst: str = "id2") -> DataFrame:
+    """Distinct undirected edges ``(src, dst)`` with src < dst; loops are dropped."""
+    e = pairs.select(F.least(src, dst).alias("src"), F.greatest(src, dst).alias("dst"))
+    return e.where("src is not null and dst is not null and src <> dst").distinct()
+
+
+def communities(edges: DataFrame, rounds: int = 32) -> DataFrame:
+    """``(id, community)`` by label propagation.
+
+    Every node takes the commonest label among its neighbours and itself, all at
+    once; ties go to the smallest label, so the outcome does not depend on order
+    or partitioning. Ends when no label changes, or after ``rounds``.
+    """
+    both = materialize(edges.select(F.col("src").alias("id"), F.col("dst").alias("n")).union(edges.select("dst", "src")), "adj")
+    label = materialize(both.select("id", F.col("id").alias("community")).distinct(), "label")
+    for _ in range(rounds):
+        votes = both.join(label.withColumnRenamed("id", "n"), "n").select("id", "community").union(label.select("id", "community"))
+        count = votes.groupBy("id", "community").count()
+        best = count.groupBy("id").agg(F.min_by("community", F.struct(-F.col("count"), F.col("community"))).alias("community"))
+        nxt = materialize(best, "label")
+        moved = nxt.join(label.withColumnRenamed("community", "was"), "id").where("community <> was").limit(1).count()
+        discard(label)
+        label = nxt
+        if not moved:
+            break
+    return label
+
+
+def greedy_cliques(nodes: Iterable, edges: Iterable[tuple]) -> list[list]:
+    """Take out a maximum clique until no node is left.
+
+    Of several maximum cliques the one whose sorted members are greatest is taken.
+    """
+    left = set(nodes)
+    near: dict = {v: set() for v in left}
+    for a, b in edges:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    out = []
+    while left:
+        best: list = []
+
+        def grow(clique: list, cand: set, gone: set) -> None:
+            nonlocal best
+            if not cand and not gone:
+                key = sorted(clique)
+                if (len(key), key) > (len(best), best):
+                    best = key
+                return
+            if len(clique) + len(cand) < len(best):
+                return
+            pivot = max(cand | gone, key=lambda v: (len(near[v] & cand), v))
+            for v in sorted(cand - near[pivot], reverse=True):
+                grow([*clique, v], cand & near[v], gone & near[v])
+                cand = cand - {v}
+                gone = gone | {v}
+
+        grow([], set(left), set())
+        out.append(best)
+        left -= set(best)
+        for v in best:
+            for u in near.pop(v):
+                if u in near:
+                    near[u].discard(v)
+    return out
+
+
+def cliques(edges: DataFrame, groups: DataFrame, batch: int = 1000) -> DataFrame:
+    """``(id, clique)``: nodes of each group of ``groups`` (id, group) in cliques.
+
+    A group is worked on in one task, in batches of ``batch`` nodes by id; a
+    clique is named by its smallest member. Only edges inside a group count.
+    """
+    kind = groups.schema["id"].dataType.simpleString()
+    g1, g2 = groups.select(F.col("id").alias("src"), F.col("group").alias("g1")), groups.select(F.col("id").alias("dst"), F.col("group").alias("g2"))
+    inner = edges.join(g1, "src").join(g2, "dst").where("g1 = g2").select(F.col("g1").alias("group"), "src", "dst")
+
+    def run(nodes: pa.Table, links: pa.Table) -> pa.Table:
+        ids = sorted(nodes["id"].to_pylist())
+        near = list(zip(links["src"].to_pylist(), links["dst"].to_pylist()))
+        rows, names = [], []
+        for at in range(0, len(ids), batch):
+            part = set(ids[at : at + batch])
+            for c in greedy_cliques(part, [e for e in near if e[0] in part and e[1] in part]):
+                rows += c
+                names += [min(c)] * len(c)
+        typ = nodes.schema.field("id").type
+        return pa.table([pa.array(rows, typ), pa.array(names, typ)], names=["id", "clique"])
+
+    return groups.groupBy("group").cogroup(inner.groupBy("group")).applyInArrow(run, f"id {kind}, clique {kind}")
+
+
+def pairs_to_clusters(ids: DataFrame, pairs: DataFrame, strictness: str = "clique", batch: int = 1000, id_col: str = "id") -> DataFrame:
+    """``(id, cluster)`` for every id; ids without a pair are clusters of one.
+
+    ``component``: connected; ``community``: label propagation inside components;
+    ``clique``: everyone paired with everyone. Clusters are named by their
+    smallest member, so numbering needs no global sort; see :func:`numbered`.
+    """
+    if strictness not in ("clique", "community", "component"):
+        raise ValueError("strictness must be clique, community or component")
+    edges = build_edges(pairs)
+    if strictness == "component":
+        lab = connected_components(edges).select("id", F.col("component").alias("cluster"))
+    else:
+        edges = materialize(edges, "edges")
+        lab = communities(edges)
+        if strictness == "community":
+            # A label can name a node that has left; the smallest member does not.
+            lab = lab.select("id", F.min("id").over(Window.partitionBy("community")).alias("cluster"))
+        else:
+            lab = cliques(edges, lab.select("id", F.col("community").alias("group")), batch).select("id", F.col("clique").alias("cluster"))
+    every = ids.select(F.col(id_col).alias("id")).where("id is not null").distinct()
+    return every.join(lab, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+
+
+def numbered(clusters: DataFrame) -> DataFrame:
+    """Clusters numbered 0 up in order of their names; one row a cluster is ranked."""
+    names = clusters.select("cluster").distinct()
+    rank = names.withColumn("n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("cluster")).cast("long") - 1)
+    return clusters.join(rank, "cluster").select("id", F.col("n").alias("cluster"))

@@ -1,13 +1,373 @@
-"""Named queries of the library over the driver's tables, and their SQL."""
+"""Named queries of the library over the driver's tables, and their SQL.
+
+The tables stand in for media: ``embeddings`` are hash vectors (sign bits are
+bool hashes, min-max scaled values uint8 hashes, five consecutive vec_ids one
+multi-hash file), ``events`` are frames of one video for each user, and a copy of
+the vectors with every eighth element zeroed is the transformed side.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from fingerlake.functions import codecs, distance, vectors
+from fingerlake.operators import evaluation, graph, knn, similarity, video
+from fingerlake.sources.tables import table
+
+L2, HAMMING, U8 = 1.12, 0.3125, 460.0
+
+
+def _emb(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+
+
+def _bits(spark: SparkSession, sf: str) -> DataFrame:
+    return _emb(spark, sf).withColumn("vec", vectors.sign_bits("vec"))
+
+
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    return _emb(spark, sf).select(F.floor(F.col("id") / 5).cast("long").alias("id"), (F.col("id") % 5).alias("sub"), "vec")
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.md5("text").alias("h"))
+
+
+def codec_hex_to_b64(spark, sf):
+    return _texts(spark, sf).select("doc_id", codecs.hex_to_base64(F.col("h")).alias("b64"))
+
+
+def codec_b64_to_hex(spark, sf):
+    return _texts(spark, sf).select("doc_id", codecs.base64_to_hex(F.base64(F.unhex("h"))).alias("hex"))
+
+
+def codec_string_length(spark, sf):
+    n = F.col("n_chars")
+    return table(spark, sf, "documents").select("doc_id", codecs.string_length(n, "bool", "hex").alias("bool_hex"), codecs.string_length(n, "float32", "base64").alias("float_b64"), codecs.string_length(n, "uint8", "base64").alias("u8_b64"))
+
+
+def codec_bits_to_hex(spark, sf):
+    return _bits(spark, sf).select("id", codecs.vector_to_string("bool", "hex")(F.transform("vec", lambda x: x == 1)).alias("hex"))
+
+
+def _adjacent(spark, sf, vec=None):
+    e = _emb(spark, sf) if vec is None else _emb(spark, sf).withColumn("vec", vec)
+    return e.select("id", "vec").join(e.select((F.col("id") - 1).alias("id"), F.col("vec").alias("other")), "id")
+
+
+def dist_l2(spark, sf):
+    return _adjacent(spark, sf).select("id", F.round(distance.distance("euclidean", "vec", "other"), 6).alias("d"))
+
+
+def dist_sql2(spark, sf):
+    return _adjacent(spark, sf).select("id", F.round(distance.distance("sqeuclidean", "vec", "other"), 6).alias("d"))
+
+
+def dist_cosine(spark, sf):
+    return _adjacent(spark, sf).select("id", F.round(distance.distance("cosine", "vec", "other"), 6).alias("d"))
+
+
+def dist_hamming(spark, sf):
+    words = vectors.pack_words(vectors.sign_bits("vec"), 64)
+    return _adjacent(spark, sf, words).select("id", distance.hamming_words(F.col("vec"), F.col("other"), 64).alias("d"))
+
+
+def dedup_hamming_pairs(spark, sf):
+    return similarity.threshold_pairs(_bits(spark, sf), HAMMING, "hamming").select("id1", "id2", F.round("distance", 6).alias("distance"))
+
+
+def dedup_hamming_bands(spark, sf):
+    """Few allowed bits: equi-joined bands instead of all pairs."""
+    near = F.transform("vec", lambda x, i: F.when((i % 16) == 0, -x).otherwise(x))
+    e = _emb(spark, sf)
+    both = e.select(F.col("id") * 2, "vec").toDF("id", "vec").union(e.select(F.col("id") * 2 + 1, near))
+    words = both.select("id", vectors.pack_words(vectors.sign_bits("vec"), 64).alias("words"))
+    return similarity.hamming_pairs(words, 0.07, 64).select("id1", "id2", F.round("distance", 6).alias("distance"))
+
+
+def dedup_l2_pairs(spark, sf):
+    return similarity.threshold_pairs(_emb(spark, sf), L2).select("id1", "id2", F.round("distance", 6).alias("distance"))
+
+
+def _u8(spark, sf):
+    return _emb(spark, sf).withColumn("vec", vectors.to_uint8("vec"))
+
+
+def dedup_u8_pairs(spark, sf):
+    return similarity.threshold_pairs(_u8(spark, sf), U8 * U8, "sqeuclidean").select("id1", "id2", F.col("distance").cast("long").alias("squared"))
+
+
+def dedup_by_category(spark, sf):
+    return similarity.threshold_pairs(_emb(spark, sf), L2, by=["label"]).select("id1", "id2")
+
+
+def dedup_survivors(spark, sf):
+    e = _emb(spark, sf)
+    return similarity.drop_duplicates(e, similarity.threshold_pairs(e, L2, by=["label"])).select("id", "label")
+
+
+def dedup_union(spark, sf):
+    return similarity.union_pairs(similarity.threshold_pairs(_emb(spark, sf), L2), similarity.threshold_pairs(_bits(spark, sf), HAMMING, "hamming"))
+
+
+def overlap_counts(spark, sf):
+    return similarity.overlap_counts(_files(spark, sf), L2).select("id1", "id2", "overlap1", "overlap2", F.round("fraction1", 6).alias("fraction1"), F.round("fraction2", 6).alias("fraction2"))
+
+
+def overlap_dense(spark, sf):
+    return similarity.overlap_counts(_files(spark, sf), L2, dense=True).groupBy("overlap1", "overlap2").agg(F.count("*").alias("n"))
+
+
+def overlap_pairs(spark, sf):
+    return similarity.overlap_pairs(_files(spark, sf), L2, 0.2)
+
+
+def cross_overlap_pairs(spark, sf):
+    f = _files(spark, sf)
+    return similarity.cross_overlap_pairs(f.where("id % 4 = 0"), f, L2, 0.2)
+
+
+def _pairs(spark, sf):
+    return similarity.threshold_pairs(_bits(spark, sf), HAMMING, "hamming")
+
+
+def cluster_component(spark, sf):
+    return graph.pairs_to_clusters(_emb(spark, sf), _pairs(spark, sf), "component")
+
+
+def cluster_numbered(spark, sf):
+    return graph.numbered(cluster_component(spark, sf))
+
+
+def cluster_community(spark, sf):
+    return graph.pairs_to_clusters(_emb(spark, sf), _pairs(spark, sf), "community")
+
+
+def cluster_clique(spark, sf):
+    return graph.pairs_to_clusters(_emb(spark, sf), _pairs(spark, sf), "clique")
+
+
+def _knn_sides(spark, sf):
+    e = _emb(spark, sf)
+    return e.where("id % 10 = 0").select(F.col("id").alias("qid"), "vec"), e.where("id % 10 <> 0").select("id", "vec")
+
+
+def knn_topk(spark, sf):
+    return knn.knn(*_knn_sides(spark, sf), k=5).select("qid", "rank", "id", F.round("distance", 6).alias("distance"))
+
+
+def knn_threshold_metadata(spark, sf):
+    m = knn.with_metadata(knn.knn(*_knn_sides(spark, sf), k=5, threshold=L2), _emb(spark, sf), ["label"])
+    return m.select("qid", F.explode("matches").alias("m")).select("qid", F.col("m.id").alias("id"), F.col("m.metadata")["label"].alias("label"))
+
+
+def metadata_lookup(spark, sf):
+    docs = table(spark, sf, "documents")
+    return knn.lookup(docs, docs.where("doc_id % 7 = 0"), ["lang", "source"], "doc_id")
+
+
+def ivf_recall(spark, sf):
+    q, v = _knn_sides(spark, sf)
+    index = knn.build_index(v, 0.5)
+    want = knn.knn(q, v, 1).select("qid", F.col("id").alias("want"))
+    return want.join(index.search(q, 1).select("qid", "id"), "qid", "left").agg(F.round(F.avg(F.coalesce((F.col("id") == F.col("want")).cast("int"), F.lit(0))), 4).alias("recall"), F.count("*").alias("n"))
+
+
+def _hashes(spark, sf):
+    e = _emb(spark, sf).where("id < 200")
+    noop = e.select(F.col("id").alias("guid"), F.lit("noop").alias("transform_name"), F.lit("sign").alias("hasher_name"), (F.col("label") % 3).alias("category"), "vec")
+    weak = F.transform("vec", lambda x, i: F.when(i % 2 == 0, F.lit(0.0).cast("float")).otherwise(x))
+    harsh = F.transform("vec", lambda x, i: F.when(i % 8 == 0, x).otherwise(F.lit(0.0).cast("float")))
+    return noop.union(noop.withColumn("transform_name", F.lit("half")).withColumn("vec", weak)).union(noop.withColumn("transform_name", F.lit("most")).withColumn("vec", harsh))
+
+
+def metrics_distances(spark, sf):
+    m = evaluation.metrics(_hashes(spark, sf))
+    r = lambda c: F.round(c, 6).alias(c)
+    return m.select("guid", "transform_name", "hasher_name", "category", r("distance_to_closest_correct_image"), r("distance_to_closest_incorrect_image"), r("distance_to_closest_image"), "closest_incorrect_guid")
+
+
+def _recall(spark, sf, grouping):
+    m = metrics_distances(spark, sf)
+    t = evaluation.threshold_recall(m, 99.0, grouping)
+    return t.select(*grouping, "hasher_name", "threshold", F.round("precision", 6).alias("precision"), "recall", "n_exemplars")
+
+
+def threshold_recall(spark, sf):
+    return _recall(spark, sf, [])
+
+
+def threshold_recall_by_label(spark, sf):
+    return _recall(spark, sf, ["category", "transform_name"])
+
+
+def histogram_counts(spark, sf):
+    return evaluation.histograms(metrics_distances(spark, sf), ["transform_name"]).select("transform_name", "bin", "n_correct", "n_incorrect")
+
+
+def earth_mover(spark, sf):
+    e = evaluation.earth_mover(metrics_distances(spark, sf), ["transform_name"])
+    return e.select("transform_name", F.round("emd", 6).alias("emd"))
+
+
+def bounds_per_hasher(spark, sf):
+    return evaluation.largest_distance(metrics_distances(spark, sf))
+
+
+def hash_union_distinct(spark, sf):
+    h = _texts(spark, sf).select("h")
+    return evaluation.union_distinct(h, h)
+
+
+def _frames(spark, sf):
+    return table(spark, sf, "events").select(F.col("user_id").alias("video_id"), F.col("ts").alias("frame_index"), F.array("value").alias("vec"), "value", "event_id")
+
+
+def framewise_keep(spark, sf):
+    return video.framewise(_frames(spark, sf), 60.0).select("video_id", "event_id", "value")
+
+
+def framewise_quality(spark, sf):
+    f = video.framewise(_frames(spark, sf), 60.0, quality="value", quality_threshold=20.0)
+    return f.select("video_id", "event_id", "value")
+
+
+def framewise_batches(spark, sf):
+    b = video.batches(video.framewise(_frames(spark, sf), 60.0), 4)
+    return b.groupBy("video_id", "batch").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+
+
+def frame_sampling(spark, sf):
+    return video.sample_every(_frames(spark, sf), 3).select("video_id", "event_id")
+
+
+def _vector_frames(spark, sf):
+    v = F.col("value")
+    return table(spark, sf, "events").select(F.col("user_id").alias("video_id"), "ts", F.array(v, v * v / 100, F.lit(1.0)).alias("vec"))
+
+
+def tmkl1_mean(spark, sf):
+    m = video.mean_vector(_vector_frames(spark, sf))
+    return m.select("video_id", *[F.round(F.col("vec")[i], 6).alias(f"v{i}") for i in range(3)])
+
+
+def tmkl2_feature(spark, sf):
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts")) - 1
+    f = table(spark, sf, "events").select(F.col("user_id").alias("video_id"), (n / 15.0).alias("ts"), F.array(F.col("value") / 500).alias("vec"))
+    t = video.temporal_feature(f).where("period = 0 and term % 32 < 4")
+    return t.select("video_id", "term", F.round("value", 5).alias("value"))
+
+
+def filter_isin(spark, sf):
+    return evaluation.filter_in(table(spark, sf, "documents"), lang=["en", "de"], source=["src1", "src2"]).select("doc_id", "lang", "source")
+
+
+def distinct_categories(spark, sf):
+    return table(spark, sf, "documents").select("source").distinct()
+
+
+def exact_dup_md5(spark, sf):
+    return _texts(spark, sf).groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+def repeated_ids(spark, sf):
+    return _files(spark, sf).groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def explode_hashes(spark, sf):
+    f = _files(spark, sf).groupBy("id").agg(F.array_sort(F.collect_list("sub")).alias("subs"))
+    return f.select("id", F.explode_outer("subs").alias("sub"))
+
+
+_ALL = [v for k, v in list(globals().items()) if callable(v) and not k.startswith("_") and getattr(v, "__module__", "") == __name__ and k not in ("queries", "oracle_sql", "Callable")]
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return {f.__name__: f for f in _ALL}
+
+
+_D = "embedding::DOUBLE[]"
+_E = f"e AS (SELECT vec_id AS id, {_D} AS vec, label, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings)"
+_NEXT = f"WITH {_E}, p AS (SELECT a.id, a.vec AS v, b.vec AS w, a.bits AS vb, b.bits AS wb FROM e a JOIN e b ON b.id = a.id + 1) "
+_SQ = "list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+_HAM = "list_sum(list_transform(list_zip({0}, {1}), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) / {2}"
+_L2P = f"list_distance(a.vec, b.vec) < {L2}"
+_HP = f"{_HAM.format('a.bits', 'b.bits', '64.0')} < {HAMMING}"
+_F = f"{_E}, f AS (SELECT id // 5 AS id, id % 5 AS sub, vec FROM e)"
+_OV = f"{_F}, n AS (SELECT id, count(*) AS n FROM f GROUP BY id), m AS (SELECT a.id AS id1, b.id AS id2, count(DISTINCT a.sub) AS o1, count(DISTINCT b.sub) AS o2 FROM f a JOIN f b ON a.id < b.id AND {_L2P} GROUP BY ALL), o AS (SELECT m.*, o1 / x.n AS f1, o2 / y.n AS f2 FROM m JOIN n x ON x.id = id1 JOIN n y ON y.id = id2)"
+_REACH = f"{_E}, p AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.id < b.id AND {_HP}), s AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(id, c) AS (SELECT id, id FROM e UNION SELECT s.b, r.c FROM r JOIN s ON s.a = r.id), g AS (SELECT id, min(c) AS cluster FROM r GROUP BY id)"
+_KNN = f"WITH {_E}, k AS (SELECT a.id AS qid, b.id AS id, b.label, list_distance(a.vec, b.vec) AS d, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.vec, b.vec), b.id) AS rank FROM e a JOIN e b ON a.id % 10 = 0 AND b.id % 10 <> 0) "
+_H = (
+    f"{_E}, h0 AS (SELECT id AS guid, 'sign' AS hasher_name, label % 3 AS category, vec FROM e WHERE id < 200), "
+    "t AS (SELECT guid, 'half' AS transform_name, hasher_name, category, list_transform(vec, lambda x, i: CASE WHEN (i - 1) % 2 = 0 THEN 0 ELSE x END) AS vec FROM h0 UNION ALL SELECT guid, 'most', hasher_name, category, list_transform(vec, lambda x, i: CASE WHEN (i - 1) % 8 = 0 THEN x ELSE 0 END) FROM h0), "
+    "d AS (SELECT t.guid, transform_name, t.hasher_name, t.category, n.guid AS ng, list_distance(t.vec, n.vec) AS d FROM t JOIN h0 n ON t.hasher_name = n.hasher_name AND t.category = n.category), "
+    "mm AS (SELECT guid, transform_name, hasher_name, category, round(min(d) FILTER (guid = ng), 6) AS distance_to_closest_correct_image, round(min(d) FILTER (guid <> ng), 6) AS distance_to_closest_incorrect_image, round(min(d), 6) AS distance_to_closest_image, arg_min(ng, (d, ng)) FILTER (guid <> ng) AS closest_incorrect_guid FROM d GROUP BY ALL)"
+)
+
+
+def _recall_sql(keys: str) -> str:
+    k = keys + "hasher_name"
+    return f"""WITH RECURSIVE {_H}, l AS (SELECT {k}, guid, min(distance_to_closest_correct_image) AS pos, min(distance_to_closest_incorrect_image) AS neg FROM mm GROUP BY {k}, guid, transform_name),
+r AS (SELECT {k}, pos, row_number() OVER (PARTITION BY {k} ORDER BY pos) AS tp, (SELECT count(*) FROM l z WHERE {' AND '.join(f'z.{c.strip()} = l.{c.strip()}' for c in k.split(','))} AND z.neg <= l.pos) AS fp FROM l),
+q AS (SELECT *, 100.0::DOUBLE * tp / (tp + fp) AS prec FROM r),
+b AS (SELECT *, min(tp) FILTER (prec < 99.0) OVER (PARTITION BY {k}) AS fb, count(*) OVER (PARTITION BY {k}) AS total FROM q),
+c AS (SELECT *, CASE WHEN fb IS NULL THEN max(pos) OVER (PARTITION BY {k}) WHEN fb = 1 THEN min(pos) OVER (PARTITION BY {k}) ELSE max(pos) FILTER (tp = fb - 1) OVER (PARTITION BY {k}) END AS cut FROM b),
+g AS (SELECT {k}, any_value(cut) AS threshold, any_value(fb) AS fb, min(prec) FILTER (pos <= cut) AS p, round(100.0::DOUBLE * count(*) FILTER (pos <= cut) / any_value(total), 3) AS rec FROM c GROUP BY {k}),
+n AS (SELECT {k}, count(*) AS n_exemplars FROM mm GROUP BY {k})
+SELECT {k}, threshold, CASE WHEN fb IS NULL THEN 100.0::DOUBLE WHEN fb = 1 THEN NULL ELSE round(p, 6) END AS precision, CASE WHEN fb IS NULL THEN 100.0::DOUBLE WHEN fb = 1 THEN 0.0::DOUBLE ELSE rec END AS recall, n_exemplars FROM g JOIN n USING ({k})"""
+
+
+_V = "SELECT user_id AS video_id, event_id, value, ts, first_value(value) OVER (PARTITION BY user_id ORDER BY ts) AS f, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    w = video.temporal_weights()
+    waves = " UNION ALL ".join(f"SELECT {j + 32 * c} AS term, {2 * 3.141592653589793 * j / video.PERIODS[0]!r} AS o, {float(w[j])!r} AS w, {c} AS c" for j in range(4) for c in (0, 1))
+    sq = _SQ.format
+    return {
+        "codec_hex_to_b64": "SELECT doc_id, to_base64(from_hex(md5(text))) AS b64 FROM documents",
+        "codec_b64_to_hex": "SELECT doc_id, md5(text) AS hex FROM documents",
+        "codec_string_length": "SELECT doc_id, CAST(ceil(n_chars / 8.0) AS BIGINT) * 2 AS bool_hex, CAST(ceil(n_chars * 4 / 3.0) AS BIGINT) * 4 AS float_b64, CAST(ceil(n_chars / 3.0) AS BIGINT) * 4 AS u8_b64 FROM documents",
+        "codec_bits_to_hex": f"WITH {_E} SELECT id, array_to_string(list_transform(range(0, 16), lambda i: format('{{:x}}', bits[i * 4 + 1] * 8 + bits[i * 4 + 2] * 4 + bits[i * 4 + 3] * 2 + bits[i * 4 + 4])), '') AS hex FROM e",
+        "dist_l2": _NEXT + f"SELECT id, round(sqrt({sq('v', 'w')}), 6) AS d FROM p",
+        "dist_sql2": _NEXT + f"SELECT id, round({sq('v', 'w')}, 6) AS d FROM p",
+        "dist_cosine": _NEXT + "SELECT id, round(1 - list_cosine_similarity(v, w), 6) AS d FROM p",
+        "dist_hamming": _NEXT + f"SELECT id, {_HAM.format('vb', 'wb', '64.0::DOUBLE')} AS d FROM p",
+        "dedup_hamming_pairs": f"WITH {_E} SELECT a.id AS id1, b.id AS id2, round({_HAM.format('a.bits', 'b.bits', '64.0::DOUBLE')}, 6) AS distance FROM e a JOIN e b ON a.id < b.id AND {_HP}",
+        "dedup_hamming_bands": f"WITH {_E}, u AS (SELECT id * 2 AS id, bits FROM e UNION ALL SELECT id * 2 + 1, list_transform(vec, lambda x, i: CASE WHEN (CASE WHEN (i - 1) % 16 = 0 THEN -x ELSE x END) > 0 THEN 1 ELSE 0 END) FROM e) SELECT a.id AS id1, b.id AS id2, round({_HAM.format('a.bits', 'b.bits', '64.0::DOUBLE')}, 6) AS distance FROM u a JOIN u b ON a.id < b.id AND {_HAM.format('a.bits', 'b.bits', '64.0')} < 0.07",
+        "dedup_l2_pairs": f"WITH {_E} SELECT a.id AS id1, b.id AS id2, round(list_distance(a.vec, b.vec), 6) AS distance FROM e a JOIN e b ON a.id < b.id AND {_L2P}",
+        "dedup_u8_pairs": f"WITH {_E}, u AS (SELECT id, list_transform(vec, lambda x: CAST(floor(255.0::DOUBLE * (x - list_min(vec)) / (list_max(vec) - list_min(vec))) AS BIGINT)) AS q FROM e) SELECT a.id AS id1, b.id AS id2, CAST({sq('a.q', 'b.q')} AS BIGINT) AS squared FROM u a JOIN u b ON a.id < b.id AND {sq('a.q', 'b.q')} < {int(U8 * U8)}",
+        "dedup_by_category": f"WITH {_E} SELECT a.id AS id1, b.id AS id2 FROM e a JOIN e b ON a.id < b.id AND a.label = b.label AND {_L2P}",
+        "dedup_survivors": f"WITH {_E} SELECT id, label FROM e WHERE id NOT IN (SELECT a.id FROM e a JOIN e b ON a.id < b.id AND a.label = b.label AND {_L2P})",
+        "dedup_union": f"WITH {_E} SELECT a.id AS id1, b.id AS id2 FROM e a JOIN e b ON a.id < b.id AND ({_L2P} OR {_HP})",
+        "overlap_counts": f"WITH {_OV} SELECT id1, id2, o1 AS overlap1, o2 AS overlap2, round(f1, 6) AS fraction1, round(f2, 6) AS fraction2 FROM o",
+        "overlap_dense": f"WITH {_OV} SELECT coalesce(o1, 0) AS overlap1, coalesce(o2, 0) AS overlap2, count(*) AS n FROM n a JOIN n b ON a.id < b.id LEFT JOIN o ON id1 = a.id AND id2 = b.id GROUP BY ALL",
+        "overlap_pairs": f"WITH {_OV} SELECT id1, id2 FROM o WHERE least(f1, f2) >= 0.2",
+        "cross_overlap_pairs": f"WITH {_F}, n AS (SELECT id, count(*) AS n FROM f GROUP BY id), m AS (SELECT a.id AS q, b.id AS m, count(DISTINCT a.sub) AS x, count(DISTINCT b.sub) AS y FROM f a JOIN f b ON a.id % 4 = 0 AND {_L2P} GROUP BY ALL) SELECT q AS query_id, m AS match_id FROM m JOIN n a ON a.id = q JOIN n b ON b.id = m WHERE least(x / a.n, y / b.n) >= 0.2",
+        "cluster_component": f"WITH RECURSIVE {_REACH} SELECT id, cluster FROM g",
+        "cluster_numbered": f"WITH RECURSIVE {_REACH} SELECT id, dense_rank() OVER (ORDER BY cluster) - 1 AS cluster FROM g",
+        "knn_topk": _KNN + "SELECT qid, CAST(rank AS INTEGER) AS rank, id, round(d, 6) AS distance FROM k WHERE rank <= 5",
+        "knn_threshold_metadata": _KNN + f"SELECT qid, id, CAST(label AS VARCHAR) AS label FROM k WHERE rank <= 5 AND d < {L2}",
+        "metadata_lookup": "SELECT doc_id, lang, source FROM documents WHERE doc_id % 7 = 0",
+        "metrics_distances": f"WITH {_H} SELECT * FROM mm",
+        "threshold_recall": _recall_sql(""),
+        "threshold_recall_by_label": _recall_sql("category, transform_name, "),
+        "histogram_counts": f"WITH {_H}, t2 AS (SELECT transform_name, greatest(max(distance_to_closest_correct_image), max(distance_to_closest_incorrect_image)) AS top FROM mm GROUP BY 1), x AS (SELECT transform_name, distance_to_closest_correct_image AS x, 1 AS p FROM mm UNION ALL SELECT transform_name, distance_to_closest_incorrect_image, 0 FROM mm) SELECT transform_name, CAST(least(9, floor(x * 10 / top)) AS INTEGER) AS bin, CAST(sum(p) AS BIGINT) AS n_correct, CAST(sum(1 - p) AS BIGINT) AS n_incorrect FROM x JOIN t2 USING (transform_name) WHERE x IS NOT NULL GROUP BY 1, 2",
+        "earth_mover": f"WITH {_H}, x AS (SELECT transform_name, distance_to_closest_correct_image AS x, 1 AS p FROM mm UNION ALL SELECT transform_name, distance_to_closest_incorrect_image, 0 FROM mm), y AS (SELECT transform_name, x, sum(p) AS p, sum(1 - p) AS n FROM x WHERE x IS NOT NULL GROUP BY 1, 2), z AS (SELECT transform_name, abs(sum(p) OVER w / sum(p) OVER (PARTITION BY transform_name) - sum(n) OVER w / sum(n) OVER (PARTITION BY transform_name)) * (lead(x) OVER w - x) AS a FROM y WINDOW w AS (PARTITION BY transform_name ORDER BY x)) SELECT transform_name, round(sum(a), 6) AS emd FROM z GROUP BY 1",
+        "bounds_per_hasher": f"WITH {_H} SELECT hasher_name, greatest(max(distance_to_closest_correct_image), max(distance_to_closest_incorrect_image)) AS bound FROM mm GROUP BY 1",
+        "hash_union_distinct": "SELECT DISTINCT md5(text) AS h FROM documents",
+        "framewise_keep": f"SELECT video_id, event_id, value FROM ({_V}) WHERE rn = 1 OR abs(value - f) > 60",
+        "framewise_quality": f"SELECT video_id, event_id, value FROM ({_V} WHERE value >= 20) WHERE rn = 1 OR abs(value - f) > 60",
+        "framewise_batches": f"SELECT video_id, (r - 1) // 5 AS batch, count(*) AS n, min(event_id) AS first_event FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY ts) AS r FROM ({_V}) WHERE rn = 1 OR abs(value - f) > 60) GROUP BY 1, 2",
+        "frame_sampling": f"SELECT video_id, event_id FROM ({_V}) WHERE (rn - 1) % 3 = 0",
+        "tmkl1_mean": "WITH m AS (SELECT user_id AS video_id, avg(value) AS a, avg(value * value / 100) AS b FROM events GROUP BY 1) SELECT video_id, round(a / sqrt(a * a + b * b + 1), 6) AS v0, round(b / sqrt(a * a + b * b + 1), 6) AS v1, round(1 / sqrt(a * a + b * b + 1), 6) AS v2 FROM m",
+        "tmkl2_feature": f"WITH b AS ({waves}), f AS (SELECT user_id AS video_id, value / 500 AS x, (row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1) / 15.0::DOUBLE AS t FROM events) SELECT video_id, term, round(sum(w * CASE WHEN c = 1 THEN cos(o * t) ELSE sin(o * t) END * x), 5) AS value FROM f, b GROUP BY 1, 2",
+        "filter_isin": "SELECT doc_id, lang, source FROM documents WHERE lang IN ('en', 'de') AND source IN ('src1', 'src2')",
+        "distinct_categories": "SELECT DISTINCT source FROM documents",
+        "exact_dup_md5": "SELECT md5(text) AS h, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
+        "repeated_ids": "SELECT vec_id // 5 AS id, count(*) AS n FROM embeddings GROUP BY 1 HAVING count(*) > 1",
+        "explode_hashes": "SELECT vec_id // 5 AS id, vec_id % 5 AS sub FROM embeddings",
+    }
