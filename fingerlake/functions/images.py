@@ -201,7 +201,7 @@ class PHashU8(PHash):
         if not v.any():
             return None
         span = v.max() - v.min()
-        return (255 * (v - v.min()) / span).astype(np.uint8) if span else np.zeros(len(v), np.uint8)
+        return (255 * ((v - v.min()) / span)).astype(np.uint8) if span else np.zeros(len(v), np.uint8)
 
 
 class WaveletHash(ImageHash):

@@ -46,7 +46,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 1, threshold: float | C
     q, qn = numbered(queries.select("qid", "vec"), "qid")
     v, vn = numbered(vectors.select("id", "vec"), "id")
     left = q.drop("n").crossJoin(F.broadcast(vn)).select("qid", "vec", F.col("b").alias("lo"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("hi"))
-    right = v.drop("n").crossJoin(F.broadcast(qn)).select("id", "vec", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("lo"), F.col("b").alias("hi"))
+    right = v.drop("n").crossJoin(F.broadcast(qn)).select("id", F.col("vec").alias("vec"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("vlo"), F.col("b").alias("vhi"))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         none = pa.table([a["qid"].slice(0, 0), b["id"].slice(0, 0), pa.array([], pa.float64())], names=["qid", "id", "distance"])
@@ -65,7 +65,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 1, threshold: float | C
         return pa.table([a["qid"].take(pa.array(np.repeat(np.arange(len(x)), n))), pa.array(ids[cols.ravel()], b["id"].type), pa.array(np.take_along_axis(exact, pick, 1).ravel())], names=["qid", "id", "distance"])
 
     qt, vt = queries.schema["qid"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
-    cand = left.groupBy("lo", "hi").cogroup(right.groupBy("lo", "hi")).applyInArrow(run, f"qid {qt}, id {vt}, distance double")
+    cand = left.groupBy("lo", "hi").cogroup(right.groupBy("vlo", "vhi")).applyInArrow(run, f"qid {qt}, id {vt}, distance double")
     out = cand.withColumn("rank", F.row_number().over(_top("qid", k))).where(F.col("rank") <= k)
     if threshold is not None:
         out = out.where(F.col("distance") < threshold)
@@ -76,7 +76,7 @@ def with_metadata(matches: DataFrame, metadata: DataFrame, columns: list[str], i
     """``(qid, matches)``: each query's matches, nearest first, with metadata maps."""
     meta = metadata.select(F.col(id_col).alias("id"), F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("string"))]).alias("metadata"))
     m = matches.join(meta, "id", "left").select("qid", F.struct("rank", "distance", "id", "metadata").alias("m"))
-    m = m.groupBy("qid").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    m = m.groupBy("qid").agg(F.array_sort(F.collect_list("m"), lambda a, b: a["rank"] - b["rank"]).alias("m"))
     return m.select("qid", F.transform("m", lambda x: F.struct(x["distance"].alias("distance"), x["id"].alias("id"), x["metadata"].alias("metadata"))).alias("matches"))
 
 

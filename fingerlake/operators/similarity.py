@@ -93,13 +93,14 @@ def cross_vector_pairs(queries: DataFrame, vectors: DataFrame, threshold: float,
     q, m = blocked(queries), blocked(vectors)
     qn, mn = q.select("blocks").limit(1), m.select("blocks").limit(1)
     left = q.drop("blocks").crossJoin(F.broadcast(mn)).select("id", "sub", "vec", F.col("b").alias("lo"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("hi"))
-    right = m.drop("blocks").crossJoin(F.broadcast(qn)).select("id", "sub", "vec", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("lo"), F.col("b").alias("hi"))
+    # Renamed, as both sides may come from one table.
+    right = m.drop("blocks").crossJoin(F.broadcast(qn)).select(F.col("id").alias("mid"), F.col("sub").alias("msub"), F.col("vec").alias("mvec"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mlo"), F.col("b").alias("mhi"))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        i, j, _ = _gram(_vectors(a["vec"]), _vectors(b["vec"]), metric, threshold) if a.num_rows and b.num_rows else (np.zeros(0, int), np.zeros(0, int), None)
-        return pa.table([a["id"].take(pa.array(i)), a["sub"].take(pa.array(i)), b["id"].take(pa.array(j)), b["sub"].take(pa.array(j))], names=["qid", "qsub", "mid", "msub"])
+        i, j, _ = _gram(_vectors(a["vec"]), _vectors(b["mvec"]), metric, threshold) if a.num_rows and b.num_rows else (np.zeros(0, int), np.zeros(0, int), None)
+        return pa.table([a["id"].take(pa.array(i)), a["sub"].take(pa.array(i)), b["mid"].take(pa.array(j)), b["msub"].take(pa.array(j))], names=["qid", "qsub", "mid", "msub"])
 
-    return left.groupBy("lo", "hi").cogroup(right.groupBy("lo", "hi")).applyInArrow(run, "qid long, qsub long, mid long, msub long")
+    return left.groupBy("lo", "hi").cogroup(right.groupBy("mlo", "mhi")).applyInArrow(run, "qid long, qsub long, mid long, msub long")
 
 
 def vector_matches(files: DataFrame, threshold: float, metric: str = "euclidean", block: int = BLOCK) -> DataFrame:
