@@ -49,6 +49,7 @@ _PINV = _U(pow(0x100000001B3 | 1, -1, 1 << 64))
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), 95]] = True
 _GROUP_ELEMENTS = 200_000
+_DOC_BITS = 20
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -107,13 +108,13 @@ def weighted(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     """Distinct (document, element) with the number of occurrences, sorted."""
     if not len(h):
         return doc, h, np.empty(0)
-    bits = max(1, int(doc.max()).bit_length())
-    key = (doc.astype(np.uint64) << _U(64 - bits)) | (h >> _U(bits))
+    # A fixed split of the key, so that an element's hash is the same in any company.
+    key = (doc.astype(np.uint64) << _U(64 - _DOC_BITS)) | (h >> _U(_DOC_BITS))
     key.sort()
     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     w = np.diff(np.concatenate([at, [len(key)]])).astype(np.float64)
     key = key[at]
-    return (key >> _U(64 - bits)).astype(np.int64), (key << _U(bits)) >> _U(bits), w
+    return (key >> _U(64 - _DOC_BITS)).astype(np.int64), (key << _U(_DOC_BITS)) >> _U(_DOC_BITS), w
 
 
 def _signatures(doc: np.ndarray, h: np.ndarray, w: np.ndarray, n_docs: int, m: int) -> np.ndarray:
@@ -151,7 +152,7 @@ def signatures(values: pa.Array, m: int = REGISTERS, n: int = SHINGLE) -> list[n
     i = 0
     while i < len(texts):
         size, j = 0, i
-        while j < len(texts) and (j == i or size + len(texts[j]) < 6 * _GROUP_ELEMENTS):
+        while j < len(texts) and j - i < 1 << _DOC_BITS and (j == i or size + len(texts[j]) < 6 * _GROUP_ELEMENTS):
             size += len(texts[j]) + 1
             j += 1
         part = texts[i:j]
