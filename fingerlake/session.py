@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +22,16 @@ def local_session(cpus: int = 8, memory: str = "8g", partitions: int | None = No
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Put this checkout on the Python workers' path, wherever the driver runs.
+
+    On a cluster the library is installed on every machine, and the entry is
+    merely not found there.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([*known, root])

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fingerlake.session import let_workers_import
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """``name`` as a lazy scan; filters and column lists reach the reader."""
+    let_workers_import(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
