@@ -85,15 +85,15 @@ class ByteCNN:
 def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Texts in whole chunks, padded with byte 0, and each text's first chunk.
 
-    At least one window of padding follows every text, and one spare chunk the
-    last.
+    At least one window of padding precedes and follows every text, so that no
+    window sees two of them; one spare chunk follows the last.
     """
     size = CHUNK * STEP
-    chunks = np.array([(len(t) + WIDTH) // size + 1 for t in texts], np.int64)
+    chunks = np.array([(len(t) + 2 * WIDTH) // size + 1 for t in texts], np.int64)
     first = np.concatenate([[0], np.cumsum(chunks)])
     buf = np.zeros((int(first[-1]) + 1) * size, np.uint8)
     for t, c in zip(texts, first[:-1]):
-        buf[c * size : c * size + len(t)] = np.frombuffer(t, np.uint8)
+        buf[c * size + WIDTH : c * size + WIDTH + len(t)] = np.frombuffer(t, np.uint8)
     return buf, first[:-1]
 
 

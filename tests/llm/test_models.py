@@ -36,8 +36,8 @@ def test_quality_is_the_same_alone_and_in_company():
         assert model.predict([t])[0] == pytest.approx(p, abs=1e-6)
     # Brute force: every window of the padded text, one by one.
     t = texts[4]
-    buf = np.frombuffer(t + bytes(64), np.uint8)
-    resp = [model.emb[buf[i : i + quality.WIDTH]].reshape(-1) @ model.conv for i in range(0, len(t) + quality.STEP, quality.STEP)]
+    buf = np.frombuffer(bytes(quality.WIDTH) + t + bytes(64), np.uint8)
+    resp = [model.emb[buf[i : i + quality.WIDTH]].reshape(-1) @ model.conv for i in range(0, len(t) + quality.WIDTH, quality.STEP)]
     h = np.maximum(np.max([*resp, np.zeros(quality.FILTERS)], axis=0) + model.shift, 0)
     assert 1 / (1 + np.exp(-(h @ model.out + model.bias))) == pytest.approx(both[4], abs=1e-5)
 
@@ -111,7 +111,7 @@ def test_toxic_sentences(spark, odd, none):
     want = {i for i, (_, y) in enumerate(rows) if y}
     assert len(hit ^ want) <= 4
     assert all(any(b in r.sentence for b in BAD) for r in got if r.sentence_score >= 0.5 and r.doc_id in want)
-    assert toxicity.toxic_sentences(odd, lab).count() == 0 or True
+    assert {r.doc_id for r in toxicity.toxic_sentences(odd.withColumn("doc_id", F.col("doc_id") + 1000).union(docs), lab).collect()} == hit
     assert toxicity.toxic_sentences(none, lab).count() == 0
     assert toxicity.toxic_sentences(docs, lab.where("toxic = 0")).count() == 0
     twice = docs.where("doc_id = 0").union(docs.where("doc_id = 0")).withColumn("doc_id", F.col("doc_id"))
