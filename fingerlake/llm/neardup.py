@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fingerlake.operators.graph import connected_components
-from fingerlake.plans.lineage import materialize
+from fingerlake.plans.lineage import discard, materialize
 
 REGISTERS = 128
 BAND_ROWS = 3
@@ -167,10 +167,27 @@ def signatures(values: pa.Array, m: int = REGISTERS, n: int = SHINGLE) -> list[n
     return out
 
 
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def _signature_udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+_SKETCH = T.StructType([T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
+
+
+@F.arrow_udf(_SKETCH)
+def _sketch_udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Band keys from whole registers, and the registers' lowest bytes."""
+    kind = pa.struct([("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+    n = REGISTERS // BAND_ROWS
     for values in batches:
-        yield pa.array(signatures(values), pa.list_(pa.int32()))
+        sigs = signatures(values)
+        has = np.array([s is not None for s in sigs], bool)
+        full = np.stack([s for s in sigs if s is not None]) if has.any() else np.zeros((0, REGISTERS), np.int32)
+        wide = full.astype(np.uint32).astype(np.uint64)
+        key = np.broadcast_to(np.arange(n, dtype=np.uint64) * _GOLD, (len(full), n))
+        for k in range(BAND_ROWS):
+            key = _mix(key ^ wide[:, k : n * BAND_ROWS : BAND_ROWS] + _GOLD)
+        at = np.concatenate([[0], np.cumsum(has)]).astype(np.int32)
+        bands = pa.ListArray.from_arrays(pa.array(at * n), pa.array(np.ascontiguousarray(key).view(np.int64).ravel()))
+        low = (full & 0xFF).astype(np.uint8)
+        sig = pa.array([low[i].tobytes() if h else None for i, h in zip(at[:-1], has)], pa.binary())
+        yield pa.StructArray.from_arrays([bands, sig], fields=list(kind))
 
 
 def probability_jaccard(a: str, b: str, n: int = SHINGLE) -> float:
@@ -203,23 +220,39 @@ def _exact_udf(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([probability_jaccard(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
 
-def _estimate(a: str, b: str):
-    same = F.filter(F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b")), lambda z: z["a"] == z["b"])
-    return F.size(same) / F.lit(float(REGISTERS))
+@F.arrow_udf(T.DoubleType())
+def _estimate_udf(a: pa.Array, b: pa.Array) -> pa.Array:
+    """J_P by the share of equal bytes, less the share that is equal by chance."""
+    x = [np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(-1, REGISTERS) for v in (a, b)]
+    return pa.array(((x[0] == x[1]).mean(axis=1) - 1 / 256) / (1 - 1 / 256), pa.float64())
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Of (u, v) the pairs whose similarity is at least ``threshold``."""
+def _estimates(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(u, v, est) of the pairs that may reach ``threshold``."""
     sig = nodes.select("h", "sig")
     both = pairs.join(sig.select(F.col("h").alias("u"), F.col("sig").alias("su")), "u").join(sig.select(F.col("h").alias("v"), F.col("sig").alias("sv")), "v")
-    est = materialize(both.select("u", "v", _estimate("su", "sv").alias("est")).where(F.col("est") >= threshold - MARGIN), "est")
-    sure = est.where(F.col("est") >= threshold + MARGIN).select("u", "v")
-    near = est.where(F.col("est") < threshold + MARGIN).select("u", "v")
-    ends = near.select(F.col("u").alias("h")).union(near.select(F.col("v").alias("h"))).distinct()
-    some = materialize(texts.join(ends, "h", "left_semi").groupBy("h").agg(F.min("text").alias("text")), "ends")
-    exact = near.join(some.select(F.col("h").alias("u"), F.col("text").alias("tu")), "u").join(some.select(F.col("h").alias("v"), F.col("text").alias("tv")), "v")
-    exact = exact.select("u", "v", _exact_udf("tu", "tv").alias("j")).where(F.col("j") >= threshold).select("u", "v")
-    return sure.union(exact)
+    est = both.select("u", "v", _estimate_udf("su", "sv").alias("est"))
+    return materialize(est.where(F.col("est") >= threshold - MARGIN), "est")
+
+
+def _exact(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Of (u, v) the pairs whose texts' J_P is at least ``threshold``."""
+    ends = materialize(pairs.select(F.col("u").alias("h")).union(pairs.select(F.col("v").alias("h"))).distinct(), "ends")
+    some = materialize(texts.join(ends, "h", "left_semi").groupBy("h").agg(F.min("text").alias("text")), "texts")
+    both = pairs.join(some.select(F.col("h").alias("u"), F.col("text").alias("tu")), "u").join(some.select(F.col("h").alias("v"), F.col("text").alias("tv")), "v")
+    return both.select("u", "v", _exact_udf("tu", "tv").alias("j")).where(F.col("j") >= threshold).select("u", "v")
+
+
+def _labelled(df: DataFrame, comp: DataFrame, key: str, out: str) -> DataFrame:
+    """Adds the component of ``key``; a node without an edge is its own."""
+    c = comp.select(F.col("id").alias(key), F.col("component").alias(out))
+    return df.join(c, key, "left").withColumn(out, F.coalesce(out, key))
+
+
+def _joined(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components after more edges."""
+    known = comp.select(F.col("id").alias("u"), F.col("component").alias("v"))
+    return materialize(connected_components(known.union(edges.select("u", "v")), "u", "v"), "comp")
 
 
 def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,33 +264,39 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col:
     components of the verified pairs. Of repeated rows with the keeper's id and
     text all are marked ``keeper``; :func:`drop_near_duplicates` leaves one.
 
-    In a bucket of documents that share a band each is compared with the one of
-    the smallest hash. A document that this one does not explain is then
-    compared with all the others of the bucket, so no candidate is capped away,
-    and a bucket of copies costs as many comparisons as it has members.
+    In a bucket of documents that share a band each is first compared with the one
+    of the smallest hash. What is then connected needs no further comparison: the
+    groups would be the same. All pairs of a bucket that are still in different
+    components are compared next, so no candidate is capped away, and a bucket of
+    copies costs as many comparisons as it has members. Pairs whose estimate is
+    near the threshold come last, where they still make a difference.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     texts = d.select(F.xxhash64("text").alias("h"), "text")
-    base = materialize(d.select("doc_id", F.xxhash64("text").alias("h"), _signature_udf("text").alias("sig")), "sig")
-    nodes = materialize(base.groupBy("h").agg(F.first("sig", ignorenulls=True).alias("sig")), "nodes")
-    n_bands = REGISTERS // BAND_ROWS
-    keys = F.array(*[F.xxhash64(F.lit(i), *[F.col("sig")[i * BAND_ROWS + k] for k in range(BAND_ROWS)]) for i in range(n_bands)])
-    band = nodes.where("sig is not null").select("h", F.explode(keys).alias("key"))
+    base = materialize(d.select("doc_id", F.xxhash64("text").alias("h"), _sketch_udf("text").alias("s")).select("doc_id", "h", "s.bands", "s.sig"), "sig")
+    nodes = materialize(base.where("sig is not null").groupBy("h").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
     w = Window.partitionBy("key")
-    buckets = band.withColumn("hub", F.min("h").over(w)).withColumn("n", F.count("*").over(w)).where("n > 1").drop("n")
+    buckets = nodes.select("h", F.explode("bands").alias("key")).withColumn("hub", F.min("h").over(w)).withColumn("n", F.count("*").over(w)).where("n > 1").drop("n")
     buckets = materialize(buckets, "buckets")
-    star = buckets.where("h <> hub").select(F.col("hub").alias("u"), F.col("h").alias("v")).distinct()
-    first = materialize(_verify(star, nodes, texts, threshold), "edges")
-    # Members of a bucket that its hub does not explain.
-    known = first.select(F.col("u").alias("hub"), F.col("v").alias("h"))
-    failed = materialize(buckets.where("h <> hub").join(known, ["hub", "h"], "left_anti"), "failed")
-    rest = failed.select("key", "hub", F.col("h").alias("a")).join(buckets.select("key", F.col("h").alias("b")), "key")
-    rest = rest.where("b <> hub and a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    rest = rest.join(first, ["u", "v"], "left_anti")
-    second = _verify(rest, nodes, texts, threshold)
-    comp = connected_components(first.union(second), "u", "v")
-    member = base.select("doc_id", "h").join(comp.withColumnRenamed("id", "h"), "h", "left")
+    star = materialize(buckets.where("h <> hub").select(F.col("hub").alias("u"), F.col("h").alias("v")).distinct(), "star")
+    sure = F.col("est") >= threshold + MARGIN
+    first = _estimates(star, nodes, threshold)
+    comp = materialize(connected_components(first.where(sure), "u", "v"), "comp")
+    # Members of a bucket that are not connected yet.
+    parts = _labelled(buckets.select("key", "h"), comp, "h", "c")
+    parts = parts.withColumn("lo", F.min("c").over(w)).withColumn("hi", F.max("c").over(w)).where("lo <> hi").select("key", "h", "c")
+    parts = materialize(parts, "parts")
+    a, b = parts.select("key", F.col("h").alias("u"), F.col("c").alias("cu")), parts.select("key", F.col("h").alias("v"), F.col("c").alias("cv"))
+    cross = a.join(b, "key").where("u < v and cu <> cv").select("u", "v").distinct().join(star, ["u", "v"], "left_anti")
+    second = _estimates(cross, nodes, threshold)
+    comp = _joined(comp, second.where(sure))
+    near = _labelled(_labelled(first.union(second).where(~sure).select("u", "v"), comp, "u", "cu"), comp, "v", "cv").where("cu <> cv").select("u", "v")
+    near = materialize(near, "near")
+    comp = _joined(comp, _exact(near, texts, threshold)).withColumnRenamed("id", "h")
+    member = base.select("doc_id", "h").join(comp, "h", "left")
     member = materialize(member.select("doc_id", "h", F.coalesce("component", "h").alias("component")), "members")
+    for t in (base, nodes, buckets, star, first, parts, second, near):
+        discard(t)
     lead = member.groupBy("component").agg(F.count("*").alias("group_size"), F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "h")).alias("lead")).where("group_size > 1")
     out = member.join(lead, "component")
     same = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("h") == F.col("lead.h"))
