@@ -183,4 +183,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject; same columns."""
     p = probability_udf(train(docs, labels))
-    return docs.withColumn("__quality", p(F.col("text"))).where(F.col("__quality") >= threshold).select(*docs.columns)
+    return docs.where(p(docs["text"]) >= threshold)

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fingerlake.llm.names import free_name
+
 #: tiktoken rank file; a parameter of every function that needs it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MIN_LENGTH = 16
@@ -165,14 +167,15 @@ def redact_secrets(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     ``n_chars`` follows the new text where that changed.
     """
-    new = docs.withColumn("__new", _redactor(path)(_suspects()))
-    changed = F.col("__new").isNotNull() & (F.col("__new") != F.col("text"))
+    name = free_name(docs, "__new")
+    new = docs.withColumn(name, _redactor(path)(_suspects()))
+    changed = F.col(name).isNotNull() & (F.col(name) != F.col("text"))
     cols = []
     for c in docs.columns:
         if c == "text":
-            cols.append(F.coalesce("__new", "text").alias(c))
+            cols.append(F.coalesce(name, "text").alias(c))
         elif c == "n_chars":
-            cols.append(F.when(changed, F.length("__new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
+            cols.append(F.when(changed, F.length(name).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
         else:
             cols.append(F.col(f"`{c}`"))
     return new.select(*cols)

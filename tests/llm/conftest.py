@@ -12,7 +12,7 @@ def prose(rng, n):
     return " ".join(out)
 
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, quality double, __h string, h long, tokens string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, quality double, __hash string, h long, __new string"
 
 
 def frame(spark, rows):
