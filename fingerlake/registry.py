@@ -282,6 +282,85 @@ def explode_hashes(spark, sf):
     return f.select("id", F.explode_outer("subs").alias("sub"))
 
 
+def isometric_variants(spark, sf):
+    """The eight variants of an 8 x 8 bit hash, without the image."""
+    v = vectors.dihedral(F.col("vec"), 8)
+    rows = _bits(spark, sf).select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), F.concat_ws("", c.cast("array<string>")).alias("bits")) for k, c in v.items()])).alias("e"))
+    return rows.select("id", "e.variant", "e.bits")
+
+
+def hash_rules(spark, sf):
+    """Average, median and difference rules over the uint8 vector as an image."""
+    u = _u8(spark, sf)
+    text = lambda c: F.concat_ws("", c.cast("array<string>"))
+    return u.select("id", text(vectors.above_mean(F.col("vec"))).alias("average"), text(vectors.from_median(F.col("vec"))).alias("median"), text(vectors.falling(F.col("vec"), 8)).alias("difference"))
+
+
+def keypoint_intersection(spark, sf):
+    """Bounding boxes of all points and of those kept; points are element pairs."""
+    e = _emb(spark, sf).withColumn("p", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.struct(F.get("vec", i * 2).cast("double").alias("x"), F.get("vec", i * 2 + 1).cast("double").alias("y"))))
+    e = e.withColumn("k", F.filter("p", lambda q: q["x"] > 0))
+    area = lambda c: vectors.box_area(F.transform(c, lambda q: q["x"]), F.transform(c, lambda q: q["y"]))
+    return e.select("id", F.round(area("k") / area("p"), 6).alias("share"))
+
+
+def request_validation(spark, sf):
+    """Requests whose hash decodes, and those that are turned down, with the reason."""
+    from fingerlake.sources.lookup import split_requests
+
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 == 0, F.substring(F.md5("text"), 1, 31)).when(F.col("doc_id") % 5 == 1, F.lit(None)).otherwise(F.md5("text")).alias("hash"))
+    good, bad = split_requests(d, 16, "uint8", "hex")
+    return good.select("id", F.lit("valid").alias("verdict")).union(bad.select("id", "reason"))
+
+
+def _timed(spark, sf):
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts")) - 1
+    return table(spark, sf, "events").select(F.col("user_id").alias("video_id"), (n / 4.0).alias("ts"), F.array("value").alias("vec"), "event_id")
+
+
+def frame_clip(spark, sf):
+    return video.clip(_timed(spark, sf), 2.0, 6.0).select("video_id", "event_id", "ts")
+
+
+def frame_slideshow(spark, sf):
+    return video.slideshow(_timed(spark, sf), 1.0, 2.0, 1.0, 8).select("video_id", "event_id", "frame_index", "ts")
+
+
+def frame_padding(spark, sf):
+    p = video.black_padding(_timed(spark, sf), 4.0, duration_s=1.0)
+    return p.groupBy("video_id").agg(F.count("*").alias("frames"), F.sum((F.col("vec")[0] == 0).cast("int")).alias("black"), F.max("ts").alias("last"))
+
+
+def framewise_previous(spark, sf):
+    """Compared with the last frame kept: a fold, which SQL cannot state."""
+    return video.framewise(_frames(spark, sf).select("video_id", "frame_index", "vec", "event_id"), 60.0, anchor="previous").select("video_id", "event_id")
+
+
+def synchronised_counts(spark, sf):
+    """Two hashers of different rates off one numbered scan."""
+    got = video.synchronised(_frames(spark, sf).select("video_id", "frame_index", "vec"), {"slow": (1, F.col("vec")), "fast": (3, F.col("vec"))})
+    out = None
+    for name, f in got.items():
+        c = f.groupBy("video_id").agg(F.count("*").alias("n")).withColumn("hasher", F.lit(name))
+        out = c if out is None else out.union(c)
+    return out
+
+
+def stream_window_mean(spark, sf):
+    """The windowed mean over a stream of the frames, run to its end."""
+    import uuid
+
+    from fingerlake.streaming.framewise import mean_stream
+
+    schema = table(spark, sf, "events").schema
+    s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    s = s.select(F.col("user_id").alias("video_id"), F.col("ts").cast("timestamp").alias("ts"), F.array("value").alias("vec"))
+    name = f"mean_{uuid.uuid4().hex}"
+    q = mean_stream(s).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select("video_id", F.col("window.start").cast("long").alias("start"), F.round("mean", 6).alias("mean"))
+
+
 _ALL = [v for k, v in list(globals().items()) if callable(v) and not k.startswith("_") and getattr(v, "__module__", "") == __name__ and k not in ("queries", "oracle_sql", "Callable")]
 
 
@@ -365,6 +444,15 @@ def oracle_sql() -> dict[str, str]:
         "frame_sampling": f"SELECT video_id, event_id FROM ({_V}) WHERE (rn - 1) % 3 = 0",
         "tmkl1_mean": "WITH m AS (SELECT user_id AS video_id, avg(value) AS a, avg(value * value / 100) AS b FROM events GROUP BY 1) SELECT video_id, round(a / sqrt(a * a + b * b + 1), 6) AS v0, round(b / sqrt(a * a + b * b + 1), 6) AS v1, round(1 / sqrt(a * a + b * b + 1), 6) AS v2 FROM m",
         "tmkl2_feature": f"WITH b AS ({waves}), f AS (SELECT user_id AS video_id, value / 500 AS x, (row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1) / 15.0::DOUBLE AS t FROM events) SELECT video_id, term, round(sum(w * CASE WHEN c = 1 THEN cos(o * t) ELSE sin(o * t) END * x), 5) AS value FROM f, b GROUP BY 1, 2",
+        "isometric_variants": f"WITH {_E}, v(variant, f) AS (VALUES ('r0', 0), ('fv', 1), ('fh', 2), ('r180', 3), ('r90', 4), ('r90fv', 5), ('r90fh', 6), ('r270', 7)) SELECT id, variant, array_to_string(list_transform(range(0, 64), lambda i: bits[1 + CASE f WHEN 0 THEN i WHEN 1 THEN (7 - i // 8) * 8 + i % 8 WHEN 2 THEN i // 8 * 8 + 7 - i % 8 WHEN 3 THEN 63 - i WHEN 4 THEN i % 8 * 8 + 7 - i // 8 WHEN 5 THEN i % 8 * 8 + i // 8 WHEN 6 THEN (7 - i % 8) * 8 + 7 - i // 8 ELSE (7 - i % 8) * 8 + i // 8 END]), '') AS bits FROM e, v",
+        "hash_rules": f"WITH {_E}, u AS (SELECT id, list_transform(vec, lambda x: CAST(floor(255.0::DOUBLE * (x - list_min(vec)) / (list_max(vec) - list_min(vec))) AS BIGINT)) AS q FROM e) SELECT id, array_to_string(list_transform(q, lambda x: CASE WHEN x * 64 > list_sum(q) THEN 1 ELSE 0 END), '') AS average, array_to_string(list_transform(q, lambda x: CASE WHEN x >= list_median(q) THEN 1 ELSE 0 END), '') AS median, array_to_string(list_transform(range(0, 56), lambda i: CASE WHEN q[i // 7 * 8 + i % 7 + 1] > q[i // 7 * 8 + i % 7 + 2] THEN 1 ELSE 0 END), '') AS difference FROM u",
+        "keypoint_intersection": "WITH p AS (SELECT vec_id AS id, unnest(list_transform(range(0, 32), lambda i: {'x': embedding[i * 2 + 1]::DOUBLE, 'y': embedding[i * 2 + 2]::DOUBLE})) AS p FROM embeddings) SELECT id, round(coalesce((max(p.x) FILTER (p.x > 0) - min(p.x) FILTER (p.x > 0)) * (max(p.y) FILTER (p.x > 0) - min(p.y) FILTER (p.x > 0)), 0) / ((max(p.x) - min(p.x)) * (max(p.y) - min(p.y))), 6) AS share FROM p GROUP BY id",
+        "request_validation": "SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'hash has a wrong length or characters' WHEN 1 THEN 'no hash' ELSE 'valid' END AS verdict FROM documents",
+        "frame_clip": f"SELECT video_id, event_id, (rn - 1) / 4.0::DOUBLE - 2 AS ts FROM ({_V}) WHERE (rn - 1) / 4.0 >= 2 AND (rn - 1) / 4.0 < 6",
+        "frame_slideshow": f"WITH t AS (SELECT video_id, event_id, (rn - 1) / 4.0 AS t FROM ({_V})), s AS (SELECT *, row_number() OVER (PARTITION BY video_id, floor(t - 1) ORDER BY t) AS k FROM t WHERE t >= 1), r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t) - 1 AS n FROM s WHERE k = 1) SELECT video_id, event_id, CAST(n AS INTEGER) AS frame_index, n / 2.0::DOUBLE AS ts FROM r WHERE n < 8",
+        "frame_padding": f"SELECT video_id, count(*) + 8 AS frames, count(*) FILTER (value = 0) + 8 AS black, (count(*) - 1) / 4.0::DOUBLE + 2 AS last FROM ({_V}) GROUP BY 1",
+        "synchronised_counts": "SELECT user_id AS video_id, count(*) AS n, 'fast' AS hasher FROM events GROUP BY 1 UNION ALL SELECT user_id, CAST(ceil(count(*) / 3.0) AS BIGINT), 'slow' FROM events GROUP BY 1",
+        "stream_window_mean": "SELECT user_id AS video_id, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2",
         "filter_isin": "SELECT doc_id, lang, source FROM documents WHERE lang IN ('en', 'de') AND source IN ('src1', 'src2')",
         "distinct_categories": "SELECT DISTINCT source FROM documents",
         "exact_dup_md5": "SELECT md5(text) AS h, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
