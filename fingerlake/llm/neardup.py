@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fingerlake.llm.names import free_name
 from fingerlake.operators.graph import connected_components
-from fingerlake.plans.lineage import discard, materialize
+from fingerlake.plans.lineage import arrow_batches, discard, materialize
 
 REGISTERS = 128
 BAND_ROWS = 3
@@ -41,6 +42,10 @@ THRESHOLD = 0.5
 #: standard deviations of a share of 128 registers.
 MARGIN = 0.15
 SHINGLE = 3
+#: Most rows of (id, hash) that are broadcast, some 50 MB.
+BROADCAST_ROWS = 1_000_000
+#: Rows of an Arrow batch where texts go to Python.
+TEXT_ROWS = 1000
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -190,14 +195,20 @@ def _sketch_udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.StructArray.from_arrays([bands, sig], fields=list(kind))
 
 
+def weighted_set(text: str, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """A text's elements, sorted, and their weights."""
+    buf = np.frombuffer(text.lower().encode() + b" ", np.uint8)
+    return weighted(*shingles(buf, np.zeros(1, np.int64), n))[1:]
+
+
 def probability_jaccard(a: str, b: str, n: int = SHINGLE) -> float:
     """Exact J_P of two texts; texts without words agree only if both have none."""
-    sets = []
-    for t in (a, b):
-        buf = np.frombuffer(t.lower().encode() + b" ", np.uint8)
-        _, h, w = weighted(*shingles(buf, np.zeros(1, np.int64), n))
-        sets.append((h, w))
-    (ha, wa), (hb, wb) = sets
+    return set_similarity(weighted_set(a, n), weighted_set(b, n))
+
+
+def set_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Exact J_P of two weighted sets."""
+    (ha, wa), (hb, wb) = a, b
     if not len(ha) or not len(hb):
         return float(len(ha) == len(hb))
     _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
@@ -217,7 +228,15 @@ def probability_jaccard(a: str, b: str, n: int = SHINGLE) -> float:
 
 @F.arrow_udf(T.DoubleType())
 def _exact_udf(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([probability_jaccard(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+    # The pairs of a task share many texts; each is cut once in a batch.
+    seen: dict[str, tuple] = {}
+
+    def of(t: str) -> tuple:
+        if t not in seen:
+            seen[t] = weighted_set(t)
+        return seen[t]
+
+    return pa.array([set_similarity(of(x), of(y)) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
 
 @F.arrow_udf(T.DoubleType())
@@ -273,7 +292,9 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col:
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     texts = d.select(F.xxhash64("text").alias("h"), "text")
-    base = materialize(d.select("doc_id", F.xxhash64("text").alias("h"), _sketch_udf("text").alias("s")).select("doc_id", "h", "s.bands", "s.sig"), "sig")
+    spark = docs.sparkSession
+    with arrow_batches(spark, TEXT_ROWS):
+        base = materialize(d.select("doc_id", F.xxhash64("text").alias("h"), _sketch_udf("text").alias("s")).select("doc_id", "h", "s.bands", "s.sig"), "sig")
     nodes = materialize(base.where("sig is not null").groupBy("h").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
     w = Window.partitionBy("key")
     buckets = nodes.select("h", F.explode("bands").alias("key")).withColumn("hub", F.min("h").over(w)).withColumn("n", F.count("*").over(w)).where("n > 1").drop("n")
@@ -292,7 +313,8 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col:
     comp = _joined(comp, second.where(sure))
     near = _labelled(_labelled(first.union(second).where(~sure).select("u", "v"), comp, "u", "cu"), comp, "v", "cv").where("cu <> cv").select("u", "v")
     near = materialize(near, "near")
-    comp = _joined(comp, _exact(near, texts, threshold)).withColumnRenamed("id", "h")
+    with arrow_batches(spark, TEXT_ROWS):
+        comp = _joined(comp, _exact(near, texts, threshold)).withColumnRenamed("id", "h")
     member = base.select("doc_id", "h").join(comp, "h", "left")
     member = materialize(member.select("doc_id", "h", F.coalesce("component", "h").alias("component")), "members")
     for t in (base, nodes, buckets, star, first, parts, second, near):
@@ -312,11 +334,15 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     groups = materialize(near_duplicate_groups(docs, threshold), "groups")
     drop = groups.where("not keeper").select(F.col("doc_id").alias("__id"), F.col("h").alias("__hash")).distinct()
     repeated = groups.where("keeper").groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__hash")).count().where("count > 1").drop("count")
-    cols = docs.columns
-    d = docs.withColumn("__hash", F.xxhash64("text"))
-    on = lambda o: (d["__hash"] == o["__hash"]) & d["doc_id"].eqNullSafe(o["__id"]) & d["text"].isNotNull()
+    name = free_name(docs, "__hash")
+    d = docs.withColumn(name, F.xxhash64("text"))
+    on = lambda o: (d[name] == o["__hash"]) & d["doc_id"].eqNullSafe(o["__id"]) & d["text"].isNotNull()
     marks = materialize(drop.withColumn("__many", F.lit(False)).union(repeated.withColumn("__many", F.lit(True))), "marks")
-    kept = d.join(marks, on(marks), "left_anti")
-    many = marks.where("__many")
-    once = d.join(many, on(many), "left_semi").dropDuplicates(["__hash", "doc_id"])
-    return kept.unionByName(once).select(*cols)
+    size = marks.agg(F.count("*").alias("n"), F.count(F.when(F.col("__many"), 1)).alias("many")).first()
+    # Up to a checked size the marks go to the texts; beyond it both are shuffled.
+    send = F.broadcast if size["n"] <= BROADCAST_ROWS else lambda x: x
+    kept = d.join(send(marks), on(marks), "left_anti")
+    if size["many"]:
+        many = send(marks.where("__many"))
+        kept = kept.unionByName(d.join(many, on(many), "left_semi").dropDuplicates([name, "doc_id"]))
+    return kept.select(*docs.columns)
