@@ -8,7 +8,10 @@ so each shard's quotas are whole numbers and close to the target. A source's j-t
 seat takes its j-th block in a second seeded order.
 
 Without ``total_blocks`` the mixture ends before the first seat that a source has
-no block left for: the weights then hold throughout, and nothing is repeated.
+no block left for: the weights then hold throughout, and nothing is repeated. With
+``exhaust`` such a source drops out instead and the others go on, each seat still to
+the highest quotient, until every block has one (or ``total_blocks`` are seated): no
+text with tokens is lost, and the weights hold among the sources that are left.
 
 Tokens are counted as runs between blanks unless ``tokens`` gives a better count.
 
@@ -63,29 +66,32 @@ def _weights(blocks: DataFrame, weights: dict | None, temperature: float) -> Dat
     return per.select("source", w.alias("weight"), "available").where("weight > 0 and __tokens > 0")
 
 
-def quotas(weights: DataFrame, total_blocks: int | None = None, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+def quotas(weights: DataFrame, total_blocks: int | None = None, shard_blocks: int = SHARD_BLOCKS, exhaust: bool = False) -> DataFrame:
     """``(source, seat, shard, rank)``: every seat in order of its quotient.
 
     The seats before the first that some source cannot fill are found by that
-    seat's quotient, so only as many rows are ranked as there are blocks.
+    seat's quotient, so only as many rows are ranked as there are blocks. With
+    ``exhaust`` no source puts up a seat that it cannot fill, and none ends the rest.
     """
     one = Window.partitionBy(F.lit(0))
-    # Each source also puts up the first seat that it cannot fill.
-    seats = weights.select("source", "weight", "available", F.explode(F.sequence(F.lit(0).cast("long"), F.col("available").cast("long"))).alias("j"))
+    # Unless it may drop out, each source also puts up the first seat that it cannot fill.
+    last = F.col("available").cast("long") - (1 if exhaust else 0)
+    seats = weights.select("source", "weight", "available", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("j"))
     seats = seats.withColumn("quotient", F.col("weight") / (2 * F.col("j") + 1))
     order = one.orderBy(F.desc("quotient"), F.desc("weight"), F.col("source").asc_nulls_first())
     seats = seats.withColumn("seat", F.row_number().over(order).cast("long") - 1)
-    end = F.min(F.when(F.col("j") == F.col("available"), F.col("seat"))).over(one)
-    seats = seats.withColumn("__end", end).where("seat < __end")
+    if not exhaust:
+        end = F.min(F.when(F.col("j") == F.col("available"), F.col("seat"))).over(one)
+        seats = seats.withColumn("__end", end).where("seat < __end")
     if total_blocks is not None:
         seats = seats.where(F.col("seat") < total_blocks)
     return seats.select("source", "seat", F.floor(F.col("seat") / shard_blocks).cast("long").alias("shard"), F.col("j").alias("rank"))
 
 
-def mixture(docs: DataFrame, weights: dict | None = None, total_blocks: int | None = None, tokens: Column | None = None, block_tokens: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, temperature: float = TEMPERATURE) -> DataFrame:
+def mixture(docs: DataFrame, weights: dict | None = None, total_blocks: int | None = None, tokens: Column | None = None, block_tokens: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, temperature: float = TEMPERATURE, exhaust: bool = False) -> DataFrame:
     """``(doc_id, source, tokens, shard, seat, text_hash)`` of the chosen rows."""
     blocks = materialize(blocks_of(docs, tokens, block_tokens, seed), "blocks")
-    seats = quotas(_weights(blocks, weights, temperature), total_blocks, shard_blocks)
+    seats = quotas(_weights(blocks, weights, temperature), total_blocks, shard_blocks, exhaust)
     pick = blocks.groupBy("source", "block").agg(F.count("*").alias("__n")).drop("__n")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")), F.lit(":"), F.col("block").cast("string")))
     pick = pick.withColumn("__rank", F.row_number().over(Window.partitionBy("source").orderBy(key, "block")).cast("long") - 1)

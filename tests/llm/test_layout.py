@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from fingerlake.llm import hilbert, mixing, packing
 
 from .conftest import frame, prose
@@ -90,6 +91,28 @@ def test_quotas_match_brute_force(spark, many):
     assert rows(few) != rows(other) and rows(few) == rows(mixing.mixture(many, weights=w, block_tokens=50, total_blocks=3))
 
 
+def test_exhausted_source_drops_out(spark):
+    """A hot source, a small one and a few rows without a source, by the pipeline's stage."""
+    rng = np.random.default_rng(4)
+    r = [(i, prose(rng, 5000), "en", "hot") for i in range(80)] + [(100 + i, prose(rng, 5000), "en", "mid") for i in range(20)]
+    r += [(200 + i, prose(rng, 4500), "en", "small") for i in range(9)] + [(300, prose(rng, 5), "en", None), (301, None, "en", None)]
+    docs = frame(spark, r)
+    kept = corpus_pipeline.mixing_stage(spark, docs, "")
+    assert rows(kept) == rows(docs)
+    assert mixing.mix(docs).count() < 111
+    m = mixing.mixture(docs, exhaust=True)
+    seats = {x.seat: x.source for x in m.select("seat", "source").distinct().collect()}
+    blocks = {s: m.where(F.col("source").eqNullSafe(s)).select("seat").distinct().count() for s in ("hot", "mid", "small", None)}
+    tokens = {x.source: x.tokens**0.7 for x in m.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
+    got, want = dict.fromkeys(blocks, 0), []
+    while any(got[s] < blocks[s] for s in blocks):
+        s = max((s for s in blocks if got[s] < blocks[s]), key=lambda k: tokens[k] / (2 * got[k] + 1))
+        got[s] += 1
+        want.append(s)
+    assert [seats[i] for i in range(len(seats))] == want
+    assert mixing.mixture(docs, exhaust=True, total_blocks=5).agg(F.max("seat")).first()[0] == 4
+
+
 def test_best_fill_matches_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(150):
