@@ -14,7 +14,9 @@ assigned to a name such as ``password`` or ``token``.
 
 Cases: null and empty texts have no secrets; the whole of a long text is
 searched; a long run is judged in pieces of ``PIECE`` characters by its worst
-piece; equal rows give equal findings.
+piece; a run that passes as a whole is judged again by each of its segments between
+``/ - _ = +`` and by overlapping windows of ``SHORT`` characters, so that a key behind
+a long path is not averaged away; equal rows give equal findings.
 """
 
 from __future__ import annotations
@@ -39,6 +41,9 @@ MIXED_RATIO = 2.3
 CAPITALS_RATIO = 1.85
 WORD_RATIO = 1.6
 PIECE = 256
+#: Windows inside a run; each STEP from the last, so one has 24 characters of a key at its start.
+SHORT = 32
+STEP = 8
 MASK = "[SECRET]"
 
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -51,6 +56,8 @@ _DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 _NUMBER = re.compile(r"[0-9=_/+-]+")
 _WORDS = re.compile(r"(?:[A-Za-z]{0,15}|[0-9]{0,8})(?:[-_/+=](?:[A-Za-z]{0,15}|[0-9]{0,8}))+")
+_SEGMENT = re.compile(r"[A-Za-z0-9]+")
+_KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:%s|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])" % _UUID.pattern)
 #: The same test for the JVM: texts without any such run never reach Python.
 _PREFILTER = r"[A-Za-z0-9+/_=-]{%d}|(?i)(?:pass|pwd|secret|token|key|auth|cred|bearer)[^\n]{0,24}[A-Za-z0-9+/_=-]{%d}" % (MIN_LENGTH, MIN_ASSIGNED)
 
@@ -81,6 +88,52 @@ def _mixed(run: str) -> bool:
     return (has_digit and has_alpha) or (any(c.isupper() for c in inner) and any(c.islower() for c in inner))
 
 
+def _random(body: str, ratio: float) -> bool:
+    return ratio <= (MIXED_RATIO if _mixed(body) else CAPITALS_RATIO if body.isupper() else WORD_RATIO)
+
+
+def _known(body: str) -> bool:
+    """Words, numbers, ids and digests."""
+    return bool(_NUMBER.fullmatch(body) or _UUID.fullmatch(body) or _WORDS.fullmatch(body) or (len(body) in _DIGEST_LENGTHS and _DIGEST.fullmatch(body)))
+
+
+def _inner(body: str, path: str) -> list[tuple[int, int, float]]:
+    """(start, end, ratio) of the keys inside a run that passes as a whole.
+
+    A window's find is widened to the segments that it touches; ids and digests
+    are cut out first.
+    """
+    segments = [m.span() for m in _SEGMENT.finditer(body)]
+    hits = []
+    for a, b in segments:
+        if b - a >= MIN_LENGTH and not _known(body[a:b]):
+            ratio = chars_per_token(body[a:b], path)
+            if _random(body[a:b], ratio):
+                hits.append((a, b, ratio))
+    known = [m.span() for m in _KNOWN.finditer(body) if _known(m.group())]
+    lo = 0
+    for a, b in [*known, (len(body), len(body))]:
+        if a - lo > SHORT:
+            for i in [*range(lo, a - SHORT, STEP), a - SHORT]:
+                part = body[i : i + SHORT]
+                if _known(part):
+                    continue
+                ratio = chars_per_token(part, path)
+                if _random(part, ratio):
+                    touched = [(x, y) for x, y in segments if x < i + SHORT and y > i]
+                    x, y = (touched[0][0], touched[-1][1]) if touched else (i, i + SHORT)
+                    # Of one long segment only the windows that were found.
+                    hits.append((max(x, i) if i - x > PIECE else x, min(y, i + SHORT) if y - i - SHORT > PIECE else y, ratio))
+        lo = b
+    out: list[tuple[int, int, float]] = []
+    for a, b, ratio in sorted(hits):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]), min(ratio, out[-1][2]))
+        else:
+            out.append((a, b, ratio))
+    return out
+
+
 def find_secrets(text: str | None, path: str = VOCABULARY) -> list[tuple[int, int, float]]:
     """(start, end, characters per token) of each secret in ``text``."""
     out = []
@@ -103,12 +156,13 @@ def find_secrets(text: str | None, path: str = VOCABULARY) -> list[tuple[int, in
             continue
         if not assigned and (_WORDS.fullmatch(body) or (len(body) in _DIGEST_LENGTHS and _DIGEST.fullmatch(body))):
             continue
-        mixed = _mixed(body)
-        if not mixed and len(body) < MIN_LENGTH:
+        if len(body) < MIN_LENGTH and not _mixed(body):
             continue
         ratio = chars_per_token(body, path)
-        if ratio <= (MIXED_RATIO if mixed else CAPITALS_RATIO if body.isupper() else WORD_RATIO):
+        if _random(body, ratio):
             out.append((start, end, ratio))
+        elif not _WORDS.fullmatch(body):
+            out += [(start + a, start + b, r) for a, b, r in _inner(body, path)]
     return out
 
 

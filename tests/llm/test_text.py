@@ -35,6 +35,25 @@ def test_ratio_against_brute_force():
         assert secretscan.chars_per_token(s) == pytest.approx(min(len(p) / len(enc.encode_ordinary(p)) for p in pieces))
 
 
+def test_keys_behind_paths_are_found():
+    rng = np.random.default_rng(4)
+    path = "com/incoming/webhooks/production/notifications/"
+    for reps in (1, 2, 3, 7):
+        for n in (20, 32, 40):
+            for alphabet in (ALNUM, ALNUM + "+/"):
+                found = whole = 0
+                for _ in range(40):
+                    s = key(rng, n - 2, alphabet)
+                    start = len("at " + path * reps)
+                    hits = secretscan.find_secrets(f"at {path * reps}a{s}7 and more")
+                    found += bool(hits)
+                    whole += any(a <= start and b >= start + n for a, b, _ in hits)
+                assert found >= 38 and whole >= 38, (reps, n)
+    digest = key(rng, 40)
+    for s in (path * 7 + "index", f"{path * 7}{digest}/src"):
+        assert not secretscan.find_secrets("at " + s + " and more"), s
+
+
 def test_secret_stage(spark, odd, none):
     rng = np.random.default_rng(2)
     t = prose(rng, 20)
