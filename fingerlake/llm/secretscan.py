@@ -8,8 +8,10 @@ commit ids, UUIDs, numbers, addresses, dates.
 
 The ratio that is still suspicious depends on the run's shape: a run that mixes
 letters with digits, or cases inside, may have up to ``MIXED_RATIO``; one of
-letters in a single case could be a rare word and must be at
-``CAPITALS_RATIO`` or ``WORD_RATIO`` at most. A run shorter than ``MIN_LENGTH`` counts only where it is
+letters in a single case could be a rare word and must be at ``CAPITALS_RATIO`` at
+most, or, in lower case, at ``WORD_RATIO`` and from ``LONG_WORD`` characters on at
+``LONG_WORD_RATIO``, as the ratio of random letters scatters less the longer they are
+(mean 1.67). Assigned to a secret's name it may have ``MIXED_RATIO``. A run shorter than ``MIN_LENGTH`` counts only where it is
 assigned to a name such as ``password`` or ``token``.
 
 Cases: null and empty texts have no secrets; the whole of a long text is
@@ -39,7 +41,9 @@ MIN_LENGTH = 16
 MIN_ASSIGNED = 8
 MIXED_RATIO = 2.3
 CAPITALS_RATIO = 1.85
-WORD_RATIO = 1.6
+WORD_RATIO = 1.8
+LONG_WORD_RATIO = 2.0
+LONG_WORD = 20
 PIECE = 256
 #: Windows inside a run; each STEP from the last, so one has 24 characters of a key at its start.
 SHORT = 32
@@ -88,8 +92,12 @@ def _mixed(run: str) -> bool:
     return (has_digit and has_alpha) or (any(c.isupper() for c in inner) and any(c.islower() for c in inner))
 
 
-def _random(body: str, ratio: float) -> bool:
-    return ratio <= (MIXED_RATIO if _mixed(body) else CAPITALS_RATIO if body.isupper() else WORD_RATIO)
+def _random(body: str, ratio: float, assigned: bool) -> bool:
+    if assigned or _mixed(body):
+        return ratio <= MIXED_RATIO
+    if body.isupper():
+        return ratio <= CAPITALS_RATIO
+    return ratio <= (LONG_WORD_RATIO if len(body) >= LONG_WORD else WORD_RATIO)
 
 
 def _known(body: str) -> bool:
@@ -108,7 +116,7 @@ def _inner(body: str, path: str) -> list[tuple[int, int, float]]:
     for a, b in segments:
         if b - a >= MIN_LENGTH and not _known(body[a:b]):
             ratio = chars_per_token(body[a:b], path)
-            if _random(body[a:b], ratio):
+            if _random(body[a:b], ratio, False):
                 hits.append((a, b, ratio))
     known = [m.span() for m in _KNOWN.finditer(body) if _known(m.group())]
     lo = 0
@@ -119,7 +127,7 @@ def _inner(body: str, path: str) -> list[tuple[int, int, float]]:
                 if _known(part):
                     continue
                 ratio = chars_per_token(part, path)
-                if _random(part, ratio):
+                if _random(part, ratio, False):
                     touched = [(x, y) for x, y in segments if x < i + SHORT and y > i]
                     x, y = (touched[0][0], touched[-1][1]) if touched else (i, i + SHORT)
                     # Of one long segment only the windows that were found.
@@ -159,7 +167,7 @@ def find_secrets(text: str | None, path: str = VOCABULARY) -> list[tuple[int, in
         if len(body) < MIN_LENGTH and not _mixed(body):
             continue
         ratio = chars_per_token(body, path)
-        if _random(body, ratio):
+        if _random(body, ratio, assigned):
             out.append((start, end, ratio))
         elif not _WORDS.fullmatch(body):
             out += [(start + a, start + b, r) for a, b, r in _inner(body, path)]

@@ -35,6 +35,18 @@ def test_ratio_against_brute_force():
         assert secretscan.chars_per_token(s) == pytest.approx(min(len(p) / len(enc.encode_ordinary(p)) for p in pieces))
 
 
+def test_lower_case_keys_are_found():
+    rng = np.random.default_rng(5)
+    low = "abcdefghijklmnopqrstuvwxyz"
+    for n, least in ((16, 0.75), (20, 0.9), (32, 0.95), (40, 0.95), (64, 0.95)):
+        keys = [key(rng, n, low) for _ in range(300)]
+        assert sum(bool(secretscan.find_secrets(f"some words {k} and more")) for k in keys) >= least * 300, n
+        for name in ("password=", "token: "):
+            assert sum(secretscan.find_secrets(f"some {name}{k} and more") != [] for k in keys) >= 0.97 * 300, (n, name)
+    for s in ("internationalization", "password: internationalization", "antidisestablishmentarianism", "donaudampfschifffahrtsgesellschaft"):
+        assert not secretscan.find_secrets("some words " + s + " and more"), s
+
+
 def test_keys_behind_paths_are_found():
     rng = np.random.default_rng(4)
     path = "com/incoming/webhooks/production/notifications/"
