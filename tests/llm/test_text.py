@@ -82,6 +82,21 @@ def test_secret_stage(spark, odd, none):
     assert secretscan.secrets(none).count() == 0 and secretscan.secrets(odd).count() == 0
 
 
+def test_prefilter_keeps_every_text_with_a_secret(spark, odd):
+    rng = np.random.default_rng(6)
+    texts = ["login:\n user: bob\n password:\n aZ3kQ9xT7w\n", "Authorization =>\r\n 'aZ3kQ9xT7w'", "PASSPHRASE\" \n\n:\n\n\"aZ3kQ9xT7w\"", "to\u212aen:\naZ3kQ9xT7w", "nothing here", None, ""]
+    names = ["password", "api_key", "access-key", "private_key", "credentials", "token", "bearer", "secret", "auth"]
+    for _ in range(300):
+        gap = "".join(rng.choice([" ", "\n", "\t", ":", "=", "'", '"', "\r"], int(rng.integers(1, 7))))
+        texts.append(f"a {rng.choice(names)}{gap}{key(rng, int(rng.integers(8, 16)), ALNUM)} b")
+    docs = frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    got = sorted((r.doc_id, r.start, r.end) for r in secretscan.secrets(docs).collect())
+    assert got == [(i, a, b) for i, t in enumerate(texts) for a, b, _ in secretscan.find_secrets(t)]
+    assert {i for i, _, _ in got} >= {0, 1, 2, 3}
+    redacted = {r.doc_id: r.text for r in secretscan.redact_secrets(docs).collect()}
+    assert all(redacted[i] == secretscan.redact(t) for i, t in enumerate(texts) if t is not None)
+
+
 class Slow(HTMLParser):
     """Blocks by the standard library's parser."""
 
