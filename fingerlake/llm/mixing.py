@@ -13,7 +13,8 @@ no block left for: the weights then hold throughout, and nothing is repeated. Wi
 the highest quotient, until every block has one (or ``total_blocks`` are seated): no
 text with tokens is lost, and the weights hold among the sources that are left.
 
-Tokens are counted as runs between blanks unless ``tokens`` gives a better count.
+Tokens are counted as runs between blanks unless ``tokens`` gives a better count,
+for example :func:`vocabulary_count`.
 
 Cases: rows with a null or empty text have no tokens and go with the block they
 fall in; a null source is a source; a source without a weight, or whose weight is
@@ -24,10 +25,15 @@ table gives an empty mixture.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fingerlake.llm.running import running_before
+from fingerlake.llm.secretscan import VOCABULARY, tokenizer
 from fingerlake.plans.lineage import materialize
 
 BLOCK_TOKENS = 20_000
@@ -42,6 +48,18 @@ def token_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^ \t\n\r]+")), F.lit(0)).cast("long")
 
 
+def vocabulary_count(text: str = "text", path: str = VOCABULARY) -> Column:
+    """Tokens of the vocabulary at ``path``; 0 for null."""
+
+    @F.arrow_udf(T.LongType())
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc = tokenizer(path)
+        for values in batches:
+            yield pa.array([0 if (t := v.as_py()) is None else len(enc.encode_ordinary(t)) for v in values], pa.int64())
+
+    return count(F.col(text))
+
+
 def blocks_of(docs: DataFrame, tokens: Column | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
     """``(doc_id, source, tokens, block, text_hash)`` of every row.
 

@@ -7,7 +7,9 @@ remaining lengths, whose reachable sums are the bits of one integer, finds the
 sum closest to the window's capacity; walking back through the program gives how
 many pieces of each length make that sum, and these are taken out.
 
-Tokens are counted as runs between blanks unless ``tokens`` gives a better count.
+Tokens are counted as runs between blanks unless ``tokens`` gives a better count, as
+the registered query does with :func:`mixing.vocabulary_count`; each document is
+counted once.
 
 Cases: a row without a token (null or empty text) is in no window; pieces of equal
 length are taken in order of doc_id (null last), then of their place in the
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fingerlake.llm.mixing import token_count
+from fingerlake.plans.lineage import materialize
 
 WINDOW = 2048
 GROUP_PIECES = 8192
@@ -82,7 +85,11 @@ def pack_lengths(lengths: np.ndarray, capacity: int = WINDOW) -> np.ndarray:
 
 
 def _pieces(docs: DataFrame, window: int, tokens: Column | None) -> DataFrame:
-    d = docs.select("doc_id", (tokens if tokens is not None else token_count()).alias("tokens")).where("tokens > 0")
+    d = docs.select("doc_id", (tokens if tokens is not None else token_count()).alias("tokens"))
+    if tokens is not None:
+        # Written, as both the number of groups and the packing read the counts.
+        d = materialize(d, "counts")
+    d = d.where("tokens > 0")
     starts = F.sequence(F.lit(0).cast("long"), (F.ceil(F.col("tokens") / window) - 1).cast("long"))
     d = d.select("doc_id", "tokens", F.explode(starts).alias("piece"))
     return d.select("doc_id", (F.col("piece") * window).alias("start"), F.least(F.lit(window).cast("long"), F.col("tokens") - F.col("piece") * window).alias("length"))

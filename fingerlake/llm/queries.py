@@ -43,7 +43,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), tokens=mixing.vocabulary_count())
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fingerlake.llm import hilbert, mixing, packing
+from fingerlake.llm import hilbert, mixing, packing, queries, secretscan
 
 from .conftest import frame, prose
 
@@ -91,6 +91,21 @@ def test_quotas_match_brute_force(spark, many):
     assert rows(few) != rows(other) and rows(few) == rows(mixing.mixture(many, weights=w, block_tokens=50, total_blocks=3))
 
 
+def test_packing_query_counts_vocabulary_tokens(odd, spark, tmp_path):
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    enc = secretscan.tokenizer()
+    want = []
+    for d in odd.collect():
+        n = len(enc.encode_ordinary(d.text or ""))
+        want += [(d.doc_id, s, min(packing.WINDOW, n - s)) for s in range(0, n, packing.WINDOW)]
+    seen = []
+    for r in queries.op9_packing(spark, str(tmp_path)).collect():
+        assert r.filled == sum(r.lengths) == packing.WINDOW - r.slack <= packing.WINDOW
+        seen += list(zip(r.doc_ids, r.starts, r.lengths))
+    assert sorted(seen, key=repr) == sorted(want, key=repr)
+    assert len([p for p in seen if p[0] == 7]) > 10
+
+
 def test_exhausted_source_drops_out(spark):
     """A hot source, a small one and a few rows without a source, by the pipeline's stage."""
     rng = np.random.default_rng(4)
