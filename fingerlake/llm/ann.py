@@ -26,6 +26,7 @@ table of n usable rows gives at most n - 1 neighbours each.
 from __future__ import annotations
 
 import gc
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -40,6 +41,8 @@ from fingerlake.plans.lineage import discard, materialize
 K = 10
 LIST = 56
 NEW = 40
+#: Rows and columns of one product among a hub's company.
+TILE = 1024
 TREES = 4
 LEAF = 600
 SETTLED = 0.002
@@ -263,22 +266,21 @@ def _meet(parts: int):
             if not n_new:
                 continue
             fresh_ix, old_ix = ix[lo : lo + n_new], ix[lo + n_new : hi]
-            # Beyond twice NEW a node's company is thinned out evenly.
-            fresh_ix = fresh_ix[:: -(-n_new // (2 * NEW))]
-            if len(old_ix):
-                old_ix = old_ix[:: -(-len(old_ix) // (2 * LIST))]
             every = np.concatenate([fresh_ix, old_ix])
-            sim = x[fresh_ix] @ x[every].T
-            p, q = np.nonzero(sim > np.minimum(worst[fresh_ix][:, None], worst[every][None, :]))
-            u, v, s = fresh_ix[p], every[q], sim[p, q]
-            for m, n in ((u, v), (v, u)):
-                ok = (s > worst[m]) & (m != n)
-                a.append(rows[m[ok]])
-                b.append(rows[n[ok]])
-                g.append(s[ok])
-                pend += int(ok.sum())
-            if pend > 3_000_000 + (len(a[0]) if a else 0):
-                squeeze()
+            # All of a hub's company meets, a tile of at most TILE x TILE at a time.
+            for i, j in itertools.product(range(0, n_new, TILE), range(0, len(every), TILE)):
+                fi, ej = fresh_ix[i : i + TILE], every[j : j + TILE]
+                sim = x[fi] @ x[ej].T
+                p, q = np.nonzero(sim > np.minimum(worst[fi][:, None], worst[ej][None, :]))
+                u, v, s = fi[p], ej[q], sim[p, q]
+                for m, n in ((u, v), (v, u)):
+                    ok = (s > worst[m]) & (m != n)
+                    a.append(rows[m[ok]])
+                    b.append(rows[n[ok]])
+                    g.append(s[ok])
+                    pend += int(ok.sum())
+                if pend > 3_000_000 + (len(a[0]) if a else 0):
+                    squeeze()
         return _answer(a, b, g, parts, LIST)
 
     return run

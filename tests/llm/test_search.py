@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fingerlake.llm import ann, topk
@@ -35,6 +36,21 @@ def test_recall_over_several_parts(spark, monkeypatch):
     assert np.mean([len(set(np.argsort(-t[i])[:10]) & near[i]) / 10 for i in range(40)]) >= 0.9
 
 
+def test_whole_company_of_a_hub_meets(monkeypatch):
+    monkeypatch.setattr(ann, "TILE", 100)
+    rng = np.random.default_rng(8)
+    n, new = 700, 300
+    x = rng.normal(size=(n, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    fresh = np.arange(n) < new
+    table = pa.table({"row": pa.array(np.arange(n)), "vec": pa.array(list(x), pa.list_(pa.float32())), "worst": pa.array(np.full(n, -2, np.float32)), "hosts": pa.array([[0]] * n, pa.list_(pa.int64())), "fresh": pa.array([[bool(f)] for f in fresh], pa.list_(pa.bool_()))})
+    got = {r["row"]: r["ids"] for r in ann._meet(1)(table).to_pylist()}
+    sim = x @ x.T
+    np.fill_diagonal(sim, -3)
+    sim[np.ix_(~fresh, ~fresh)] = -3
+    assert all(int(sim[i].argmax()) in got[i] for i in range(n))
+
+
 def test_odd_vectors(spark):
     data = [(1, [1.0, 0.0], "a"), (1, [1.0, 0.0], "a"), (None, [0.0, 2.0], None), (2, None, "a"), (3, [0.0, 0.0], "a"), (4, [float("nan"), 1.0], "a"), (5, [1.0], "a"), (6, [1.0, None], "a")]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>, part string")
