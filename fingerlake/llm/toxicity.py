@@ -1,15 +1,18 @@
 """Toxic sentences, learned from document labels alone.
 
 Multiple-instance learning: a document is a bag of sentences. A sentence has the
-probability ``s = sigmoid(b + sum of its distinct words' weights)``,
-where a word's weight is that of itself and of its openings; the
-document's is the noisy-or ``1 - prod(1 - s)``. Weights are fitted so that the
-noisy-or agrees with the document labels; the sentence scores then show where
-the offence is.
+probability ``s = sigmoid(b + c log(n) + sum of its distinct words' weights)``,
+where a word's weight is that of itself and of its openings and n is the number of
+sentences in its document; the document's is the noisy-or ``1 - prod(1 - s)``. All
+weights are fitted so that the noisy-or agrees with the document labels; ``c``, fitted
+like the others, is what keeps thousands of harmless sentences from adding up. The
+sentence scores then show where the offence is.
 
 Cases: a null or empty text, or one without a word, has no sentences and
 probability 0; the whole of a long text is scored, sentence by sentence; repeated
-rows score alike; where the labels have one class only nothing is toxic.
+rows score alike; sentences that tie for the worst are all reported; where the labels
+have one class only nothing is toxic. Columns besides doc_id and text play no part,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -37,9 +40,6 @@ EPOCHS, RATE, DECAY = 200, 0.15, 2e-4
 LEAST_WEIGHT = 0.05
 THRESHOLD = 0.5
 SENTENCE_THRESHOLD = 0.5
-#: A document is toxic only if its worst sentence reaches this: thousands of
-#: harmless sentences are no offence, though their noisy-or adds up.
-LOCATED = 0.1
 
 _SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+(?=\s|$)|[.!?]+|\n|$)")
 _WORD = re.compile(r"[^\W_]+")
@@ -79,30 +79,23 @@ class NoisyOr:
 
     bias: float | None = None
     weight: dict[str, float] = field(default_factory=dict)
+    #: What the logarithm of the number of sentences adds.
+    crowd: float = 0.0
 
     def __post_init__(self):
         self._word = _Words(self.weight)
 
-    def harmless(self, text: str) -> bool:
-        """True only if no sentence can reach ``LOCATED``.
-
-        A sentence's words are among the text's, so the sum of the text's
-        positive weights bounds that of any sentence.
-        """
-        if self.bias is None:
-            return True
-        most = sum(x for x in map(self._word.__getitem__, set(_WORD.findall(text.lower()))) if x > 0)
-        return self.bias + most + 1e-9 < math.log(LOCATED / (1 - LOCATED))
-
-    def sentence(self, text: str) -> float:
+    def sentence(self, text: str, among: int = 1) -> float:
+        """A sentence's probability in a document of ``among`` sentences."""
         if self.bias is None:
             return 0.0
-        z = self.bias + math.fsum(map(self._word.__getitem__, set(_WORD.findall(text.lower()))))
+        z = self.bias + self.crowd * math.log(max(1, among)) + math.fsum(map(self._word.__getitem__, set(_WORD.findall(text.lower()))))
         return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
     def document(self, text: str) -> tuple[float, list[tuple[int, str, float]]]:
         """The noisy-or, and (number, sentence, score) of each sentence."""
-        scored = [(i, s, self.sentence(s)) for i, s in enumerate(sentences(text))]
+        every = sentences(text)
+        scored = [(i, s, self.sentence(s, len(every))) for i, s in enumerate(every)]
         return 1 - math.exp(math.fsum([math.log1p(-min(x[2], 1 - 1e-12)) for x in scored])), scored
 
 
@@ -129,10 +122,11 @@ def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> NoisyOr:
     del bags, sent_ids, word_ids
     share = y.mean()
     cost = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)
-    w, b = np.zeros(len(vocab)), -5.0
-    mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+    crowd = np.log(np.bincount(doc, minlength=len(y)))[doc]
+    w, b = np.zeros(len(vocab)), np.array([-5.0, 0.0])
+    mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros(2), np.zeros(2)
     for t in range(1, epochs + 1):
-        z = b + np.bincount(s_of, weights=w[w_of], minlength=n_sent)
+        z = b[0] + b[1] * crowd + np.bincount(s_of, weights=w[w_of], minlength=n_sent)
         s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         quiet = np.bincount(doc, weights=np.log1p(-np.clip(s, 0, 1 - 1e-9)), minlength=len(y))
         p = -np.expm1(quiet)
@@ -140,13 +134,13 @@ def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> NoisyOr:
         pull = np.where(y == 1, -np.exp(quiet) / np.maximum(p, 1e-9), 1.0) * cost
         g = pull[doc] * s
         gw = np.bincount(w_of, weights=g[s_of], minlength=len(vocab)) + DECAY * w
-        gb = g.sum()
+        gb = np.array([g.sum(), g @ crowd])
         mw, vw = 0.9 * mw + 0.1 * gw, 0.99 * vw + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         c1, c2 = 1 - 0.9**t, 1 - 0.99**t
         w = w - RATE * (mw / c1) / (np.sqrt(vw / c2) + 1e-7)
         b = b - RATE * (mb / c1) / (np.sqrt(vb / c2) + 1e-7)
-    return NoisyOr(float(b), {k: float(w[i]) for k, i in vocab.items() if abs(w[i]) >= LEAST_WEIGHT})
+    return NoisyOr(float(b[0]), {k: float(w[i]) for k, i in vocab.items() if abs(w[i]) >= LEAST_WEIGHT}, float(b[1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> NoisyOr:
@@ -171,14 +165,10 @@ def toxicity_udf(model: NoisyOr, threshold: float, sentence_threshold: float) ->
         for values in batches:
             out = []
             for v in values:
-                text = v.as_py() or ""
-                if model.harmless(text):
-                    out.append(None)
-                    continue
-                p, scored = model.document(text)
+                p, scored = model.document(v.as_py() or "")
                 hits = []
-                best = max((x[2] for x in scored), default=0.0)
-                if p >= threshold and best >= LOCATED:
+                if p >= threshold and scored:
+                    best = max(x[2] for x in scored)
                     hits = [{"sentence_index": i, "sentence": s, "score": x} for i, s, x in scored if x >= sentence_threshold or x == best]
                 out.append({"probability": p, "offending": hits})
             yield pa.array(out, kind)
@@ -190,8 +180,8 @@ def toxic_sentences(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     """The offending sentences of the documents found toxic.
 
     ``(doc_id, toxic_probability, sentence_index, sentence, sentence_score)``; a
-    document whose noisy-or reaches ``threshold`` and whose worst sentence
-    reaches ``LOCATED`` has at least one row: each sentence of ``sentence_threshold`` or more, and always its worst.
+    document whose noisy-or reaches ``threshold`` has at least one row: each sentence
+    of ``sentence_threshold`` or more, and always its worst. Every document is scored.
     """
     find = toxicity_udf(train(docs, labels), threshold, sentence_threshold)
     scored = docs.select("doc_id", find(F.col("text")).alias("__r"))
