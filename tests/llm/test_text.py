@@ -202,3 +202,61 @@ def test_pages(spark):
     assert got.columns == ["page_id", "url", "text", "n_blocks", "n_good_blocks"] and got.count() == 4
     assert max(len(r.text) for r in got.collect()) > 700_000
     assert htmlblocks.extract_pages(df.where("false")).count() == 0
+
+
+PROSE = {
+    "it": "La storia di questa città è la storia di una gente che non ha mai smesso di lavorare per il suo futuro, e che anche nei momenti più difficili ha trovato il modo di andare avanti con la forza dei suoi figli. ",
+    "pt": "A história desta cidade é a história de um povo que não deixou de trabalhar para o seu futuro e que, mesmo nos momentos mais difíceis, sempre encontrou uma forma de seguir em frente com a força dos seus filhos. ",
+    "nl": "De geschiedenis van deze stad is het verhaal van een volk dat niet is gestopt met werken aan zijn toekomst en dat ook in de moeilijke tijden een weg heeft gevonden om door te gaan met de kracht van zijn kinderen. ",
+    "sv": "Historien om den här staden är en berättelse om ett folk som inte har slutat att arbeta för sin framtid och som också under de svåra tiderna har hittat en väg att gå vidare med kraften från sina barn. ",
+    "pl": "Historia tego miasta to opowieść o ludziach, którzy nie przestali pracować dla swojej przyszłości i którzy także w trudnych czasach znaleźli sposób, aby iść dalej, bo to jest dla nich ważne i było ważne od zawsze. ",
+    "ru": "История этого города это рассказ о людях, которые не перестали работать для своего будущего и которые даже в трудные времена нашли способ идти дальше, как это было и до них, но уже с силой своих детей. ",
+    "fi": "Tämä kaupunki on paikka, jossa ihmiset eivät ole lakanneet tekemästä työtä, ja se on myös tarina siitä, että he ovat vain jatkaneet, kun muut ovat jo lähteneet, mutta nyt myös lapset ovat mukana ja he jatkavat. ",
+    "zh": "这座城市的历史是一个民族的故事他们从未停止为自己的未来而努力即使在最困难的时刻也总能找到前进的道路并且依靠孩子们的力量继续向前走下去直到今天仍然如此人们在这里生活工作学习并且把希望留给后来的人让他们可以看到更加美好的明天。",
+    "ja": "この町の歴史は、未来のために働き続けた人々の物語であり、最も困難な時でさえ前に進む道を見つけ、子どもたちの力とともに今日まで歩み続けてきた。人々はここで暮らし、働き、学び、後に続く者たちに希望を残している。",
+    "sw": "Historia ya mji huu ni hadithi ya watu ambao hawakuacha kufanya kazi kwa ajili ya maisha yao yajayo na ambao hata katika nyakati ngumu walipata njia ya kuendelea mbele kwa nguvu za watoto wao mpaka leo hii. ",
+}
+
+
+@pytest.mark.parametrize("lang", PROSE)
+def test_main_text_in_other_languages(lang):
+    body = (PROSE[lang] * 3).strip()
+    html = f"<html><body><nav><a href=x>AAA</a> <a href=y>BBB</a></nav><p>{body}</p><p>{body}</p><div>\xa9 2024 Example</div></body></html>"
+    assert htmlblocks.extract(html) == f"{body}\n{body}"
+
+
+def test_languages_of_a_page():
+    en = "This is the story of a town and of the people who have lived in it for a very long time, and it is told by one of them. " * 3
+    words = "Lamp chair table discount shipping brand premium quality offer catalogue shop " * 8
+    html = f"<p>{en}</p><p>{words}</p><p>{PROSE['it'] * 2}</p>"
+    assert htmlblocks.extract(html) == f"{en.strip()}\n{(PROSE['it'] * 2).strip()}"
+    assert htmlblocks.extract(f"<p>{en}</p>", {"xx": "lamp chair table"}) == en.strip()
+    assert htmlblocks.extract(f"<p>{words}</p><p>{en}</p>", {"xx": "lamp chair table discount shipping brand"}) == words.strip()
+
+
+def test_unclosed_tags_lose_no_text():
+    en = "This is the story of a town and of the people who have lived in it for a very long time, and it is told by one of them. " * 3
+    for start in ("<head><meta charset=x>", "<head><title>t</title>", "<select><option>a", "<select><option>a<select><option>b</select>", "<svg><path d=x>", "<title>t", "<template>", "<iframe src=x>", "<noscript>"):
+        assert en.strip() in htmlblocks.extract(f"<html>{start}<p>{en}</p><p>{en}</p>"), start
+    assert "var" not in htmlblocks.extract(f"<html><head><script>var a = '<p>x';</script><body><p>{en}</p>")
+
+
+def test_secrets_equal_find_secrets_on_fuzzed_texts(spark):
+    """Both table functions, text by text, over line breaks, quotes, paths and very long texts."""
+    rng = np.random.default_rng(11)
+    glue = [" ", "\n", "\r\n", "\t", "=", ": ", " is ", "'", '"', "/", "-", "_", ".", ",", "\u2028", "é", "日本"]
+    words = ["the", "password", "Token", "api_key", "secret", "config", "value", "bearer", "x9", "path/to/file", "2024-01-02"]
+    alphabets = [ALNUM, "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", ALNUM + "+/"]
+    texts = []
+    for _ in range(250):
+        parts = []
+        for _ in range(int(rng.integers(1, 25))):
+            parts.append(str(rng.choice(words)) if rng.random() < 0.7 else key(rng, int(rng.integers(6, 60)), alphabets[int(rng.integers(4))]))
+            parts.append(str(rng.choice(glue)))
+        texts.append("".join(parts))
+    texts.append(prose(rng, 60_000) + " password:\n  x9Kq2Lz8Qw and " + key(rng, 40, ALNUM))
+    docs = frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    got = sorted((r.doc_id, r.start, r.end) for r in secretscan.secrets(docs).collect())
+    want = [(i, a, b) for i, t in enumerate(texts) for a, b, _ in secretscan.find_secrets(t)]
+    assert got == want and len([w for w in want if w[0] == 250]) == 2
+    assert {r.doc_id: r.text for r in secretscan.redact_secrets(docs).collect()} == {i: secretscan.redact(t) for i, t in enumerate(texts)}
