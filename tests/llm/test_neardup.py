@@ -102,3 +102,39 @@ def test_odd_rows(odd, none):
     kept = sorted((r.doc_id for r in neardup.drop_near_duplicates(odd).collect()), key=repr)
     assert kept == sorted([1, 2, None, 3, 5, 6, 7, 8, 9], key=repr)
     assert neardup.near_duplicate_groups(none).count() == 0 and neardup.drop_near_duplicates(none).count() == 0
+
+
+def test_names_with_dots(odd):
+    docs = odd.withColumnRenamed("quality", "a.b").withColumnRenamed("__new", "group_id")
+    kept = neardup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and kept.count() == 9
+
+
+def test_tiles_find_all_pairs(spark, monkeypatch):
+    """A bucket cut into tiles gives the pairs of one that is not."""
+    rng = np.random.default_rng(5)
+    sig = [rng.integers(0, 4, neardup.REGISTERS).astype(np.uint8) for _ in range(6)]
+    sig = [np.where(rng.random(neardup.REGISTERS) < 0.1, 9, sig[i % 6]).astype(np.uint8) for i in range(60)]
+    nodes = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sig)], "h long, sig binary")
+    rows = [(1, i, i % 7, 60) for i in range(60)] + [(2, i, i, 3) for i in (3, 9, 10)] + [(5, i, i, 2) for i in (0, 6)]
+    parts = spark.createDataFrame(rows, "key long, h long, c long, n long")
+
+    def estimate(i, j):
+        return ((sig[i] == sig[j]).mean() - 1 / 256) / (1 - 1 / 256)
+
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if i % 7 != j % 7 and estimate(i, j) >= 0.35}
+    want |= {(i, j) for i, j in ((3, 9), (3, 10), (9, 10), (0, 6)) if estimate(i, j) >= 0.35}
+    for tile in (1024, 7):
+        monkeypatch.setattr(neardup, "TILE", tile)
+        assert {tuple(r) for r in neardup._cross(parts, nodes, 0.5).collect()} == want and want
+
+
+def test_every_pair_that_connects_is_verified(spark, monkeypatch):
+    """Estimates that are wrong by chance put no one into a group."""
+    texts = corpus(30)
+    docs = frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    monkeypatch.setattr(neardup, "MARGIN", 0.6)
+    sure = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if brute_jp(texts[i], texts[j]) >= neardup.THRESHOLD}
+    want = components(len(texts), sure)
+    got = {r.doc_id: r.group_id for r in neardup.near_duplicate_groups(docs).collect()}
+    assert set(got) <= {i for i in range(len(texts)) if want.count(want[i]) > 1} and all(want[i] == want[g] for i, g in got.items())
