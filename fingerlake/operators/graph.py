@@ -20,10 +20,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """Label each node that has an edge with the smallest node of its component.
 
     Alternating large-star and small-star rounds: edges are rewired towards the
-    smallest neighbour until each component is one star. Both steps are a window
-    minimum and a ``distinct``, so no neighbour list is ever held in one row, and
-    the number of rounds grows with the logarithm of the component's size. Each
-    round is written to the shared folder.
+    smallest neighbour until each component is one star. Both steps are a minimum by
+    node, combined before the shuffle, joined back and made distinct, so neither a row nor a task ever
+    holds a node's neighbours; the number of rounds grows with the logarithm of the
+    component's size. Each round is written to the shared folder.
 
     Edges with a null end and self-loops are ignored. Returns ``(id, component)``.
     """
@@ -32,12 +32,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     cur = materialize(cur, "cc")
     seen = _checksum(cur)
     for _ in range(max_rounds):
+        # Edges go from the larger to the smaller node. Large star: l's larger neighbours
+        # go to the smallest of l and its neighbours.
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
-        large = low.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        star = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        nxt = materialize(star.select("e.u", "e.v").where("u <> v").distinct(), "cc")
+        least = both.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = cur.join(least, "v").select("u", F.least("v", "m").alias("v")).distinct()
+        # Small star: a node and its smaller neighbours go to the smallest of these.
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        star = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        nxt = materialize(star.union(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
         now = _checksum(nxt)
         discard(cur)
         cur = nxt
