@@ -20,7 +20,7 @@ Cases: rows with a null or empty text have no tokens and go with the block they
 fall in; a null source is a source; a source without a weight, or whose weight is
 not positive, gets no seat; equal quotients go to the larger weight, then to the
 smaller name, null first; repeated rows are ordered next to each other; an empty
-table gives an empty mixture.
+table gives an empty mixture; further columns are carried through whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fingerlake.llm.names import free_name, quoted
 from fingerlake.llm.running import running_before
 from fingerlake.llm.secretscan import VOCABULARY, tokenizer
 from fingerlake.plans.lineage import materialize
@@ -39,6 +40,8 @@ from fingerlake.plans.lineage import materialize
 BLOCK_TOKENS = 20_000
 SHARD_BLOCKS = 64
 SEED = 11
+#: About so many seats are ranked in one task.
+SEAT_BUCKET = 20_000
 #: Default target: a source's share is its tokens to this power.
 TEMPERATURE = 0.7
 
@@ -87,44 +90,80 @@ def _weights(blocks: DataFrame, weights: dict | None, temperature: float) -> Dat
 def quotas(weights: DataFrame, total_blocks: int | None = None, shard_blocks: int = SHARD_BLOCKS, exhaust: bool = False) -> DataFrame:
     """``(source, seat, shard, rank)``: every seat in order of its quotient.
 
-    The seats before the first that some source cannot fill are found by that
-    seat's quotient, so only as many rows are ranked as there are blocks. With
-    ``exhaust`` no source puts up a seat that it cannot fill, and none ends the rest.
+    The order ends at the largest quotient of the seats that a source cannot fill, its
+    (available + 1)-th; with ``exhaust`` it does not end. A seat's place is close to
+    half the sum of all weights over its quotient, so buckets of this number, about
+    ``SEAT_BUCKET`` seats each, are counted first and seats are ranked inside them:
+    no task ranks them all.
     """
-    one = Window.partitionBy(F.lit(0))
-    # Unless it may drop out, each source also puts up the first seat that it cannot fill.
-    last = F.col("available").cast("long") - (1 if exhaust else 0)
-    seats = weights.select("source", "weight", "available", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("j"))
+    w = weights.select("source", "weight", F.col("available").cast("long").alias("available"))
+    seats = w.where("available > 0").select("source", "weight", F.explode(F.sequence(F.lit(0).cast("long"), F.col("available") - 1)).alias("j"))
     seats = seats.withColumn("quotient", F.col("weight") / (2 * F.col("j") + 1))
-    order = one.orderBy(F.desc("quotient"), F.desc("weight"), F.col("source").asc_nulls_first())
-    seats = seats.withColumn("seat", F.row_number().over(order).cast("long") - 1)
     if not exhaust:
-        end = F.min(F.when(F.col("j") == F.col("available"), F.col("seat"))).over(one)
-        seats = seats.withColumn("__end", end).where("seat < __end")
+        # One row: the first seat that some source cannot fill.
+        end = w.select("source", "weight", (F.col("weight") / (2 * F.col("available") + 1)).alias("quotient"))
+        end = end.orderBy(F.desc("quotient"), F.desc("weight"), F.col("source").asc_nulls_first()).limit(1)
+        end = end.select(F.col("quotient").alias("__q"), F.col("weight").alias("__w"), F.col("source").alias("__s"))
+        smaller = F.coalesce(F.col("source") < F.col("__s"), F.col("source").isNull() & F.col("__s").isNotNull())
+        tie = (F.col("quotient") == F.col("__q")) & ((F.col("weight") > F.col("__w")) | ((F.col("weight") == F.col("__w")) & smaller))
+        seats = seats.crossJoin(F.broadcast(end)).where((F.col("quotient") > F.col("__q")) | tie).drop("__q", "__w", "__s")
+    total = w.agg(F.sum("weight").alias("__all"))  # one row
+    seats = seats.crossJoin(F.broadcast(total)).withColumn("__bucket", F.floor(F.col("__all") / F.col("quotient") / (2 * SEAT_BUCKET))).drop("__all")
+    seats = seats.withColumn("__one", F.lit(1).cast("long"))
+    order = [F.desc("quotient"), F.desc("weight"), F.col("source").asc_nulls_first()]
+    seats = running_before(seats, [], "__bucket", order, "__one", "seat").withColumn("seat", F.col("seat").cast("long"))
     if total_blocks is not None:
         seats = seats.where(F.col("seat") < total_blocks)
     return seats.select("source", "seat", F.floor(F.col("seat") / shard_blocks).cast("long").alias("shard"), F.col("j").alias("rank"))
 
 
-def mixture(docs: DataFrame, weights: dict | None = None, total_blocks: int | None = None, tokens: Column | None = None, block_tokens: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, temperature: float = TEMPERATURE, exhaust: bool = False) -> DataFrame:
-    """``(doc_id, source, tokens, shard, seat, text_hash)`` of the chosen rows."""
-    blocks = materialize(blocks_of(docs, tokens, block_tokens, seed), "blocks")
+def _chosen(blocks: DataFrame, weights: dict | None, total_blocks: int | None, shard_blocks: int, seed: int, temperature: float, exhaust: bool) -> DataFrame:
+    """The rows of ``blocks`` whose block has a seat, with ``seat`` and ``shard``."""
     seats = quotas(_weights(blocks, weights, temperature), total_blocks, shard_blocks, exhaust)
-    pick = blocks.groupBy("source", "block").agg(F.count("*").alias("__n")).drop("__n")
+    pick = blocks.select("source", "block").distinct()
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")), F.lit(":"), F.col("block").cast("string")))
-    pick = pick.withColumn("__rank", F.row_number().over(Window.partitionBy("source").orderBy(key, "block")).cast("long") - 1)
+    # A source's blocks in a seeded order, ranked bucket by bucket of the key.
+    pick = pick.withColumn("__key", key).withColumn("__bucket", F.substring("__key", 1, 3)).withColumn("__one", F.lit(1).cast("long"))
+    pick = running_before(pick, ["source"], "__bucket", [F.col("__key"), F.col("block")], "__one", "__rank")
     s = seats.withColumnRenamed("source", "__source")
     chosen = pick.join(s, pick["source"].eqNullSafe(s["__source"]) & (pick["__rank"] == s["rank"])).select(F.col("source").alias("__source"), F.col("block").alias("__block"), "seat", "shard")
-    out = blocks.join(chosen, blocks["source"].eqNullSafe(chosen["__source"]) & (blocks["block"] == chosen["__block"]))
+    return blocks.join(chosen, blocks["source"].eqNullSafe(chosen["__source"]) & (blocks["block"] == chosen["__block"])).drop("__source", "__block")
+
+
+def mixture(docs: DataFrame, weights: dict | None = None, total_blocks: int | None = None, tokens: Column | None = None, block_tokens: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, temperature: float = TEMPERATURE, exhaust: bool = False) -> DataFrame:
+    """``(doc_id, source, tokens, shard, seat, text_hash)`` of the chosen rows."""
+    blocks = materialize(blocks_of(docs, tokens, block_tokens, seed), "blocks")
+    out = _chosen(blocks, weights, total_blocks, shard_blocks, seed, temperature, exhaust)
     return out.select("doc_id", "source", "tokens", "shard", "seat", "text_hash")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that :func:`mixture` chose; columns unchanged."""
-    m = mixture(docs, **options)
-    m = m.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash")).distinct()
-    hashed = F.md5(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(m, docs["doc_id"].eqNullSafe(m["__id"]) & docs["source"].eqNullSafe(m["__source"]) & (hashed == m["__hash"]), "left_semi")
+def mix(docs: DataFrame, weights: dict | None = None, total_blocks: int | None = None, tokens: Column | None = None, block_tokens: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, temperature: float = TEMPERATURE, exhaust: bool = False) -> DataFrame:
+    """The rows of ``docs`` that :func:`mixture` chose; columns unchanged.
+
+    Of rows with equal id, source and text as many stay as the mixture chose, no
+    matter which; they can only differ in other columns.
+    """
+    blocks = materialize(blocks_of(docs, tokens, block_tokens, seed), "blocks")
+    same = ["doc_id", "source", "text_hash"]
+    got = _chosen(blocks, weights, total_blocks, shard_blocks, seed, temperature, exhaust).groupBy(*same).agg(F.count("*").alias("__n"))
+    got = materialize(got.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), "__n"), "chosen")
+    name = free_name(docs, "__hashed")
+    d = docs.withColumn(name, F.md5(F.coalesce(docs["text"], F.lit(""))))
+    on = lambda o: d["doc_id"].eqNullSafe(o["__id"]) & d["source"].eqNullSafe(o["__source"]) & (d[name] == o["__hash"])
+    # Only rows that repeat can be chosen in part, where a block ends among them.
+    every = blocks.groupBy(*same).agg(F.count("*").alias("__all")).where("__all > 1")
+    e = every.select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("text_hash").alias("__h"), "__all")
+    part = got.join(e, got["__id"].eqNullSafe(e["__i"]) & got["__source"].eqNullSafe(e["__s"]) & (got["__hash"] == e["__h"])).where("__n < __all")
+    part = materialize(part.select("__id", "__source", "__hash", "__n"), "part")
+    kept = d.join(got, on(got), "left_semi")
+    if part.limit(1).count():
+        kept = kept.join(part, on(part), "left_anti")
+        rank, most = free_name(docs, "__rank"), free_name(docs, "__most")
+        p = part.withColumnRenamed("__n", most)
+        some = d.join(p, on(p)).select(*[d[quoted(c)] for c in d.columns], p[most])
+        some = some.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", "source", name).orderBy(name)))
+        kept = kept.unionByName(some.where(F.col(rank) <= F.col(most)).drop(rank, most))
+    return kept.select(*map(quoted, docs.columns))
 
 
 def oracle(block_tokens: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, temperature: float = TEMPERATURE) -> str:
