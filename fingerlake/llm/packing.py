@@ -13,8 +13,9 @@ counted once.
 
 Cases: a row without a token (null or empty text) is in no window; pieces of equal
 length are taken in order of doc_id (null last), then of their place in the
-document; repeated rows are packed each for itself; a long document may fill
-windows of its own; an empty table gives no window.
+document; repeated rows are packed each for itself; rows without an id are spread over
+the groups by their texts; a long document may fill windows of its own; an empty table
+gives no window; doc_id may have any type that sorts, and further columns play no part.
 """
 
 from __future__ import annotations
@@ -85,14 +86,12 @@ def pack_lengths(lengths: np.ndarray, capacity: int = WINDOW) -> np.ndarray:
 
 
 def _pieces(docs: DataFrame, window: int, tokens: Column | None) -> DataFrame:
-    d = docs.select("doc_id", (tokens if tokens is not None else token_count()).alias("tokens"))
-    if tokens is not None:
-        # Written, as both the number of groups and the packing read the counts.
-        d = materialize(d, "counts")
-    d = d.where("tokens > 0")
+    d = docs.select("doc_id", (tokens if tokens is not None else token_count()).alias("tokens"), F.xxhash64("text").alias("__text"))
+    # Written, as both the number of groups and the packing read the counts.
+    d = materialize(d, "counts").where("tokens > 0")
     starts = F.sequence(F.lit(0).cast("long"), (F.ceil(F.col("tokens") / window) - 1).cast("long"))
-    d = d.select("doc_id", "tokens", F.explode(starts).alias("piece"))
-    return d.select("doc_id", (F.col("piece") * window).alias("start"), F.least(F.lit(window).cast("long"), F.col("tokens") - F.col("piece") * window).alias("length"))
+    d = d.select("doc_id", "__text", "tokens", F.explode(starts).alias("piece"))
+    return d.select("doc_id", "__text", (F.col("piece") * window).alias("start"), F.least(F.lit(window).cast("long"), F.col("tokens") - F.col("piece") * window).alias("length"))
 
 
 def pack(docs: DataFrame, window: int = WINDOW, group_pieces: int = GROUP_PIECES, tokens: Column | None = None, seed: int = SEED) -> DataFrame:
@@ -106,7 +105,12 @@ def pack(docs: DataFrame, window: int = WINDOW, group_pieces: int = GROUP_PIECES
     pieces = _pieces(docs, window, tokens)
     # One count decides the groups; it reads what the packing itself reads.
     groups = max(1, -(-pieces.count() // group_pieces))
-    pieces = pieces.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("start")), F.lit(groups)).cast("long"))
+    place = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("start"), F.when(F.col("doc_id").isNull(), F.col("__text")))
+    pieces = pieces.withColumn("group", F.pmod(place, F.lit(groups)).cast("long")).drop("__text")
+    # Ids and lengths are few bytes but costly to pack, so the tasks are not left to their size.
+    spark = docs.sparkSession
+    pieces = pieces.repartition(min(groups, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)), "group")
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("length", "ascending")])
@@ -122,5 +126,5 @@ def pack(docs: DataFrame, window: int = WINDOW, group_pieces: int = GROUP_PIECES
         columns = [group, pa.array(np.arange(n, dtype=np.int64)), lists["doc_id"], lists["start"], lists["length"], pa.array(filled), pa.array(window - filled)]
         return pa.table(columns, names=["group", "window", "doc_ids", "starts", "lengths", "filled", "slack"])
 
-    schema = "`group` long, window long, doc_ids array<long>, starts array<long>, lengths array<long>, filled long, slack long"
+    schema = f"`group` long, window long, doc_ids array<{kind}>, starts array<long>, lengths array<long>, filled long, slack long"
     return pieces.groupBy("group").applyInArrow(run, schema)
