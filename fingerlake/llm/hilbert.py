@@ -11,15 +11,19 @@ Levels: the values of a dimension are put in order, null first, and a value's
 level is the share of the rows whose value is smaller, times 2^BITS.
 
 Cases: null metadata are values of their own; a null length weighs 0; ties on the
-curve are ordered by doc_id (null first), then by length; repeated rows are kept.
+curve are ordered by doc_id (null first), then by length; repeated rows are kept;
+an empty table gives no shard; further columns are carried through by
+:func:`write_shards` whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fingerlake.llm.names import free_name, quoted
 from fingerlake.llm.running import running_before
+from fingerlake.plans.lineage import materialize
 
 BITS = 7
 SHARD_CHARS = 16_000_000
@@ -111,19 +115,25 @@ def hilbert_column(x: Column, y: Column, z: Column, bits: int = BITS) -> Column:
 
 
 def _levels(docs: DataFrame, col: str, bits: int) -> DataFrame:
-    """(value, level) of a dimension; one row for each distinct value."""
+    """(value, level) of a dimension; one row for each distinct value.
+
+    The values are spread over ranges; the rows before a range are summed over one
+    row a range, so no task sees all values. The table is written, which fixes the
+    ranges.
+    """
     per = docs.groupBy(F.col(col).alias("__v")).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.col("__v").asc_nulls_first())
-    before = F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("__n").over(Window.partitionBy(F.lit(0)))
-    return per.select("__v", F.floor(before * (1 << bits) / total).cast("int").alias("__level"))
+    per = per.repartitionByRange(F.col("__v").asc_nulls_first()).withColumn("__range", F.spark_partition_id())
+    per = materialize(per, "levels")
+    total = per.agg(F.sum("__n").alias("__all"))  # one row
+    per = running_before(per, [], "__range", [F.col("__v").asc_nulls_first()], "__n", "__before").crossJoin(F.broadcast(total))
+    return per.select("__v", F.floor(F.col("__before") * (1 << bits) / F.col("__all")).cast("int").alias("__level"))
 
 
 def hilbert_shards(docs: DataFrame, shard_chars: int = SHARD_CHARS, bits: int = BITS) -> DataFrame:
     """``(doc_id, lang, source, n_chars, hilbert, shard)`` for every document.
 
     Only metadata columns are read. Per-value and per-cell totals are grouped
-    first; what is accumulated in one task is one row for each distinct value, or
+    first; what is accumulated in one task is one row for each range of values, or
     for each occupied cell (at most 2^(3 x bits)), never one for each document.
     """
     d = docs.select("doc_id", *DIMENSIONS)
@@ -142,10 +152,18 @@ def shard_manifest(shards: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shard_chars: int = SHARD_CHARS) -> None:
-    """Write ``docs`` as one file group for each shard, in curve order."""
-    s = hilbert_shards(docs, shard_chars).select(F.col("doc_id").alias("__id"), "hilbert", "shard").dropDuplicates(["__id"])
-    full = docs.join(s, docs["doc_id"].eqNullSafe(s["__id"])).drop("__id")
-    full.repartitionByRange("shard").sortWithinPartitions("shard", "hilbert", "doc_id").write.partitionBy("shard").parquet(path)
+    """Write ``docs`` as one file group for each shard, in curve order.
+
+    The folders are named by the shard, ``shard=...`` or, where ``docs`` has such a column,
+    ``shard_=...``. Rows with the same id and metadata share the first of their shards.
+    """
+    keys = ["doc_id", *DIMENSIONS]
+    shard, curve = free_name(docs, "shard"), free_name(docs, "hilbert")
+    s = hilbert_shards(docs, shard_chars).groupBy(*keys).agg(F.min("hilbert").alias(curve), F.min("shard").alias(shard))
+    s = s.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], curve, shard)
+    on = [docs[c].eqNullSafe(s[f"__k{i}"]) for i, c in enumerate(keys)]
+    full = docs.join(s, on).select(*[docs[quoted(c)] for c in docs.columns], s[curve], s[shard])
+    full.repartitionByRange(shard).sortWithinPartitions(shard, curve, docs["doc_id"]).drop(curve).write.partitionBy(shard).parquet(path)
 
 
 def oracle(table: str = "documents", shard_chars: int = SHARD_CHARS, bits: int = BITS) -> str:

@@ -159,3 +159,55 @@ def test_packing(spark, odd, many, none):
     assert packing.pack(many, 64).count() <= total / 64 * 1.02 + 1
     assert packing.pack(none).count() == 0
     assert rows(packing.pack(many, 64)) == rows(packing.pack(many.repartition(7), 64))
+
+
+def test_mix_keeps_what_the_mixture_chose(spark):
+    """Equal rows at the end of a block: as many stay as were chosen."""
+    rng = np.random.default_rng(6)
+    t, u = prose(rng, 60), prose(rng, 45)
+    docs = frame(spark, [(1, t, "en", "s")] * 5 + [(2, u, "en", "r"), (2, u, "en", "r"), (3, u, "en", "s")]).withColumnRenamed("quality", "a.b").withColumnRenamed("__new", "__id")
+    for blocks in (1, 2, 3):
+        m = mixing.mixture(docs, block_tokens=100, total_blocks=blocks)
+        out = mixing.mix(docs, block_tokens=100, total_blocks=blocks)
+        assert out.columns == docs.columns
+        assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in m.collect()), blocks
+    assert mixing.mixture(docs, block_tokens=100, total_blocks=1).count() < 5
+
+
+def test_seats_in_buckets(spark, monkeypatch):
+    """Ranks over many buckets are those of one sort, ties included."""
+    w = [(None, 2.0, 30), ("a", 2.0, 40), ("b", 6.0, 90), ("c", 0.5, 9), ("d", 6.0, 70)]
+    weights = spark.createDataFrame(w, "source string, weight double, available long")
+    for bucket in (3, 20_000):
+        monkeypatch.setattr(mixing, "SEAT_BUCKET", bucket)
+        for exhaust in (True, False):
+            seats = [(x / (2 * j + 1), x, s is not None, s or "", j, n) for s, x, n in w for j in range(n if exhaust else n + 1)]
+            seats.sort(key=lambda r: (-r[0], -r[1], r[2], r[3]))
+            order = [(r[3] if r[2] else None, r[4]) for r in seats]
+            if not exhaust:
+                order = order[: next(i for i, r in enumerate(seats) if r[4] == r[5])]
+            got = sorted((r.seat, r.source, r["rank"], r.shard) for r in mixing.quotas(weights, shard_blocks=7, exhaust=exhaust).collect())
+            assert got == [(i, s, j, i // 7) for i, (s, j) in enumerate(order)]
+
+
+def test_packing_odd_ids(spark, odd):
+    out = packing.pack(odd.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"))), 1000)
+    assert {i for r in out.collect() for i in r.doc_ids} == {"d1", None, "d6", "d7", "d8", "d9"}
+    rng = np.random.default_rng(9)
+    docs = frame(spark, [(None, prose(rng, 20), "en", "s") for _ in range(400)])
+    got = packing.pack(docs, 64, group_pieces=50).collect()
+    assert len({r.group for r in got}) == 8 and sum(r.filled for r in got) == 400 * 20
+
+
+def test_write_shards_odd_tables(odd, many, none, tmp_path, spark):
+    docs = many.withColumnRenamed("quality", "shard").withColumnRenamed("h", "hilbert").withColumnRenamed("__new", "a.b")
+    hilbert.write_shards(docs, str(tmp_path / "a"), 2000)
+    back = spark.read.parquet(str(tmp_path / "a"))
+    assert sorted(back.columns) == sorted([*docs.columns, "shard_"]) and back.count() == 300
+    assert rows(back.select("doc_id", F.col("shard_").cast("long").alias("shard"))) == rows(hilbert.hilbert_shards(docs, 2000).select("doc_id", "shard"))
+    hilbert.write_shards(odd, str(tmp_path / "b"), 2000)
+    assert spark.read.parquet(str(tmp_path / "b")).count() == 12
+    hilbert.write_shards(none, str(tmp_path / "c"), 2000)
+    # A filter on a dimension needs only some of the files.
+    box = hilbert.shard_manifest(hilbert.hilbert_shards(many, 2000)).collect()
+    assert any(r.max_source < "s2" or r.min_source > "s2" for r in box)
