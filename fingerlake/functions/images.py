@@ -318,27 +318,32 @@ class ColorMoment(LibraryHash):
 def unletterbox(image: np.ndarray, only_black: bool = False, min_fraction: float = 0.1, color_threshold: float = 2, min_side: int = 50, min_reduction: float = 0.02) -> tuple[int, int, int, int] | None:
     """(x1, x2, y1, y2) inside a plain border; None if what is left is too small.
 
-    The background is the commonest corner colour (black if asked for). A row or
-    column counts once more than ``min_fraction`` of its pixels differ from it by
-    more than ``color_threshold``. Bounds that save less than ``min_reduction``
-    of both sides are the full ones.
+    Works on gray values. The background is the commonest of the corners' (black if
+    asked for); four different corners have none, and nothing is cropped. A row
+    or column counts once more than ``min_fraction`` of its pixels differ from the
+    background by more than ``color_threshold``; an image without such rows or columns has
+    no content. Bounds that save no more than ``min_reduction`` of either side are the full ones.
     """
     if not 0 <= min_fraction <= 1 or not 0 <= min_reduction <= 1:
         raise ValueError("fractions lie between 0 and 1")
-    h, w = image.shape[:2]
-    rgb = image if image.ndim == 3 else np.repeat(image[..., None], 3, 2)
-    if only_black:
-        back = np.zeros(3, int)
-    else:
-        corners = [tuple(map(int, rgb[y, x])) for y in (0, h - 1) for x in (0, w - 1)]
-        back = np.array(max(corners, key=lambda c: (corners.count(c), -corners.index(c))))
-    differs = (np.abs(rgb.astype(int) - back) > color_threshold).any(2)
-    rows, cols = np.flatnonzero(differs.mean(1) > min_fraction), np.flatnonzero(differs.mean(0) > min_fraction)
+    g = gray(image.astype(np.uint8)).astype(np.int16)
+    h, w = g.shape
+    full = (0, w, 0, h)
+    back = 0
+    if not only_black:
+        corners = [int(g[y, x]) for y, x in ((0, 0), (0, -1), (-1, 0), (-1, -1))]
+        if len(set(corners)) == 4:
+            return full
+        back = max(corners, key=corners.count)
+    content = np.abs(g - back) > color_threshold
+    if content.all():
+        return full
+    rows, cols = np.flatnonzero(content.sum(1) > min_fraction * w), np.flatnonzero(content.sum(0) > min_fraction * h)
     if not len(rows) or not len(cols):
-        return (0, w, 0, h)
+        return None
     y1, y2, x1, x2 = int(rows[0]), int(rows[-1]) + 1, int(cols[0]), int(cols[-1]) + 1
-    if (w - (x2 - x1)) < min_reduction * w and (h - (y2 - y1)) < min_reduction * h:
-        return (0, w, 0, h)
+    if x2 - x1 >= w * (1 - min_reduction) and y2 - y1 >= h * (1 - min_reduction):
+        return full
     if x2 - x1 < min_side or y2 - y1 < min_side:
         return None
     return (x1, x2, y1, y2)

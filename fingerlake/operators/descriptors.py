@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from fingerlake.functions.images import gray, resize, unletterbox_crop
 from fingerlake.operators.similarity import cross_overlap_pairs, overlap_pairs
@@ -20,12 +23,13 @@ class LocalHasher:
     def __init__(self, name: str, ratio: float, threshold: float, overlap: float):
         self.name, self.ratio, self.threshold, self.overlap = name, ratio, threshold, overlap
 
-    def compute(self, image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def compute(self, image: np.ndarray, max_features: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """Keypoints and descriptors, the strongest ``max_features`` by the detector."""
         try:
             import cv2
         except ImportError as e:
             raise RuntimeError(f"{self.name} needs OpenCV") from e
-        engine = cv2.SIFT_create() if self.name == "SIFT" else cv2.AKAZE_create()
+        engine = cv2.SIFT_create(nfeatures=max_features) if self.name == "SIFT" else cv2.AKAZE_create(max_points=max_features)
         points, desc = engine.detectAndCompute(image, None)
         return np.array([p.pt for p in points], np.float32).reshape(-1, 2), desc
 
@@ -40,7 +44,7 @@ class PatchHasher(LocalHasher):
     def __init__(self):
         super().__init__("patch", 0.8, 0.35, 0.1)
 
-    def compute(self, image):
+    def compute(self, image, max_features=256):
         g = gray(image).astype(np.float64)
         gy, gx = np.gradient(g)
 
@@ -60,7 +64,7 @@ class PatchHasher(LocalHasher):
         best[:, :6] = best[:, -6:] = False
         best &= r > 1e-3 * max(r.max(), 1e-9)
         ys, xs = np.nonzero(best)
-        order = np.argsort(-r[ys, xs], kind="stable")[:256]
+        order = np.argsort(-r[ys, xs], kind="stable")[:max_features]
         desc = []
         for y, x in zip(ys[order], xs[order]):
             p = g[y - 4 : y + 4, x - 4 : x + 4].ravel()
@@ -92,7 +96,7 @@ def describe(images: DataFrame, hasher: LocalHasher, min_features: int = 10, max
                 try:
                     image = preprocess(from_spark_image(struct), max_size)
                     if image is not None:
-                        pts, desc = hasher.compute(image)
+                        pts, desc = hasher.compute(image, max_features)
                         if desc is not None and len(desc) >= min_features:
                             got = (pts[:max_features].tolist(), desc[:max_features].tolist(), min(len(desc), max_features), image.shape[1], image.shape[0])
                 except ValueError:
@@ -120,25 +124,23 @@ def minimum_intersection(kept1, every1, kept2, every2) -> float:
     return min(intersection(kept1, every1), intersection(kept2, every2))
 
 
-def ratio_matches(a: np.ndarray, b: np.ndarray, ratio: float) -> np.ndarray:
-    """Index pairs that are each other's nearest and pass the ratio test both ways.
+def ratio_matches(a: np.ndarray, b: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(near, good_a, good_b)``: each a's nearest b, and who passes the ratio test.
 
-    Distances are squared, and so is the meaning of ``ratio``.
+    A row passes if its nearest row of the other table is nearer than ``ratio``
+    times its second nearest. Distances are squared, and so is the meaning of
+    ``ratio``; without a second row none passes the test against that table.
     """
-    if len(a) < 2 or len(b) < 2:
-        return np.zeros((0, 2), int)
-    a, b = a.astype(float), b.astype(float)
-    d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    d = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
 
-    def one(d):
-        o = np.argpartition(d, 1, axis=1)[:, :2]
-        v = np.take_along_axis(d, o, 1)
-        return np.take_along_axis(o, v.argmin(1)[:, None], 1)[:, 0], v.min(1) < ratio * v.max(1)
+    def good(d: np.ndarray) -> np.ndarray:
+        if d.shape[1] < 2:
+            return np.zeros(len(d), bool)
+        two = np.partition(d, 1, axis=1)
+        return two[:, 0] < ratio * two[:, 1]
 
-    (f, fo), (g, go) = one(d), one(d.T)
-    i = np.arange(len(a))
-    ok = fo & go[f] & (g[f] == i)
-    return np.stack([i[ok], f[ok]], 1)
+    return d.argmin(axis=1), good(d), good(d.T)
 
 
 def homography(p: np.ndarray, q: np.ndarray) -> np.ndarray | None:
@@ -164,44 +166,83 @@ def apply_homography(h: np.ndarray, p: np.ndarray) -> np.ndarray:
     return x[:, :2] / np.where(np.abs(x[:, 2:]) < 1e-12, 1e-12, x[:, 2:])
 
 
-def ransac(p: np.ndarray, q: np.ndarray, reach: float = 5.0, rounds: int = 300, seed: int = 0) -> tuple[np.ndarray | None, np.ndarray]:
-    """Projective map that most points agree with, and which they are; seeded."""
+def ransac(p: np.ndarray, q: np.ndarray, reach: float = 1.0, rounds: int = 50_000, confidence: float = 0.9999, seed: int = 0) -> tuple[np.ndarray | None, np.ndarray]:
+    """Projective map that most points agree with to ``reach`` pixels, and which they are.
+
+    Seeded samples of four pairs, until a better map has become less likely than
+    1 - ``confidence`` at the share of agreement so far, or after ``rounds``.
+    """
     rng = np.random.default_rng(seed)
     best = np.zeros(len(p), bool)
-    for _ in range(rounds):
-        h = homography(*(x[s] for x in (p, q))) if (s := rng.choice(len(p), 4, replace=False)) is not None else None
-        if h is not None:
-            ok = np.linalg.norm(apply_homography(h, p) - q, axis=1) < reach
-            if ok.sum() > best.sum():
-                best = ok
+    done, need = 0, float(rounds)
+    while done < min(need, rounds):
+        done += 1
+        s = rng.choice(len(p), 4, replace=False)
+        h = homography(p[s], q[s])
+        if h is None or not np.isfinite(h).all():
+            continue
+        ok = np.linalg.norm(apply_homography(h, p) - q, axis=1) < reach
+        if ok.sum() > best.sum():
+            best = ok
+            hit = best.mean() ** 4
+            need = 0 if hit >= 1 else math.log(1 - confidence) / math.log1p(-hit) if hit > 0 else rounds
     return (homography(p[best], q[best]), best) if best.sum() >= 4 else (None, best)
 
 
-STATS = T.StructType([T.StructField(n, T.BooleanType() if n == "match" else T.DoubleType()) for n in ("match", "min_kpBM", "min_kpAM", "intersection", "inliers", "bounds_intersection")])
+_POINTS = T.ArrayType(T.ArrayType(T.FloatType()))
+#: ``match`` is the share of good matches, by which the first test is made.
+STATS = T.StructType(
+    [T.StructField("passed", T.BooleanType())]
+    + [T.StructField(n, T.StringType() if n == "MAB" else T.DoubleType()) for n in ("match", "min_kpBM", "MAB", "intersection", "inliers", "bounds_intersection")]
+    + [T.StructField(n, _POINTS) for n in ("final_matched_a_pts", "final_matched_b_pts")]
+)
 
 
 def validate(d1: dict, d2: dict, ratio: float, minimum_match: float = 0.4, minimum_intersection_share: float = 0.6, minimum_inliers: int = 5) -> dict:
-    """Whether two images' descriptors agree in geometry, with the figures so far."""
-    if d1["descriptor_count"] < d2["descriptor_count"]:
-        d1, d2 = d2, d1
-    k1, k2 = (np.asarray(d["keypoints"], float).reshape(-1, 2) for d in (d1, d2))
-    m = ratio_matches(np.asarray(d1["descriptors"]), np.asarray(d2["descriptors"]), ratio)
-    out: dict = {"match": False, "min_kpBM": float(min(len(k1), len(k2))), "min_kpAM": float(len(m)), "intersection": None, "inliers": None, "bounds_intersection": None}
-    if len(m) < 4:
+    """Whether two images' descriptors agree in geometry, with the figures so far.
+
+    In turn: the smaller of both images' shares of descriptors that pass the ratio test is at
+    least ``minimum_match``; the matched keypoints (those of A that pass, and their
+    nearest of B, A being the image with more keypoints) span enough of all keypoints of
+    both; a projective map has ``minimum_inliers``; and each image, moved by it, covers
+    enough of the other. The matched points are those of ``d1`` and ``d2``.
+    """
+    out: dict = dict.fromkeys(STATS.names)
+    out["passed"] = False
+    swap = len(d1["keypoints"] or ()) < len(d2["keypoints"] or ())
+    a, b = (d2, d1) if swap else (d1, d2)
+    if not len(a["descriptors"] or ()) or not len(b["descriptors"] or ()):
+        return out
+    ka, kb = (np.asarray(d["keypoints"], float).reshape(-1, 2) for d in (a, b))
+    near, good_a, good_b = ratio_matches(a["descriptors"], b["descriptors"], ratio)
+    out["match"] = float(min(good_a.mean(), good_b.mean()))
+    if out["match"] < minimum_match:
+        return out
+    p, q = ka[good_a], kb[near[good_a]]
+    out["min_kpBM"] = float(len(p))
+    if len(p) < 4:
         return out
-    p, q = k1[m[:, 0]], k2[m[:, 1]]
-    out["intersection"] = minimum_intersection(p, k1, q, k2)
+    out["intersection"] = minimum_intersection(p, ka, q, kb)
     if out["intersection"] < minimum_intersection_share:
         return out
     h, ok = ransac(p, q)
-    out["inliers"] = float(ok.sum())
-    if h is None or ok.sum() < minimum_inliers or ok.sum() < minimum_match * len(m) or abs(np.linalg.det(h)) < 1e-9:
+    if h is None:
+        return out | {"MAB": "is-None"}
+    out |= {"MAB": "good", "inliers": float(ok.sum())}
+    if out["inliers"] < minimum_inliers:
         return out
-    w, t = d2["width"], d2["height"]
-    corners = apply_homography(np.linalg.inv(h), np.array([[0, 0], [w, 0], [w, t], [0, t]], float))
-    lo, hi = np.clip(corners.min(0), 0, [d1["width"], d1["height"]]), np.clip(corners.max(0), 0, [d1["width"], d1["height"]])
-    out["bounds_intersection"] = float(np.prod(hi - lo) / (d1["width"] * d1["height"]))
-    out["match"] = bool(out["bounds_intersection"] >= minimum_intersection_share)
+    try:
+        back = np.linalg.inv(h)
+    except np.linalg.LinAlgError:
+        return out | {"MAB": "inverse-failed"}
+    size_a, size_b = (np.array([d["width"], d["height"]], float) for d in (a, b))
+    origin = np.zeros(2)
+    at = np.clip(apply_homography(h, np.stack([origin, size_a])), 0, size_b)
+    bt = np.clip(apply_homography(back, np.stack([origin, size_b])), 0, size_a)
+    share = min(abs(float(np.prod(bt[1] - bt[0]) / np.prod(size_a))), abs(float(np.prod(at[1] - at[0]) / np.prod(size_b))))
+    points = [p[ok].tolist(), q[ok].tolist()]
+    out |= {"bounds_intersection": share, "final_matched_a_pts": points[swap], "final_matched_b_pts": points[not swap]}
+    out["passed"] = share >= minimum_intersection_share
     return out
 
 
@@ -240,11 +281,11 @@ def deduplicate_described(described: DataFrame, hasher: LocalHasher, queries: Da
     s = F.struct(*cols)
     left = (queries if queries is not None else described).select(F.col("filepath").alias("path1"), s.alias("d1"))
     right = described.select(F.col("filepath").alias("path2"), s.alias("d2"))
-    kind = pa.struct([(f.name, pa.bool_() if f.name == "match" else pa.float64()) for f in STATS])
+    kind = to_arrow_type(STATS)
 
     @F.arrow_udf(STATS)
     def check(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([validate(x, y, hasher.ratio, **limits) for x, y in zip(a.to_pylist(), b.to_pylist())], kind)
 
-    out = pairs.join(left, "path1").join(right, "path2").select("path1", "path2", check("d1", "d2").alias("stats")).where("stats.match")
+    out = pairs.join(left, "path1").join(right, "path2").select("path1", "path2", check("d1", "d2").alias("stats")).where("stats.passed")
     return out if verbose else out.drop("stats")

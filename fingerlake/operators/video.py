@@ -140,19 +140,31 @@ def temporal_feature(frames: DataFrame, vec: str = "vec", video: str = "video_id
 
 
 def normalise_feature(fv: np.ndarray, how: str | None) -> np.ndarray:
-    """(periods, 2m, d) normalised by ``feat``, ``freq`` or ``matrix``."""
+    """(periods, 2m, d) normalised by ``feat``, ``freq``, both or ``matrix``.
+
+    ``feat`` makes the vectors of each term unit vectors after the terms' weights
+    are taken out; ``freq`` gives each element a mean square of 1 over the m
+    frequencies; ``matrix`` makes each period's matrix a unit one.
+    """
+    if how not in (None, "feat", "freq", "feat_freq", "matrix"):
+        raise ValueError("normalization must be feat, freq, feat_freq or matrix")
     eps = 1e-8
+    m = fv.shape[1] // 2
     if how in ("feat", "feat_freq"):
-        fv = fv / (np.linalg.norm(fv, axis=2, keepdims=True) + eps)
+        w = np.tile(temporal_weights(m), 2)[None, :, None]
+        fv = fv / (np.sqrt(((fv / w) ** 2).sum(axis=2, keepdims=True) + eps) + eps)
     if how in ("freq", "feat_freq"):
-        fv = fv / (np.linalg.norm(fv, axis=1, keepdims=True) + eps)
+        fv = fv / (np.sqrt((fv**2).sum(axis=1, keepdims=True) / m + eps) + eps)
     if how == "matrix":
-        fv = fv / (np.sqrt((fv**2).sum(axis=(1, 2), keepdims=True)) + eps)
+        fv = fv / (np.sqrt((fv**2).sum(axis=(1, 2), keepdims=True) + eps) + eps)
     return fv
 
 
 def temporal_scores(a: np.ndarray, b: np.ndarray, offsets=(0,), how: str | None = "matrix") -> np.ndarray:
-    """Match score of two features (periods, 2m, d) at each time offset."""
+    """Match score of two features (periods, 2m, d) at each time offset.
+
+    At an offset o the score is that of ``a``'s frames moved back by o.
+    """
     a, b = normalise_feature(np.asarray(a, float), how), normalise_feature(np.asarray(b, float), how)
     m = a.shape[1] // 2
     offsets = np.asarray(offsets, float)
