@@ -43,8 +43,8 @@ def test_whole_company_of_a_hub_meets(monkeypatch):
     x = rng.normal(size=(n, 8)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     fresh = np.arange(n) < new
-    table = pa.table({"row": pa.array(np.arange(n)), "vec": pa.array(list(x), pa.list_(pa.float32())), "worst": pa.array(np.full(n, -2, np.float32)), "hosts": pa.array([[0]] * n, pa.list_(pa.int64())), "fresh": pa.array([[bool(f)] for f in fresh], pa.list_(pa.bool_()))})
-    got = {r["row"]: r["ids"] for r in ann._meet(1)(table).to_pylist()}
+    table = pa.table({"row": pa.array(np.arange(n)), "vec": pa.array([v.tobytes() for v in x], pa.binary()), "worst": pa.array(np.full(n, -2, np.float32)), "hosts": pa.array([np.int64(0).tobytes()] * n, pa.binary()), "fresh": pa.array([f.tobytes() for f in fresh], pa.binary())})
+    got = {r["row"]: np.frombuffer(r["ids"], np.int64) for r in ann._meet(1)(table).to_pylist()}
     sim = x @ x.T
     np.fill_diagonal(sim, -3)
     sim[np.ix_(~fresh, ~fresh)] = -3
@@ -75,3 +75,53 @@ def test_topk_matches_sql(spark, odd, none, monkeypatch):
     assert rows(topk.top_documents(odd, queries, 3)) == sql(odd, topk.oracle(3), benchmark=queries)
     assert topk.top_documents(none, queries).count() == 0 and topk.top_documents(docs, queries.where("false")).count() == 0
     assert topk.top_documents(docs, queries.where("item_id = 20")).columns == ["item_id", "rank", "doc_id", "score"]
+
+
+def found(df):
+    return sorted((repr(r.vec_id), r["rank"], repr(r.neighbour_id), r.similarity) for r in df.collect())
+
+
+def test_answers_do_not_depend_on_partitioning(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PART_NODES", 100)
+    monkeypatch.setattr(ann, "LEAF", 40)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 12)).astype(np.float32)
+    x[100:140] = x[100]
+    df = vectors(spark, x, [*range(490), *[7] * 10])
+    want = found(ann.neighbours(df))
+    assert want == found(ann.neighbours(df.repartition(7))) and len(want) == 5000
+
+
+def test_no_hot_leaf_in_a_narrow_cone(spark, monkeypatch):
+    """Vectors on one side of every plane through the origin make leaves like any others."""
+    rng = np.random.default_rng(3)
+    x = (5 + rng.uniform(size=(3000, 16))).astype(np.float32)
+    x[:700] = x[0]
+    real = ann._leaf_lists
+
+    def spy(seed, size, span):
+        run = real(seed, size, span)
+        return lambda table: (_ for _ in ()).throw(AssertionError(table.num_rows)) if table.num_rows > 4 * ann.LEAF else run(table)
+
+    monkeypatch.setattr(ann, "LEAF", 100)
+    monkeypatch.setattr(ann, "_leaf_lists", spy)
+    got = {}
+    for r in ann.neighbours(vectors(spark, x)).collect():
+        got.setdefault(r.vec_id, {})[r.neighbour_id] = r.similarity
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = []
+    for i in range(0, 3000, 10):
+        s = u[i] @ u.T
+        s[i] = -2
+        tenth = np.sort(s)[-10]
+        hits.append(sum(v >= tenth - 1e-6 for v in got[i].values()) / 10)
+    assert np.mean(hits) >= 0.9
+
+
+def test_a_bound_that_ends_the_search_is_reported(spark, monkeypatch):
+    monkeypatch.setattr(ann, "MAX_ROUNDS", 1)
+    monkeypatch.setattr(ann, "LEAF", 20)
+    monkeypatch.setattr(ann, "MAX_HOPS", 1)
+    x = np.random.default_rng(4).normal(size=(600, 30)).astype(np.float32)
+    with pytest.warns(UserWarning, match="settled"):
+        ann.neighbours(vectors(spark, x)).count()
