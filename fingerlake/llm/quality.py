@@ -6,10 +6,11 @@ byte of the whole document is seen; a filter's responses are max-pooled over its
 chunk, then over the document, and a logistic unit combines the pooled responses
 into one probability of good quality.
 
-Cases: a null or empty text has probability 0 and is rejected; very long texts
-are pooled chunk by chunk and cost memory for one block only; repeated rows get
-equal probabilities; with labels of one class only, or none, every text that is
-not empty has probability 1 (nothing is known against it).
+Cases: a null or empty text has probability 0 and is rejected; texts are pooled chunk by
+chunk, so besides the bytes of ``GROUP_BYTES`` of texts, or of one longer text, memory is
+that of one block; repeated rows get equal probabilities; with labels of one class only,
+or none, every text that is not empty has probability 1 (nothing is known against it);
+further columns are carried through whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from fingerlake.llm.training import labelled_sample
 WIDTH, STEP, DIM, FILTERS = 8, 2, 8, 24
 CHUNK = 256  # windows
 BLOCK = 96  # chunks that are convolved at once
+GROUP_BYTES = 4_000_000  # of texts that are laid out at once, if there are several
 #: Bound of the labelled sample that the model is fitted on.
 TRAIN_PER_CLASS = 1500
 #: Share of good texts that are seen as a short piece: a piece of a good text is
@@ -167,7 +169,12 @@ def probability_udf(model: ByteCNN) -> Callable:
     def probability(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for values in batches:
             texts = pc.cast(pc.fill_null(values, ""), pa.binary())
-            out = [model.predict(texts[i : i + 256].to_pylist()) for i in range(0, len(texts), 256)]
+            end = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+            out, i = [], 0
+            while i < len(texts):
+                j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + GROUP_BYTES, side="right")))
+                out.append(model.predict(texts[i:j].to_pylist()))
+                i = j
             yield pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
 
     return probability

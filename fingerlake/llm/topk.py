@@ -9,17 +9,20 @@ Each term has a list of (document, weight); the lists lie spread over the tasks.
    lower bound of its k-th score. The cutoff ``t1 / m`` for a query of m terms is
    safe: a document whose every weight is below it scores less than t1.
 2. With the cutoffs broadcast, each task collects the entries that reach them and
-   adds them up; the k-th largest sum t2 >= t1 is a better bound.
-3. A document is dropped if its sum, plus the cutoff for each list that gave no
-   entry, is below t2. What is left is resolved to its exact score, and the k best
-   of each query remain, ties by doc_id.
+   adds them up. A document stays a candidate while its sum, plus the cutoff for each list
+   that gave no entry, reaches the k-th largest sum that the task has seen.
+3. The k-th largest sum t2 >= t1 of all tasks is a better bound, and candidates below it
+   are dropped. The lists of those left are looked up again and give their exact
+   scores; the k best of each query remain, ties by doc_id.
 
-What is broadcast is one number for each query and the queries' terms; more than
-``QUERY_TERMS`` terms are searched in several rounds of queries.
+What is broadcast is one number for each query and the queries' terms; queries are
+taken in rounds of at most ``QUERY_TERMS`` terms, read from their table one after the other.
+Candidates are broadcast up to ``BROADCAST_ROWS`` and shuffled beyond.
 
 Cases: a null or empty query, or one none of whose terms occurs, has no result; a
 null or empty document scores nothing; a null doc_id ranks last among ties;
-repeated queries and repeated documents each count on their own, the latter tied.
+repeated queries and repeated documents each count on their own, the latter tied; ids
+may have any type that sorts; columns besides ids and texts play no part.
 """
 
 from __future__ import annotations
@@ -32,18 +35,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fingerlake.plans.lineage import materialize
+from fingerlake.plans.lineage import discard, materialize
 
 K = 10
 K1, B = 1.2, 0.75
 SCALE = 1_000_000
 QUERY_TERMS = 20_000
-#: Cells of the dense block that a task scores at once.
+#: Entries that a task adds up at once.
 CELLS = 2_000_000
+#: Most candidates (query, row) that are broadcast, some 20 MB.
+BROADCAST_ROWS = 1_000_000
 
 SEPARATORS = r""" \t\n\r.,;:!?()"|#$%&*"""
 _TERM = re.compile(f"[^{SEPARATORS}]+")
+_BLANKS = bytes.maketrans(b" \t\n\r.,;:!?()\"|#$%&*", b" " * 19)
 
 
 def terms(text: str | None) -> list[str]:
@@ -51,37 +58,41 @@ def terms(text: str | None) -> list[str]:
     return _TERM.findall((text or "").lower())
 
 
+def _words(text: bytes) -> list[bytes]:
+    """The terms of a lower-case text in UTF-8."""
+    if b"\x0b" in text or b"\x0c" in text:  # blanks for split(), but no separators
+        return [w.encode() for w in _TERM.findall(text.decode())]
+    return text.translate(_BLANKS).split()
+
+
 def _postings(docs: DataFrame, vocab: dict[str, int]) -> DataFrame:
     """``(doc_id, length, terms, counts)``: each document's query terms."""
-    kind = pa.schema([("doc_id", pa.int64()), ("length", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
-    share = docs.sparkSession.sparkContext.broadcast(vocab)
+    share = docs.sparkSession.sparkContext.broadcast({t.encode(): i for t, i in vocab.items()})
+    size = max(1, len(vocab))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = share.value.get
         for b in batches:
-            length, flat, cnt, offsets = [], [], [], [0]
-            for t in pc.utf8_lower(pc.fill_null(b.column("text"), "")).to_pylist():
-                ws = _TERM.findall(t)
+            length, found = [], []
+            for t in pc.cast(pc.utf8_lower(pc.fill_null(b.column("text"), "")), pa.binary()):
+                ws = _words(t.as_py())
                 length.append(len(ws))
-                ids = np.array([i for i in map(get, ws) if i is not None], np.int32)
-                u, n = np.unique(ids, return_counts=True)
-                flat.append(u)
-                cnt.append(n.astype(np.int32))
-                offsets.append(offsets[-1] + len(u))
-            join = lambda x: np.concatenate(x) if x else np.empty(0, np.int32)
-            off = pa.array(offsets, pa.int32())
-            lists = [pa.ListArray.from_arrays(off, pa.array(join(x), pa.int32())) for x in (flat, cnt)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(length, pa.int64()), *lists], schema=kind)
+                found.append(np.fromiter((i for i in map(get, ws) if i is not None), np.int64))
+            n = np.array([len(f) for f in found], np.int64)
+            key, count = np.unique(np.repeat(np.arange(len(n)), n) * size + np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+            off = pa.array(np.searchsorted(key // size, np.arange(len(n) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(off, pa.array(x.astype(np.int32))) for x in (key % size, count)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(length, pa.int64()), *lists], names=["doc_id", "length", "terms", "counts"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, length long, terms array<int>, counts array<int>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, length long, terms array<int>, counts array<int>")
 
 
 class _Scorer:
-    """Weights of a batch of postings as dense blocks, documents x terms."""
+    """Weights of a batch of postings."""
 
     def __init__(self, idf: np.ndarray, mean: float):
         self.idf, self.mean = idf, mean
-        self.height = max(1, CELLS // max(1, len(idf)))
 
     def weights(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row of the batch, term, weight) of every entry."""
@@ -94,14 +105,6 @@ class _Scorer:
         w = self.idf[t] * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / self.mean))
         return row, t, np.floor(w * SCALE + 0.5).astype(np.int64)
 
-    def blocks(self, b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-        row, t, w = self.weights(b)
-        for at in range(0, b.num_rows, self.height):
-            lo, hi = np.searchsorted(row, [at, at + self.height])
-            dense = np.zeros((min(self.height, b.num_rows - at), len(self.idf)), np.int64)
-            dense[row[lo:hi] - at, t[lo:hi]] = w[lo:hi]
-            yield at, dense
-
 
 def _best(keys: np.ndarray, scores: np.ndarray, ties: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k highest scores of each key; ties by ``ties`` ascending."""
@@ -127,12 +130,19 @@ def _search(docs: DataFrame, queries: list[tuple[int, list[str]]], k: int) -> Da
 
     def local_lists(batches):
         held = None
+        least = np.zeros(len(idf), np.int64)  # the k-th best entry of each list so far
         for b in batches:
             row, t, w = scorer.weights(b)
             new = (t.astype(np.int64), b.column("row").to_numpy()[row], w)
-            held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new))
-            keep = _best(held[0], held[2], held[1], k)
-            held = tuple(x[keep] for x in held)
+            if held is not None:
+                may = w >= least[t]
+                new = tuple(np.concatenate([x, y[may]]) for x, y in zip(held, new))
+            keep = _best(new[0], new[2], new[1], k)
+            held = tuple(x[keep] for x in new)
+            n = np.bincount(held[0], minlength=len(idf))
+            low = np.full(len(idf), np.iinfo(np.int64).max)
+            np.minimum.at(low, held[0], held[2])
+            least = np.where(n >= k, low, 0)
         if held is not None:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["t", "row", "w"])
 
@@ -141,80 +151,122 @@ def _search(docs: DataFrame, queries: list[tuple[int, list[str]]], k: int) -> Da
     qt = spark.createDataFrame([(q, int(t)) for q, ts in enumerate(want) for t in ts] or [(-1, -1)], "q long, t long")
     sums = lists.join(qt, "t").groupBy("q", "row").agg(F.sum("w").alias("s"))
     kth = sums.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "row"))).where(F.col("n") == k)
+    m = np.array([len(w) for w in want], np.int64)
     t1 = np.zeros(len(want), np.int64)
     for r in kth.collect():  # one row for each query
         t1[r["q"]] = r["s"]
-
-    def collected(dense: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sums of the entries that reach the query's cutoff, and their number."""
-        part = dense[:, want[q]]
-        reach = (part > 0) & (part * len(want[q]) >= t1[q])
-        return (part * reach).sum(axis=1), reach.sum(axis=1)
-
-    def local_sums(batches):
-        held = (np.empty(0, np.int64), np.empty(0, np.int64))
+    # Each term's queries, side by side, and the lowest of their cutoffs.
+    asked = np.concatenate([np.zeros(0, np.int64), *(np.full(len(w), q) for q, w in enumerate(want))])
+    term = np.concatenate([np.zeros(0, np.int64), *want])
+    asked, term = asked[np.argsort(term, kind="stable")], np.sort(term)
+    first = np.searchsorted(term, np.arange(len(vocab) + 1))
+    cut = np.full(len(vocab), np.iinfo(np.int64).max)
+    np.minimum.at(cut, term, -(-t1[asked] // m[asked]))
+    many = np.diff(first)
+
+    def collect(batches):
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        low = t1.copy()  # the k-th largest sum of each query so far
         for b in batches:
-            for _, dense in scorer.blocks(b):
-                for q in range(len(want)):
-                    s, _ = collected(dense, q)
-                    top = np.sort(s)[::-1][:k]
-                    top = top[top > 0]
-                    held = (np.concatenate([held[0], np.full(len(top), q)]), np.concatenate([held[1], top]))
-                keep = _best(held[0], held[1], np.zeros(len(held[0])), k)
-                held = (held[0][keep], held[1][keep])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["q", "s"])
-
-    part = posts.mapInArrow(local_sums, "q long, s long")
-    kth = part.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s")))).where(F.col("n") == k)
+            row, t, w = scorer.weights(b)
+            go = (w > 0) & (w >= cut[t])
+            row, t, w = row[go].astype(np.int64), t[go], w[go]
+            # Whole documents, as many as have about CELLS entries in all queries.
+            step = np.cumsum(many[t]) // CELLS
+            step = step[np.searchsorted(row, row, side="left")] if len(row) else step
+            found = []
+            for lo, hi in zip((cuts := np.concatenate([np.flatnonzero(np.diff(step, prepend=-1)), [len(step)]]))[:-1], cuts[1:]):
+                r, e, x = row[lo:hi], t[lo:hi], w[lo:hi]
+                n = many[e]
+                at = np.repeat(first[e] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                q, r, x = asked[at], np.repeat(r, n), np.repeat(x, n)
+                reach = x * m[q] >= t1[q]
+                q, r, x = q[reach], r[reach], x[reach]
+                order = np.argsort(r * len(m) + q, kind="stable")
+                q, r, x = q[order], r[order], x[order]
+                head = np.flatnonzero(np.diff(r * len(m) + q, prepend=-1))
+                if len(head):
+                    found.append((q[head], r[head], np.add.reduceat(x, head), np.diff(np.append(head, len(q)))))
+            if not found:
+                continue
+            q, r, x, n = (np.concatenate(c) for c in zip(*found))
+            may = x >= low[q]
+            held = tuple(np.concatenate(c) for c in zip(held, (q[may], x[may])))
+            keep = _best(held[0], held[1], np.zeros(len(held[0])), k)
+            held = tuple(c[keep] for c in held)
+            worst = np.full(len(m), np.iinfo(np.int64).max)
+            np.minimum.at(worst, held[0], held[1])
+            full = np.bincount(held[0], minlength=len(m)) >= k
+            low = np.where(full, np.maximum(low, worst), low)
+            # m x the upper bound, as the cutoff t1 / m need not be whole.
+            may = x * m[q] + (m[q] - n) * t1[q] >= low[q] * m[q]
+            yield pa.RecordBatch.from_arrays([pa.array(c[may]) for c in (q, b.column("row").to_numpy()[r], x, n)], names=["q", "row", "s", "n"])
+
+    some = materialize(posts.mapInArrow(collect, "q long, row long, s long, n long"), "candidates")
+    kth = some.withColumn("i", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s")))).where(F.col("i") == k)
     t2 = t1.copy()
-    for r in kth.collect():  # one row for each query
+    for r in kth.select("q", "s").collect():  # one row for each query
         t2[r["q"]] = max(t2[r["q"]], r["s"])
 
+    def left(batches):
+        for b in batches:
+            q, s, n = (b.column(c).to_numpy() for c in ("q", "s", "n"))
+            yield b.filter(pa.array(s * m[q] + (m[q] - n) * t1[q] >= t2[q] * m[q])).select(["q", "row"])
+
+    maybe = materialize(some.mapInArrow(left, "q long, row long"), "left")
+    send = F.broadcast if maybe.count() <= BROADCAST_ROWS else lambda x: x
+    ask = [set(w.tolist()) for w in want]
+
     def resolve(batches):
         for b in batches:
-            rows, ids = b.column("row").to_numpy(), b.column("doc_id")
-            for at, dense in scorer.blocks(b):
-                found = []
-                for q in range(len(want)):
-                    s, n = collected(dense, q)
-                    m = len(want[q])
-                    # m x the upper bound, as the cutoff t1 / m need not be whole.
-                    maybe = np.flatnonzero((s * m + (m - n) * t1[q] >= t2[q] * m))
-                    exact = dense[maybe][:, want[q]].sum(axis=1)
-                    sure = (exact >= t2[q]) & (exact > 0)
-                    found.append((np.full(sure.sum(), q), maybe[sure] + at, exact[sure]))
-                if found:
-                    q, i, s = (np.concatenate(x) for x in zip(*found))
-                    yield pa.RecordBatch.from_arrays([pa.array(number[q]), ids.take(pa.array(i)).cast(pa.int64()), pa.array(rows[i]), pa.array(s)], names=["q", "doc_id", "row", "score"])
-
-    hits = posts.mapInArrow(resolve, "q long, doc_id long, row long, score long")
+            if not b.num_rows:
+                continue
+            row, t, w = scorer.weights(b)
+            q = b.column("q").to_numpy()
+            mine = np.fromiter((x in ask[y] for x, y in zip(t.tolist(), q[row].tolist())), bool, len(t))
+            exact = np.bincount(row[mine], w[mine], minlength=b.num_rows).astype(np.int64)
+            sure = np.flatnonzero((exact >= t2[q]) & (exact > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(number[q[sure]]), *(b.column(c).take(pa.array(sure)) for c in ("doc_id", "row")), pa.array(exact[sure])], names=["q", "doc_id", "row", "score"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    hits = posts.join(send(maybe), "row").select("q", "doc_id", "row", "length", "terms", "counts").mapInArrow(resolve, f"q long, doc_id {kind}, row long, score long")
     order = Window.partitionBy("q").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), "row")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q", "rank", "doc_id", "score")
+    best = materialize(hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q", "rank", "doc_id", "score"), "best")
+    for table in (posts, some, maybe):
+        discard(table)
+    return best
+
+
+def _rounds(queries: DataFrame) -> Iterator[list[tuple[object, list[str]]]]:
+    """(item_id, terms) of the queries that have terms, at most ``QUERY_TERMS`` at a time."""
+    part: list[tuple[object, list[str]]] = []
+    size = 0
+    for r in queries.select("item_id", "text").orderBy(F.col("item_id").asc_nulls_last(), "text").toLocalIterator():
+        ts = terms(r["text"])
+        if part and size + len(set(ts)) > QUERY_TERMS:
+            yield part
+            part, size = [], 0
+        if ts:
+            part.append((r["item_id"], ts))
+            size += len(set(ts))
+    if part:
+        yield part
 
 
 def top_documents(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """``(item_id, rank, doc_id, score)``: the k best documents of every query."""
     spark = docs.sparkSession
-    rows = sorted(((r["item_id"], terms(r["text"])) for r in queries.select("item_id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    rounds: list[list[tuple[int, list[str]]]] = [[]]
-    size = 0
-    for n, (_, ts) in enumerate(rows):
-        if not ts:
-            continue
-        if rounds[-1] and size + len(set(ts)) > QUERY_TERMS:
-            rounds.append([])
-            size = 0
-        rounds[-1].append((n, ts))
-        size += len(set(ts))
+    kind = T.StructType([T.StructField("q", T.LongType()), T.StructField("item_id", queries.schema["item_id"].dataType)])
     out = None
-    for part in rounds:
-        got = _search(docs, part, k) if part else None
-        if got is not None:
-            out = got if out is None else out.unionByName(got)
-    names = spark.createDataFrame([(n, i) for n, (i, _) in enumerate(rows)] or [(-1, None)], "q long, item_id long")
+    for part in _rounds(queries):
+        got = _search(docs, [(n, ts) for n, (_, ts) in enumerate(part)], k)
+        names = spark.createDataFrame([(n, i) for n, (i, _) in enumerate(part)], kind)
+        got = got.join(F.broadcast(names), "q").select("item_id", "rank", "doc_id", "score")  # the round's queries
+        out = got if out is None else out.unionByName(got)
     if out is None:
-        return names.where("false").select("item_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("score"))
-    return out.join(F.broadcast(names), "q").select("item_id", "rank", "doc_id", "score")
+        kinds = [queries.schema["item_id"].dataType, T.IntegerType(), docs.schema["doc_id"].dataType, T.LongType()]
+        return spark.createDataFrame([], T.StructType([T.StructField(n, t) for n, t in zip(("item_id", "rank", "doc_id", "score"), kinds)]))
+    return out
 
 
 def oracle(k: int = K) -> str:

@@ -125,3 +125,15 @@ def test_a_bound_that_ends_the_search_is_reported(spark, monkeypatch):
     x = np.random.default_rng(4).normal(size=(600, 30)).astype(np.float32)
     with pytest.warns(UserWarning, match="settled"):
         ann.neighbours(vectors(spark, x)).count()
+
+
+def test_topk_odd_ids_and_blanks(spark, monkeypatch):
+    """Ids of any type, characters that only some functions take for blanks, candidates that are shuffled."""
+    rng = np.random.default_rng(7)
+    texts = [prose(rng, 20) + f" w{i % 9}\x0bx \x0c y\u2028z \xa0{i % 5}" for i in range(80)]
+    docs = spark.createDataFrame([(f"d{i:03}", t, 1) for i, t in enumerate(texts)], "doc_id string, text string, row int")
+    queries = spark.createDataFrame([(f"q{i}", texts[i] if i % 2 else f"w{i}\x0bx \u2028z 3", 1) for i in range(9)], "item_id string, text string, q int")
+    want = sql(docs, topk.oracle(4), benchmark=queries)
+    assert rows(topk.top_documents(docs, queries, 4)) == want and want
+    monkeypatch.setattr(topk, "BROADCAST_ROWS", 0)
+    assert rows(topk.top_documents(docs, queries, 4)) == want
