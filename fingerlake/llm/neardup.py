@@ -316,11 +316,14 @@ def _cross(parts: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 
 def _exact(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Of (u, v) the pairs whose texts' J_P is at least ``threshold``."""
-    ends = pairs.select(F.col("u").alias("h")).union(pairs.select(F.col("v").alias("h"))).distinct()
-    some = materialize(texts.join(ends, "h", "left_semi").groupBy("h").agg(F.min("text").alias("text")), "texts")
+    ends = materialize(pairs.select(F.col("u").alias("h")).union(pairs.select(F.col("v").alias("h"))).distinct(), "ends")
+    # Up to a checked size the hashes go to the texts; beyond it both are shuffled.
+    send = F.broadcast if ends.count() <= BROADCAST_ROWS else lambda x: x
+    some = materialize(texts.join(send(ends), "h", "left_semi").groupBy("h").agg(F.min("text").alias("text")), "texts")
     both = pairs.join(some.select(F.col("h").alias("u"), F.col("text").alias("tu")), "u").join(some.select(F.col("h").alias("v"), F.col("text").alias("tv")), "v")
     good = materialize(both.select("u", "v", _exact_udf("tu", "tv").alias("j")).where(F.col("j") >= threshold).select("u", "v"), "exact")
     discard(some)
+    discard(ends)
     return good
 
 
