@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,3 +56,16 @@ def distance(metric: str, a: Column | str, b: Column | str) -> Column:
         raise NotImplementedError(f"no metric {metric!r}; known: {sorted(known)}")
     col = lambda c: F.col(c) if isinstance(c, str) else c
     return known[metric](col(a), col(b))
+
+
+def between(metric: str, a: np.ndarray, b: np.ndarray) -> float:
+    """The named distance of two numpy vectors."""
+    x, y = np.asarray(a, float), np.asarray(b, float)
+    if metric == "hamming":
+        return float((x != y).mean())
+    if metric == "cosine":
+        return float(1 - x @ y / (np.linalg.norm(x) * np.linalg.norm(y)))
+    sq = float(((x - y) ** 2).sum())
+    if metric not in ("euclidean", "sqeuclidean"):
+        raise NotImplementedError(f"no metric {metric!r}")
+    return float(np.sqrt(sq)) if metric == "euclidean" else sq

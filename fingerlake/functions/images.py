@@ -47,7 +47,8 @@ def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     a = (_area if height <= h else _linear)(h, height)
     b = (_area if width <= w else _linear)(w, width)
     x = image.astype(np.float64)
-    out = np.einsum("ij,jk...,lk->il...", a, x, b, optimize=True)
+    # Halves are halves, whatever the products leave behind.
+    out = np.round(np.einsum("ij,jk...,lk->il...", a, x, b, optimize=True), 9)
     return np.clip(np.rint(out), 0, 255).astype(np.uint8) if image.dtype == np.uint8 else out
 
 
@@ -139,6 +140,12 @@ class AverageHash(ImageHash):
         return self.compute_isometric_from_hash(self.compute(image))
 
 
+def falling(g: np.ndarray) -> np.ndarray:
+    """1 where a pixel is brighter than its right neighbour, row by row."""
+    g = g.astype(int)
+    return (g[:, :-1] > g[:, 1:]).ravel()
+
+
 class DHash(ImageHash):
     name = "dhash"
 
@@ -146,8 +153,7 @@ class DHash(ImageHash):
         self.size, self.length = size, size * size
 
     def compute(self, image):
-        g = gray(resize(image, self.size, self.size + 1)).astype(int)
-        return (g[:, :-1] > g[:, 1:]).ravel()
+        return falling(gray(resize(image, self.size, self.size + 1)))
 
 
 class PHash(ImageHash):
@@ -223,7 +229,7 @@ class WaveletHash(ImageHash):
         # Removing the coarsest term subtracts the mean; a low band is block sums.
         x = x - x.mean()
         k = scale // self.size
-        low = x.reshape(self.size, k, self.size, k).sum((1, 3)) / k
+        low = np.round(x.reshape(self.size, k, self.size, k).sum((1, 3)) / k, 9)
         return (low > np.median(low)).ravel()
 
 

@@ -28,47 +28,3 @@ def to_uint8(vec: Column | str) -> Column:
     scaled = F.transform(v, lambda x: F.floor(F.lit(255.0) * (x - low) / (high - low)).cast("int"))
     flat = F.transform(v, lambda x: F.lit(0))
     return F.when((low == 0) & (high == 0), F.lit(None)).when(low == high, flat).otherwise(scaled)
-
-
-def dihedral(vec: Column, n: int) -> dict[str, Column]:
-    """The eight rotations and reflections of an n x n array, row by row."""
-    source = {
-        "r0": lambda r, c: (r, c),
-        "fv": lambda r, c: (n - 1 - r, c),
-        "fh": lambda r, c: (r, n - 1 - c),
-        "r180": lambda r, c: (n - 1 - r, n - 1 - c),
-        "r90": lambda r, c: (c, n - 1 - r),
-        "r90fv": lambda r, c: (c, r),
-        "r90fh": lambda r, c: (n - 1 - c, n - 1 - r),
-        "r270": lambda r, c: (n - 1 - c, r),
-    }
-    out = {}
-    for k, f in source.items():
-        at = [f(r, c) for r in range(n) for c in range(n)]
-        order = F.array(*[F.lit(r * n + c) for r, c in at])
-        out[k] = F.transform(order, lambda i: F.get(vec, i))
-    return out
-
-
-def above_mean(vec: Column) -> Column:
-    """Average-hash rule: 1 where an element exceeds the mean."""
-    total = F.aggregate(vec, F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return F.transform(vec, lambda x: (x.cast("double") * F.size(vec) > total).cast("int"))
-
-
-def from_median(vec: Column) -> Column:
-    """DCT-hash rule: 1 where an element is at least the median."""
-    s = F.sort_array(F.transform(vec, lambda x: x.cast("double")))
-    n = F.size(vec)
-    low, high = F.get(s, F.floor((n - 1) / 2).cast("int")), F.get(s, F.floor(n / 2).cast("int"))
-    return F.transform(vec, lambda x: (x.cast("double") >= (low + high) / 2).cast("int"))
-
-
-def falling(vec: Column, n: int) -> Column:
-    """Difference-hash rule over rows of n: 1 where an element exceeds the next."""
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.size(vec) / n).cast("int") - 1), lambda r: F.transform(F.sequence(F.lit(0), F.lit(n - 2)), lambda c: (F.get(vec, r * n + c) > F.get(vec, r * n + c + 1)).cast("int"))))
-
-
-def box_area(xs: Column, ys: Column) -> Column:
-    """Area of points' bounding box; 0 without points."""
-    return F.coalesce((F.array_max(xs) - F.array_min(xs)) * (F.array_max(ys) - F.array_min(ys)), F.lit(0.0))

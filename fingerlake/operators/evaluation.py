@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import warnings
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fingerlake.functions.distance import distance
+from fingerlake.plans.lineage import materialize
+from fingerlake.plans.running import ranged, sums_before
 
 HASH_COLUMNS = ("error", "filepath", "hash", "hasher_name", "hasher_dtype", "hasher_distance_metric", "hasher_hash_length", "category", "guid", "input_filepath", "transform_name")
 METRIC_COLUMNS = ("guid", "transform_name", "hasher_name", "category", "distance_to_closest_correct_image", "distance_to_closest_incorrect_image", "distance_to_closest_image", "closest_incorrect_guid")
@@ -39,30 +43,100 @@ def union_distinct(*hashsets: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def metrics(hashes: DataFrame, metric: str = "euclidean", vec_col: str = "vec") -> DataFrame:
+#: Rows of a block that are compared with rows of another at once.
+BLOCK = 2048
+
+
+def _between(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    """All distances, by differences rather than products, so that equal ones tie."""
+    out = np.empty((len(x), len(y)))
+    step = max(1, 4_000_000 // max(1, y.size))
+    for at in range(0, len(x), step):
+        part = x[at : at + step, None, :]
+        if metric == "hamming":
+            out[at : at + step] = (part != y[None]).mean(2)
+        elif metric == "cosine":
+            out[at : at + step] = 1 - (part * y[None]).sum(2) / (np.linalg.norm(part, axis=2) * np.linalg.norm(y, axis=1)[None])
+        else:
+            out[at : at + step] = ((part - y[None]) ** 2).sum(2)
+    return np.sqrt(out) if metric == "euclidean" else out
+
+
+def metrics(hashes: DataFrame, metric: str = "euclidean", vec_col: str = "vec", warn: bool = False) -> DataFrame:
     """Per transformed row the nearest untransformed hashes.
 
     ``hashes`` has (guid, transform_name, hasher_name, category, vec). A row of
     another transform than ``noop`` is compared with the noop rows of its hasher
     and category: those of its own guid are correct, others are not. Null hashes,
-    and guids that lack either side, are left out. Of equally near incorrect
-    guids the smallest is named.
+    and guids that lack either side, are left out; with ``warn`` null hashes are counted
+    first and named in a warning. Of equally near incorrect guids the smallest is named.
+
+    Blocks of both sides are compared in numpy, so a category's n^2 work is spread
+    over its pairs of blocks, and only each row's best of a block are shuffled. A
+    registered metric is an expression and is joined pair by pair.
     """
+    custom = metric not in ("euclidean", "sqeuclidean", "cosine", "hamming")
+    if custom:
+        distance(metric, "vec", "n_vec")  # raises where the metric is unknown
+    if warn and (n := hashes.where(F.col(vec_col).isNull()).count()):
+        warnings.warn(f"{n} rows without a hash are left out", stacklevel=2)
     h = hashes.select("guid", "transform_name", "hasher_name", "category", F.col(vec_col).alias("vec")).where("vec is not null")
     noop, rest = h.where("transform_name = 'noop'"), h.where("transform_name <> 'noop'")
     both = noop.select("guid", "hasher_name").distinct().join(rest.select("guid", "hasher_name").distinct(), ["guid", "hasher_name"], "left_semi")
     noop, rest = noop.join(both, ["guid", "hasher_name"], "left_semi"), rest.join(both, ["guid", "hasher_name"], "left_semi")
-    t = rest.withColumn("__row", F.monotonically_increasing_id())
-    n = noop.select(F.col("guid").alias("n_guid"), "hasher_name", "category", F.col("vec").alias("n_vec"))
-    pair = t.join(n, ["hasher_name", "category"]).withColumn("d", distance(metric, "vec", "n_vec"))
-    right = F.col("guid") == F.col("n_guid")
-    out = pair.groupBy("__row", "guid", "transform_name", "hasher_name", "category").agg(
-        F.min(F.when(right, F.col("d"))).alias("distance_to_closest_correct_image"),
-        F.min(F.when(~right, F.col("d"))).alias("distance_to_closest_incorrect_image"),
-        F.min("d").alias("distance_to_closest_image"),
-        F.min_by(F.when(~right, F.col("n_guid")), F.when(~right, F.struct("d", "n_guid"))).alias("closest_incorrect_guid"),
+    # Written, so that a row's number is the same in every attempt.
+    t = materialize(rest.withColumn("__row", F.monotonically_increasing_id()), "transformed")
+    keys = ["hasher_name", "category"]
+    if custom:
+        n = noop.select(*keys, F.col("guid").alias("n_guid"), F.col("vec").alias("n_vec"))
+        right = F.col("guid") == F.col("n_guid")
+        pair = t.join(n, keys).withColumn("d", distance(metric, "vec", "n_vec"))
+        return _nearest(t, pair.select(F.col("__row").alias("row"), F.when(right, F.col("d")).alias("right"), F.when(~right, F.col("d")).alias("wrong"), F.when(~right, F.col("n_guid")).alias("wrong_guid")))
+    blocks = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    sizes = blocks(t, "tn").join(blocks(noop, "nn"), keys)
+    left = t.join(sizes, keys).select(*keys, "__row", "guid", "vec", F.pmod(F.xxhash64("__row"), F.col("tn")).cast("int").alias("lo"), F.explode(F.sequence(F.lit(0), F.col("nn") - 1)).alias("hi"))
+    right = noop.join(sizes, keys).select(*[F.col(c).alias(f"n_{c}") for c in keys], F.col("guid").alias("n_guid"), F.col("vec").alias("n_vec"), F.pmod(F.xxhash64("guid"), F.col("nn")).cast("int").alias("n_hi"), F.explode(F.sequence(F.lit(0), F.col("tn") - 1)).alias("n_lo"))
+    guid = h.schema["guid"].dataType.simpleString()
+
+    def flat(col: pa.ChunkedArray) -> np.ndarray:
+        a = col.combine_chunks()
+        return a.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(a), -1)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        names = ["row", "right", "wrong", "wrong_guid"]
+        if not a.num_rows or not b.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.float64()), a["guid"].slice(0, 0)], names=names)
+        b = b.sort_by("n_guid")
+        d = _between(flat(a["vec"]), flat(b["n_vec"]), metric)
+        theirs = np.array(b["n_guid"].to_pylist(), object)
+        own = np.array(a["guid"].to_pylist(), object)[:, None] == theirs[None, :]
+        near = np.where(own, d, np.inf).min(1)
+        far = np.where(own, np.inf, d)
+        at = far.argmin(1)
+        wrong = far[np.arange(len(at)), at]
+        none = ~np.isfinite(wrong)
+        named = b["n_guid"].combine_chunks().take(pa.array(at, mask=none))
+        return pa.table([a["__row"], pa.array(near, mask=~np.isfinite(near)), pa.array(wrong, mask=none), named], names=names)
+
+    got = left.groupBy(*keys, "lo", "hi").cogroup(right.groupBy(*[f"n_{c}" for c in keys], "n_lo", "n_hi")).applyInArrow(run, f"row long, right double, wrong double, wrong_guid {guid}")
+    return _nearest(t, got)
+
+
+def _nearest(t: DataFrame, got: DataFrame) -> DataFrame:
+    """The metric columns of ``t`` from (row, right, wrong, wrong_guid) candidates."""
+    best = got.groupBy(F.col("row").alias("__row")).agg(
+        F.min("right").alias("distance_to_closest_correct_image"),
+        F.min("wrong").alias("distance_to_closest_incorrect_image"),
+        F.least(F.min("right"), F.min("wrong")).alias("distance_to_closest_image"),
+        F.min_by("wrong_guid", F.when(F.col("wrong").isNotNull(), F.struct("wrong", "wrong_guid"))).alias("closest_incorrect_guid"),
     )
-    return out.drop("__row").select(*METRIC_COLUMNS)
+    return t.join(best, "__row").select(*METRIC_COLUMNS)
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """``a`` with the columns of ``b``, which has a row for each key; nulls agree."""
+    b = b.select(*[F.col(k).alias(f"__j_{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    return a.join(b, [a[k].eqNullSafe(b[f"__j_{k}"]) for k in keys]).drop(*[f"__j_{k}" for k in keys])
 
 
 def threshold_precision_recall(df: DataFrame, by: list[str], precision: float = 99.9, pos: str = "pos", neg: str = "neg") -> DataFrame:
@@ -71,20 +145,29 @@ def threshold_precision_recall(df: DataFrame, by: list[str], precision: float =
     Rows are ranked by ``pos``; at each rank tp is the rank, fp the number of
     ``neg`` at or below. ``(by..., threshold, precision, recall)`` in percent. If
     the first rank fails already: its pos, null and 0. If none fails: the largest
-    pos, 100 and 100. One running count over the union of both columns gives fp,
-    so no self-join is needed.
+    pos, 100 and 100.
+
+    Equal distances are counted first; running counts are taken by ranges of the
+    distance, so one large group is spread over the cluster. Among equal ``pos`` precision
+    rises with the rank, so the first of them is the one that may fail.
     """
     keys = by or ["__all"]
     d = df.withColumn("__all", F.lit(0)) if not by else df
     p = d.where(F.col(pos).isNotNull()).select(*keys, F.col(pos).alias("x"), F.lit(1).alias("p"), F.lit(0).alias("n"))
     q = d.where(F.col(neg).isNotNull()).select(*keys, F.col(neg).alias("x"), F.lit(0).alias("p"), F.lit(1).alias("n"))
-    upto = Window.partitionBy(*keys).orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    e = p.union(q).withColumn("fp", F.sum("n").over(upto)).where("p = 1")
-    e = e.withColumn("tp", F.row_number().over(Window.partitionBy(*keys).orderBy("x"))).withColumn("prec", 100.0 * F.col("tp") / (F.col("tp") + F.col("fp")))
-    whole = Window.partitionBy(*keys)
-    e = e.withColumn("fb", F.min(F.when(F.col("prec") < precision, F.col("tp"))).over(whole)).withColumn("total", F.count("*").over(whole)).withColumn("top", F.max("x").over(whole)).withColumn("low", F.min("x").over(whole))
-    e = e.withColumn("cut", F.when(F.col("fb").isNull(), F.col("top")).when(F.col("fb") == 1, F.col("low")).otherwise(F.max(F.when(F.col("tp") == F.col("fb") - 1, F.col("x"))).over(whole)))
-    g = e.groupBy(*keys).agg(F.first("cut").alias("threshold"), F.first("fb").alias("fb"), F.min(F.when(F.col("x") <= F.col("cut"), F.col("prec"))).alias("prec"), F.round(100.0 * F.count(F.when(F.col("x") <= F.col("cut"), 1)) / F.first("total"), 3).alias("rec"))
+    e = p.union(q).groupBy(*keys, "x").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    order = [*map(F.col, keys), F.col("x")]
+    e = sums_before(ranged(e, order), keys, "__range", [F.col("x")], {"p": "tp", "n": "fp"}).where("p > 0")
+    first = F.col("tp") + 1
+    e = e.withColumn("prec", 100.0 * first / (first + F.col("fp") + F.col("n")))
+    g = e.groupBy(*keys).agg(F.min(F.when(F.col("prec") < precision, first)).alias("fb"), F.sum("p").alias("total"), F.max("x").alias("top"), F.min("x").alias("low"))
+    e = _same(e, g, keys)
+    last = F.col("fb") - 1
+    at = e.groupBy(*keys).agg(F.max(F.when((F.col("tp") < last) & (last <= F.col("tp") + F.col("p")), F.col("x"))).alias("at"))
+    cut = F.when(F.col("fb").isNull(), F.col("top")).when(F.col("fb") == 1, F.col("low")).otherwise(F.col("at"))
+    e = _same(e, at, keys).withColumn("cut", cut)
+    under = F.col("x") <= F.col("cut")
+    g = e.groupBy(*keys).agg(F.first("cut").alias("threshold"), F.first("fb").alias("fb"), F.min(F.when(under, F.col("prec"))).alias("prec"), F.round(100.0 * F.sum(F.when(under, F.col("p"))) / F.first("total"), 3).alias("rec"))
     out = g.select(
         *keys,
         "threshold",
@@ -125,11 +208,18 @@ def earth_mover(m: DataFrame, by: list[str]) -> DataFrame:
     """``(by..., emd)``: area between both distances' distribution functions."""
     pos, neg = "distance_to_closest_correct_image", "distance_to_closest_incorrect_image"
     e = m.select(*by, F.explode(F.array(F.struct(F.col(pos).alias("x"), F.lit(1).alias("p")), F.struct(F.col(neg).alias("x"), F.lit(0).alias("p")))).alias("e")).where("e.x is not null")
-    e = e.select(*by, "e.x", "e.p").groupBy(*by, "x").agg(F.sum("p").alias("p"), F.sum(1 - F.col("p")).alias("n"))
-    whole, upto = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("x")
-    gap = F.abs(F.sum("p").over(upto) / F.sum("p").over(whole) - F.sum("n").over(upto) / F.sum("n").over(whole))
-    e = e.withColumn("a", gap * (F.lead("x").over(upto) - F.col("x")))
-    return e.groupBy(*by).agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("emd"))
+    keys = by or ["__all"]
+    e = e.withColumn("__all", F.lit(0)).select(*keys, "e.x", "e.p").groupBy(*keys, "x").agg(F.sum("p").alias("p"), F.sum(1 - F.col("p")).alias("n"))
+    e = ranged(e, [*map(F.col, keys), F.col("x")])
+    whole = e.groupBy(*keys).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    # A range's last distance goes on to the next range's first: one row a range.
+    nxt = e.groupBy(*keys, "__range").agg(F.min("x").alias("first")).withColumn("then", F.lead("first").over(Window.partitionBy(*keys).orderBy("__range"))).drop("first")
+    e = sums_before(e, keys, "__range", [F.col("x")], {"p": "before_p", "n": "before_n"})
+    e = _same(_same(e, whole, keys), nxt, [*keys, "__range"])
+    gap = F.abs((F.col("before_p") + F.col("p")) / F.col("all_p") - (F.col("before_n") + F.col("n")) / F.col("all_n"))
+    lead = F.coalesce(F.lead("x").over(Window.partitionBy(*keys, "__range").orderBy("x")), "then")
+    out = e.withColumn("a", gap * (lead - F.col("x"))).groupBy(*keys).agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("emd"))
+    return out if by else out.drop("__all")
 
 
 def largest_distance(m: DataFrame, by: list[str] | None = None) -> DataFrame:

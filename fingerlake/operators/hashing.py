@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fingerlake.functions.codecs import encode
@@ -89,20 +90,23 @@ def encode_png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
-def hash_images(images: DataFrame, hashers: Iterable[ImageHash], form: str = "base64", variants: bool = False) -> DataFrame:
+def hash_images(images: DataFrame, hashers: Iterable[ImageHash], form: str = "base64", variants: bool = False, keep: Iterable[str] = ()) -> DataFrame:
     """One row for each image, hasher and variant; a failure is a row with ``error``.
 
     ``images`` is ``(filepath, image)`` with the image source's struct. Each image
-    is decoded once for all hashers. A featureless image has a null hash.
+    is decoded once for all hashers. A featureless image has a null hash. ``keep``
+    names further columns, such as category, guid and transform_name, that each
+    row carries on.
     """
+    keep = list(keep)
     hashers = list(hashers)
     names = [c.split(" ")[0] for c in RECORD.split(", ")]
     kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32()]
 
     def run(batches):
         for b in batches:
-            out = []
-            for path, struct in zip(b.column("filepath").to_pylist(), b.column("image").to_pylist()):
+            out, at = [], []
+            for n, (path, struct) in enumerate(zip(b.column("filepath").to_pylist(), b.column("image").to_pylist())):
                 for h in hashers:
                     about = (h.name, h.dtype, h.metric, h.length)
                     try:
@@ -114,21 +118,27 @@ def hash_images(images: DataFrame, hashers: Iterable[ImageHash], form: str = "ba
                             out += [(path, encode(x, h.dtype, form), q, k, None, *about) for x in vs]
                     except Exception as e:  # noqa: BLE001  an unreadable file is a row, not a failed job
                         out.append((path, None, None, None, str(e), *about))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], names=names)
+                at += [n] * (len(out) - len(at))
+            own = [pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds]
+            yield pa.RecordBatch.from_arrays([*own, *[b.column(c).take(pa.array(at, pa.int64())) for c in keep]], names=[*names, *keep])
 
-    return images.select("filepath", "image").mapInArrow(run, RECORD)
+    more = "".join(f", `{c}` {images.schema[c].dataType.simpleString()}" for c in keep)
+    return images.select("filepath", "image", *keep).mapInArrow(run, RECORD + more)
 
 
-def deduplicate_files(images: DataFrame, hashers: Iterable[tuple[ImageHash, float]], variants: bool = False) -> DataFrame:
+def deduplicate_files(images: DataFrame, hashers: Iterable[tuple[ImageHash, float]], variants: bool = False, warn: bool = False) -> DataFrame:
     """``(path1, path2)`` of files that some hasher holds for the same.
 
     For each hasher with its threshold the hashes (of all eight variants, if asked
     for) are joined on distance; pairs are united over the hashers. Paths given
-    twice count once, files with an error are left out.
+    twice count once (with ``warn`` they are counted and named in a warning), files
+    with an error are left out.
     """
     from fingerlake.functions.codecs import string_to_vector
 
     files = images.dropDuplicates(["filepath"])
+    if warn and (n := images.count() - files.count()):
+        warnings.warn(f"{n} paths are given more than once", stacklevel=2)
     ids = files.select("filepath", F.xxhash64("filepath").alias("id"))
     parts = []
     for h, t in hashers:
@@ -188,3 +198,51 @@ def variants_agree(image: np.ndarray, hasher: ImageHash) -> dict[str, float]:
     """Conformance: share of equal elements between both ways to hash variants."""
     direct = {k: hasher.compute(v) for k, v in isometric(image).items()}
     return {k: float(np.mean(v == direct[k])) for k, v in hasher.compute_isometric(image).items()}
+
+
+def low_detail_image(n: int = 100) -> np.ndarray:
+    """A black image with a faint ramp in one corner: little for a hash to hold on to."""
+    ramp = np.minimum(np.arange(n), np.arange(n)[::-1]).astype(float)
+    x = np.outer(ramp, ramp)
+    x = (x * 255 / x.max()).astype(np.uint8)
+    x[n // 2 :] = x[:, n // 2 :] = 0
+    return np.repeat(x[..., None], 3, 2)
+
+
+def hasher_integrity(spark: SparkSession, hasher: ImageHash, images: list[np.ndarray], near: float, variant_limit: float) -> None:
+    """Conformance of a third-party hasher; what it breaks is an AssertionError.
+
+    An image is at distance 0 from itself, also as a copy in other memory, and farther than
+    ``near`` from the next one; hashes have the length and type that they promise and
+    survive both text forms; the variants of each image agree with the hashes of the
+    turned images up to ``variant_limit``; a plain image and one of low detail give
+    a hash or None; and a distributed job gives the hashes of a local one.
+    """
+    from fingerlake.functions.codecs import decode, string_length
+    from fingerlake.functions.distance import between
+
+    if len(images) < 2:
+        raise ValueError("at least two images are needed")
+    vectors = [hasher.compute(x) for x in images]
+    first = vectors[0]
+    assert between(hasher.metric, first, hasher.compute(np.array(images[0], copy=True))) == 0, "an image is not at distance 0 from itself"
+    assert between(hasher.metric, first, vectors[1]) > near, "two images are too near to each other"
+    for v in vectors:
+        assert v.shape == (hasher.length,), f"the hash has the shape {v.shape}, not {hasher.length}"
+        assert v.dtype == np.dtype(hasher.dtype), f"the hash is of {v.dtype}, not {hasher.dtype}"
+        for form in ("base64", "hex"):
+            text = encode(v, hasher.dtype, form)
+            assert len(text) == string_length(hasher.length, hasher.dtype, form), f"the {form} text has a wrong length"
+            assert (decode(text, hasher.dtype, hasher.length, form) == v).all(), f"the hash does not survive {form}"
+    for x in images:
+        got = hasher.compute_isometric(x)
+        for k, turned in isometric(x).items():
+            assert between(hasher.metric, got[k], hasher.compute(turned)) <= variant_limit, f"variant {k} is off"
+    for plain in (np.zeros_like(images[0]), low_detail_image()):
+        v, q = hasher.compute_with_quality(plain)
+        assert v is None or v.shape == (hasher.length,), "a plain image breaks the hash"
+        assert 0 <= q <= 100, "the quality is not within 0 and 100"
+    struct = lambda x: (None, *x.shape[:2], 3, 16, bytearray(x[..., ::-1].tobytes()))
+    df = spark.createDataFrame([(str(i), struct(x)) for i, x in enumerate(images)], "filepath string, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
+    got = {r.filepath: r.hash for r in hash_images(df.repartition(3), [hasher]).collect()}
+    assert got == {str(i): encode(v, hasher.dtype) for i, v in enumerate(vectors)}, "a distributed job gives other hashes"

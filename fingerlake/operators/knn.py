@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import time
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,10 +28,6 @@ def _top(q: str, k: int) -> Window:
     return Window.partitionBy(q).orderBy("distance", "id")
 
 
-def _l2(a: str, b: str) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
-
-
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 1, threshold: float | Column | None = None, block: int = 4096) -> DataFrame:
     """``(qid, rank, id, distance)`` of the k nearest by L2; exact.
 
@@ -86,6 +85,15 @@ def lookup(table: DataFrame, ids: DataFrame, columns: list[str], id_col: str = "
     return table.select(id_col, *[c for c in columns if c != id_col]).join(wanted, id_col, "left_semi")
 
 
+#: Vectors of a list that are compared in one group.
+CHUNK = 4096
+
+
+def _rows(col: pa.ChunkedArray) -> np.ndarray:
+    a = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    return a.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(a), -1) if len(a) else np.zeros((0, 1))
+
+
 @dataclass
 class InvertedFile:
     """Posting lists by nearest centroid: ``postings`` is (list_id, id, vec)."""
@@ -93,11 +101,23 @@ class InvertedFile:
     postings: DataFrame
     centroids: np.ndarray
     nprobe: int = 1
+    #: (recall in percent, milliseconds, probed lists) of the last :meth:`tune`.
+    tuned: tuple | None = None
+
+    def __post_init__(self):
+        if set(self.postings.columns) != {"list_id", "id", "vec"}:
+            raise ValueError("postings need the columns list_id, id and vec")
+        if self.centroids.ndim != 2 or not len(self.centroids):
+            raise ValueError("centroids are a matrix of at least one row")
 
     @property
     def nlist(self) -> int:
         return len(self.centroids)
 
+    @property
+    def hash_length(self) -> int:
+        return self.centroids.shape[1]
+
     @property
     def ntotal(self) -> int:
         return self.postings.count()
@@ -106,47 +126,115 @@ class InvertedFile:
         self.nprobe = max(1, min(int(n), self.nlist))
         return self.nprobe
 
-    def search(self, queries: DataFrame, k: int = 1, threshold: float | Column | None = None) -> DataFrame:
-        """As :func:`knn`, over the ``nprobe`` nearest lists only."""
-        c, n = self.centroids, self.nprobe
+    def _ranked(self, queries: DataFrame, n: int) -> DataFrame:
+        """(qid, vec, lists): the ``n`` nearest lists of each query, nearest first."""
+        c = self.centroids
 
         def probe(batches):
             for b in batches:
-                t = pa.Table.from_batches([b])
-                x = t["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
-                far = (c * c).sum(1)[None, :] - 2 * x @ c.T
+                x = _rows(b.column("vec"))
+                if len(x) and x.shape[1] != c.shape[1]:
+                    raise ValueError(f"queries have {x.shape[1]} elements, the index {c.shape[1]}")
+                far = (c * c).sum(1)[None, :] - 2 * x @ c.T if len(x) else np.zeros((0, len(c)))
                 near = np.argsort(far, axis=1, kind="stable")[:, :n].astype(np.int32)
-                off = pa.array(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32)) if t.num_rows else pa.array([0], pa.int32())
+                off = pa.array(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32)) if len(x) else pa.array([0], pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("vec"), pa.ListArray.from_arrays(off, pa.array(near.ravel()))], names=["qid", "vec", "lists"])
 
-        schema = queries.select("qid", "vec").schema
-        q = queries.select("qid", "vec").where("vec is not null").mapInArrow(probe, f"qid {schema['qid'].dataType.simpleString()}, vec {schema['vec'].dataType.simpleString()}, lists array<int>")
-        q = q.select("qid", F.col("vec").alias("qvec"), F.explode("lists").alias("list_id"))
-        hit = q.join(self.postings, "list_id").select("qid", "id", _l2("qvec", "vec").alias("distance"))
-        out = hit.withColumn("rank", F.row_number().over(_top("qid", k))).where(F.col("rank") <= k)
+        q = queries.select("qid", "vec").where("vec is not null")
+        return q.mapInArrow(probe, f"qid {q.schema['qid'].dataType.simpleString()}, vec {q.schema['vec'].dataType.simpleString()}, lists array<int>")
+
+    def _scan(self, queries: DataFrame, pick: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]) -> DataFrame:
+        """(qid, id, distance) of what ``pick`` takes from each chunk of a probed list.
+
+        ``pick`` gets the queries that probe a list and a chunk of its vectors. Long lists
+        are cut into chunks of about ``CHUNK``, so none is compared in one task.
+        """
+        sizes = self.postings.groupBy("list_id").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))  # a row for each list
+        q = self._ranked(queries, self.nprobe).select("qid", F.col("vec").alias("qvec"), F.explode("lists").alias("qlist"))
+        q = q.join(sizes.withColumnRenamed("list_id", "qlist"), "qlist").select("qid", "qvec", "qlist", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("qchunk"))
+        v = self.postings.join(sizes, "list_id").select("list_id", "id", "vec", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"))
+
+        def run(a: pa.Table, b: pa.Table) -> pa.Table:
+            empty = np.zeros(0, np.int64)
+            b = b.take(pa.array(np.argsort(np.array([repr(x) for x in b["id"].to_pylist()]), kind="stable"))) if b.num_rows and pa.types.is_nested(b["id"].type) else b.sort_by("id")
+            i, j, d = pick(_rows(a["qvec"]), _rows(b["vec"])) if a.num_rows and b.num_rows else (empty, empty, np.zeros(0))
+            return pa.table([a["qid"].take(pa.array(i)), b["id"].take(pa.array(j)), pa.array(d)], names=["qid", "id", "distance"])
+
+        kinds = queries.schema["qid"].dataType.simpleString(), self.postings.schema["id"].dataType.simpleString()
+        return q.groupBy("qlist", "qchunk").cogroup(v.groupBy("list_id", "chunk")).applyInArrow(run, f"qid {kinds[0]}, id {kinds[1]}, distance double")
+
+    def search(self, queries: DataFrame, k: int = 1, threshold: float | Column | None = None) -> DataFrame:
+        """As :func:`knn`, over the ``nprobe`` nearest lists only."""
+
+        def nearest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+            sq = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
+            near = np.argsort(np.round(sq, 9), axis=1, kind="stable")[:, : k + 8]
+            exact = np.sqrt(((x[:, None, :] - y[near]) ** 2).sum(2))
+            best = np.argsort(exact, axis=1, kind="stable")[:, :k]
+            return np.repeat(np.arange(len(x)), best.shape[1]), np.take_along_axis(near, best, 1).ravel(), np.take_along_axis(exact, best, 1).ravel()
+
+        out = self._scan(queries, nearest).withColumn("rank", F.row_number().over(_top("qid", k))).where(F.col("rank") <= k)
         if threshold is not None:
             out = out.where(F.col("distance") < threshold)
         return out.select("qid", "rank", "id", "distance")
 
-    def tune(self, queries: DataFrame, min_recall: float = 99.0) -> int:
-        """The fewest probed lists whose share of right nearest neighbours, in
-        percent, reaches ``min_recall``; all lists for 100."""
+    def range_search(self, queries: DataFrame, threshold: float) -> DataFrame:
+        """(qid, id, distance): all vectors of the probed lists nearer than ``threshold``."""
+
+        def inside(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+            xx, yy = (x * x).sum(1)[:, None], (y * y).sum(1)[None, :]
+            i, j = np.nonzero(xx + yy - 2 * x @ y.T < threshold * threshold + 1e-9 * (1 + xx + yy))
+            d = np.sqrt(((x[i] - y[j]) ** 2).sum(1))
+            ok = d < threshold
+            return i[ok], j[ok], d[ok]
+
+        return self._scan(queries, inside)
+
+    def noisy_queries(self, n_query: int = 100, max_noise: int = 3, seed: int = 0) -> DataFrame:
+        """``n_query`` of the index's uint8 vectors with up to ``max_noise`` added to each element."""
+        total = self.ntotal
+        if n_query > total:
+            raise ValueError(f"{n_query} queries are more than the index's {total} vectors")
+        some = self.postings.select("id", "vec").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n_query)
+        noise = lambda x, i: (F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i), F.lit(2 * max_noise + 1)) - max_noise).cast("double")
+        return some.select(F.col("id").alias("qid"), F.transform("vec", lambda x, i: F.least(F.lit(255.0), F.greatest(F.lit(0.0), x.cast("double") + noise(x, i)))).alias("vec"))
+
+    def tune(self, queries: DataFrame | None = None, min_recall: float = 99.0, n_query: int = 100, max_noise: int = 3, seed: int = 0) -> int:
+        """Set and return the fewest probed lists whose share of right nearest
+        neighbours, in percent, reaches ``min_recall``; all lists for 100.
+
+        ``queries`` is (qid, vec); without it :meth:`noisy_queries` are taken. A query
+        is answered rightly once the list of its true neighbour is probed, so one
+        exhaustive pass over the queries gives the recall at every number of lists.
+        """
+        queries = self.noisy_queries(n_query, max_noise, seed) if queries is None else queries
+        began = time.time()
         if min_recall >= 100:
-            return self.set_nprobe(self.nlist)
-        truth = self._all().search(queries, 1).select("qid", F.col("id").alias("want")).cache()
-        try:
-            for n in range(1, self.nlist):
-                self.set_nprobe(n)
-                got = truth.join(self.search(queries, 1).select("qid", "id"), "qid", "left")
-                if 100 * got.agg(F.avg((F.coalesce(F.col("id") == F.col("want"), F.lit(False))).cast("int"))).first()[0] >= min_recall:
-                    return n
-        finally:
-            truth.unpersist()
-        raise TuningFailure(f"no number of lists below {self.nlist} reaches {min_recall} %")
+            warnings.warn("only an exhaustive search is sure to have a recall of 100 %", stacklevel=2)
+            n, recall = self.nlist, 100.0
+        else:
+            want = self._all().search(queries, 1).select("qid", "id")
+            home = want.join(self.postings.select("id", "list_id"), "id").groupBy("qid").agg(F.min("list_id").alias("list_id"))
+            rank = self._ranked(queries, self.nlist).join(home, "qid").groupBy(F.array_position("lists", F.col("list_id")).alias("n")).count()
+            got = sorted((r["n"], r["count"]) for r in rank.collect())  # at most a row for each list
+            total, found, n, recall = sum(c for _, c in got), 0, None, 0.0
+            for at, c in got:
+                found += c
+                if 100 * found / total >= min_recall:
+                    n, recall = int(at), 100 * found / total
+                    break
+            if n is None or n >= self.nlist > 1:
+                raise TuningFailure(f"no number of lists below {self.nlist} reaches {min_recall} %")
+        self.tuned = (recall, 1000 * (time.time() - began), n)
+        return self.set_nprobe(n)
 
     def _all(self) -> InvertedFile:
         return InvertedFile(self.postings, self.centroids, self.nlist)
 
+    def refill(self, vectors: DataFrame) -> InvertedFile:
+        """An index of the same lists over the current (id, vec), whatever it held before."""
+        return _filled(vectors.select("id", "vec").where("vec is not null"), self.centroids, self.nprobe)
+
     def save(self, path: str) -> None:
         self.postings.write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/postings")
         spark = self.postings.sparkSession
@@ -167,39 +255,81 @@ def number_of_lists(n: int) -> int:
     return int(max(min(4 * math.sqrt(n), n / 39), 1))
 
 
+def _centres(vectors: DataFrame, lists: int, length: int, seed: int) -> np.ndarray:
+    """Centroids of ``lists`` lists; one list has the origin."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    if lists <= 1:
+        return np.zeros((1, length))
+    fit = vectors.select(array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"))
+    return np.array(KMeans(k=lists, seed=seed, maxIter=15).fit(fit).clusterCenters())
+
+
 def build_index(vectors: DataFrame, pct_probe: float = 0.0, approximate: bool = True, nlist: int | None = None, train_rows: int = 50_000, seed: int = 7) -> InvertedFile | None:
     """An inverted file over (id, vec), or None for an empty table.
 
     Centroids are fitted by k-means on at most ``train_rows`` vectors; without
     ``approximate`` there is one list, so a search is exhaustive.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
     v = vectors.select("id", "vec").where("vec is not null")
     n = v.count()
     if not n:
         return None
     lists = (nlist or number_of_lists(n)) if approximate else 1
-    fit = v.select(array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"))
-    if n > train_rows:
-        fit = fit.sample(fraction=train_rows / n, seed=seed)
-    model = KMeans(k=lists, seed=seed, maxIter=15).fit(fit) if lists > 1 else None
-    centres = np.array(model.clusterCenters()) if model else np.zeros((1, v.select(F.size("vec")).first()[0]))
+    fit = v.sample(fraction=train_rows / n, seed=seed) if n > train_rows else v
+    centres = _centres(fit, lists, v.select(F.size("vec")).first()[0], seed)
+    return _filled(v, centres, max(math.ceil(pct_probe * lists), 1))
+
 
+def _filled(v: DataFrame, centres: np.ndarray, nprobe: int) -> InvertedFile:
     def assign(batches):
         for b in batches:
-            t = pa.Table.from_batches([b])
-            x = t["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
-            near = ((centres * centres).sum(1)[None, :] - 2 * x @ centres.T).argmin(1).astype(np.int32)
+            x = _rows(b.column("vec"))
+            if len(x) and x.shape[1] != centres.shape[1]:
+                raise ValueError(f"vectors have {x.shape[1]} elements, the index {centres.shape[1]}")
+            near = ((centres * centres).sum(1)[None, :] - 2 * x @ centres.T).argmin(1).astype(np.int32) if len(x) else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(near), b.column("id"), b.column("vec")], names=["list_id", "id", "vec"])
 
     kinds = {f.name: f.dataType.simpleString() for f in v.schema}
     out = InvertedFile(v.mapInArrow(assign, f"list_id int, id {kinds['id']}, vec {kinds['vec']}"), centres)
-    out.set_nprobe(max(math.ceil(pct_probe * lists), 1))
+    out.set_nprobe(nprobe)
     return out
 
 
+def from_table(table: DataFrame, hash_length: int, train_size: int | None = None, ids_train: DataFrame | None = None, index: InvertedFile | None = None, dtype: str = "uint8", distance_metric: str = "euclidean", seed: int = 7) -> InvertedFile:
+    """An index over a table of (id, hash), hashes being bytes of uint8.
+
+    Such a table comes from :func:`sources.lookup.read_jdbc` or any other source. Lists
+    are fitted on ``ids_train`` or on ``train_size`` rows chosen by a hash of their
+    id (39 a list by default, which is also the least); a given ``index`` is not
+    fitted again but emptied and filled with the table's rows.
+    """
+    if dtype != "uint8":
+        raise ValueError("only hashes of uint8 can be indexed")
+    if distance_metric != "euclidean":
+        raise ValueError("only the euclidean distance can be indexed")
+    rows = table.where("hash is not null")
+    bad = rows.where(F.length("hash") != hash_length).limit(1).count()
+    if bad or (index is not None and index.hash_length != hash_length):
+        raise ValueError(f"hashes are not of length {hash_length}")
+    byte = F.transform(F.sequence(F.lit(1), F.lit(hash_length)), lambda i: F.conv(F.hex(F.substring("hash", i, F.lit(1))), 16, 10).cast("float"))
+    v = rows.select("id", byte.alias("vec"))
+    if index is not None:
+        return index.refill(v)
+    n = rows.count()
+    lists = int(min(4 * math.sqrt(n), n / 39))
+    if train_size is not None and train_size > n:
+        raise ValueError(f"cannot train on {train_size} of {n} hashes")
+    if lists < 1:
+        raise ValueError("an index needs at least 39 hashes")
+    chosen = ids_train.count() if ids_train is not None else train_size or 39 * lists
+    if chosen < 39 * lists:
+        raise ValueError(f"{n} hashes need at least {39 * lists} to train on, not {chosen}")
+    fit = v.join(ids_train.select("id").distinct(), "id", "left_semi") if ids_train is not None else v.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(chosen)
+    return _filled(v, _centres(fit, lists, hash_length, seed), 1)
+
+
 def approximate_pairs(index: InvertedFile, files: DataFrame, counts: DataFrame, threshold: float, minimum_overlap: float = 0.0) -> DataFrame:
     """File pairs as ``overlap_pairs`` gives, from the lists that are probed.
 
@@ -207,7 +337,7 @@ def approximate_pairs(index: InvertedFile, files: DataFrame, counts: DataFrame,
     sub)``; ``counts`` is (id, n).
     """
     q = files.select(F.struct("id", "sub").alias("qid"), "vec")
-    hit = index.search(q, k=2**31 - 1, threshold=threshold).where("qid.id < id.id")
+    hit = index.range_search(q, threshold).where("qid.id < id.id")
     hit = hit.groupBy(F.col("qid.id").alias("id1"), F.col("id.id").alias("id2")).agg(F.countDistinct("qid.sub").alias("a"), F.countDistinct("id.sub").alias("b"))
     n1, n2 = counts.select(F.col("id").alias("id1"), F.col("n").alias("n1")), counts.select(F.col("id").alias("id2"), F.col("n").alias("n2"))
     least = F.least(F.col("a") / F.col("n1"), F.col("b") / F.col("n2"))

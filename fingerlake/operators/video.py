@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import math
 import warnings
+from collections.abc import Iterator
 from fractions import Fraction
-from itertools import count
+from itertools import count, groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fingerlake.functions.codecs import encode
 from fingerlake.functions.distance import distance
 
 
@@ -84,17 +86,44 @@ def sample_rate(frames: DataFrame, file_fps: float, fps: float | str | None, vid
     return out
 
 
+def _order(b: pa.RecordBatch) -> np.ndarray:
+    """Rows of a batch, video by video."""
+    return np.argsort(b.column("video").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False), kind="stable")
+
+
+def _frames(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Vectors of a batch video by video, where each video begins, and the videos."""
+    order = _order(b)
+    code = b.column("video").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)[order]
+    at = np.flatnonzero(np.diff(code, prepend=-2))
+    x = b.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)[order]
+    return x, at, b.column("video").take(pa.array(order[at]))
+
+
 def mean_vector(frames: DataFrame, vec: str = "vec", video: str = "video_id", norm: float | None = 2, quality: str | None = None, quality_threshold: float | None = None) -> DataFrame:
     """``(video_id, vec)``: element-wise mean of the frames' vectors, Lp-normalised.
 
-    A video without a usable frame has no row. Sums are combined map-side; only
-    one row for each element of a video is shuffled.
+    A video without a usable frame has no row. Each Arrow batch gives one sum for
+    each of its videos, and these are added up.
     """
     if quality_threshold is not None:
         frames = frames.where(F.col(quality) >= quality_threshold)
-    e = frames.where(F.col(vec).isNotNull()).select(video, F.posexplode(vec).alias("i", "x"))
-    m = e.groupBy(video, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    v = m.groupBy(video).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("vec"))
+    kind = frames.schema[video].dataType.simpleString()
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, at, code = _frames(b)
+                total = np.add.reduceat(x, at, axis=0)
+                n = np.diff(np.append(at, len(x)))
+                yield pa.RecordBatch.from_arrays([code, pa.array(n), pa.array([t.tobytes() for t in total], pa.binary())], names=["video", "n", "total"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x) for x in sorted(t["total"].to_pylist()))
+        return pa.table([t["video"].slice(0, 1), pa.array([(total / sum(t["n"].to_pylist())).tolist()], pa.list_(pa.float64()))], names=[video, "vec"])
+
+    parts = frames.where(F.col(vec).isNotNull()).select(F.col(video).alias("video"), F.col(vec).alias("vec")).mapInArrow(part, f"video {kind}, n long, total binary")
+    v = parts.groupBy("video").applyInArrow(add, f"`{video}` {kind}, vec array<double>")
     if norm is None:
         return v
     total = F.pow(F.aggregate("vec", F.lit(0.0), lambda s, x: s + F.pow(F.abs(x), F.lit(float(norm)))), F.lit(1.0 / norm))
@@ -130,13 +159,33 @@ def temporal_feature(frames: DataFrame, vec: str = "vec", video: str = "video_id
 
     For each period T and frequency j the sums over frames of
     ``w_j sin(2 pi j t / T) x`` (terms 0..m-1) and of the cosine (m..2m-1).
+    Each Arrow batch gives one matrix for each of its videos, and these are added up.
     """
     w = temporal_weights(m)
-    basis = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(j + m * c).alias("term"), F.lit(2 * math.pi * j / period).alias("omega"), F.lit(float(w[j])).alias("w"), F.lit(bool(c)).alias("cos")) for p, period in enumerate(PERIODS) for j in range(m) for c in (0, 1)])
-    e = frames.where(F.col(vec).isNotNull()).select(video, F.col(ts).cast("double").alias("t"), vec, F.explode(basis).alias("b"))
-    angle = F.col("b.omega") * F.col("t")
-    e = e.select(video, F.col("b.p").alias("period"), F.col("b.term").alias("term"), (F.col("b.w") * F.when(F.col("b.cos"), F.cos(angle)).otherwise(F.sin(angle))).alias("a"), F.posexplode(vec).alias("i", "x"))
-    return e.groupBy(video, "period", "term", "i").agg(F.sum(F.col("a") * F.col("x").cast("double")).alias("value"))
+    omega = np.stack([2 * np.pi * np.arange(m) / period for period in PERIODS])  # periods, m
+    kind = frames.schema[video].dataType.simpleString()
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, at, code = _frames(b)
+            t = b.column("t").take(pa.array(_order(b))).to_numpy(zero_copy_only=False)
+            total = []
+            for lo, hi in zip(at, np.append(at[1:], len(x))):
+                angle = omega[:, :, None] * t[None, None, lo:hi]
+                wave = np.concatenate([w[None, :, None] * np.sin(angle), w[None, :, None] * np.cos(angle)], axis=1)
+                total.append((wave @ x[lo:hi]).tobytes())
+            yield pa.RecordBatch.from_arrays([code, pa.array(total, pa.binary())], names=["video", "total"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x) for x in sorted(t["total"].to_pylist())).reshape(len(PERIODS), 2 * m, -1)
+        p, j, i = (k.ravel() for k in np.indices(total.shape))
+        same = t["video"].combine_chunks().take(pa.array(np.zeros(total.size, np.int64)))
+        return pa.table([same, pa.array(p.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(i.astype(np.int32)), pa.array(total.ravel())], names=[video, "period", "term", "i", "value"])
+
+    parts = frames.where(F.col(vec).isNotNull()).select(F.col(video).alias("video"), F.col(ts).cast("double").alias("t"), F.col(vec).alias("vec")).mapInArrow(part, f"video {kind}, total binary")
+    return parts.groupBy("video").applyInArrow(add, f"`{video}` {kind}, period int, term int, i int, value double")
 
 
 def normalise_feature(fv: np.ndarray, how: str | None) -> np.ndarray:
@@ -266,3 +315,90 @@ def black_padding(frames: DataFrame, fps: float, duration_s: float = 0.0, durati
     after = one.select(video, (shift + F.col("__end") + (F.col("k") + 1) / F.lit(float(fps))).alias(ts), F.col("__black").alias(vec))
     own = f.join(span.select(video, "__n"), video).select(video, (F.col(ts) + shift).alias(ts), vec)
     return before.unionByName(own).unionByName(after)
+
+
+class VideoHash:
+    """A hash that is folded over a video's frames in order.
+
+    ``process_frame`` gets each frame with the state it returned before (None at
+    first), ``hash_from_final_state`` makes the vector, or several with ``multiple``. A state
+    may list ``scenes``; ``end`` is set to the last frame's time.
+    """
+
+    name = "video"
+    dtype = "float32"
+    metric = "euclidean"
+    length = 0
+    multiple = False
+    frames_per_second: float = 1.0
+
+    def process_frame(self, frame: np.ndarray, frame_index: int, frame_timestamp: float, state: dict | None = None) -> dict:
+        raise NotImplementedError
+
+    def hash_from_final_state(self, state: dict) -> np.ndarray | list[np.ndarray]:
+        raise NotImplementedError
+
+
+VIDEO_RECORD = "video_id string, hash string, error string, scenes string, end double, hasher_name string, hasher_dtype string, hasher_distance_metric string, hasher_hash_length int"
+
+
+def hash_videos(frames: DataFrame, hasher: VideoHash, form: str = "base64", errors: str = "raise", videos: DataFrame | None = None) -> DataFrame:
+    """A row for each hash of each video, with its scenes as JSON and its end.
+
+    ``frames`` is a table of the sources: (video_id, frame_index, ts, height, width,
+    channels, data). Frames are sorted video by video and folded as they stream
+    by, so a long video needs no more memory than its state. A video that fails,
+    or of ``videos`` has no frame, is a row with ``error`` under ``errors="warn"``
+    (a warning is given in the worker) or ``"ignore"``; under ``"raise"`` the job fails.
+    """
+    if errors not in ("raise", "warn", "ignore"):
+        raise ValueError("errors must be raise, warn or ignore")
+    about = (hasher.name, hasher.dtype, hasher.metric, hasher.length)
+    names = [c.split(" ")[0] for c in VIDEO_RECORD.split(", ")]
+    kinds = [pa.string()] * 4 + [pa.float64()] + [pa.string()] * 3 + [pa.int32()]
+
+    def failed(video: str, e: Exception) -> tuple:
+        if errors == "raise":
+            raise e
+        if errors == "warn":
+            warnings.warn(f"{video}: {e}", stacklevel=2)
+        return (video, None, str(e), None, None, *about)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            yield from zip(*(b.column(c).to_pylist() for c in ("video_id", "frame_index", "ts", "height", "width", "channels", "data")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import json
+
+        for video, got in groupby(rows(batches), lambda r: r[0]):
+            state, problem = None, None
+            for _, index, ts, h, w, c, data in got:
+                if problem is None:
+                    try:
+                        if data is None:
+                            raise ValueError("the frame cannot be decoded")
+                        state = hasher.process_frame(np.frombuffer(data, np.uint8).reshape(h, w, c), index, ts, state)
+                        state["end"] = ts
+                    except Exception as e:  # noqa: BLE001  a broken video is a row, not a failed job
+                        problem = e
+            try:
+                if problem is not None:
+                    raise problem
+                v = hasher.hash_from_final_state(state)
+                vs = v if hasher.multiple else [v]
+                out = [(video, encode(x, hasher.dtype, form), None, json.dumps(state.get("scenes", [])), state["end"], *about) for x in vs]
+            except Exception as e:  # noqa: BLE001
+                out = [failed(video, e)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+    f = frames.select("video_id", "frame_index", "ts", "height", "width", "channels", "data")
+    got = f.repartition("video_id").sortWithinPartitions("video_id", "frame_index").mapInArrow(run, VIDEO_RECORD)
+    if videos is None:
+        return got
+    lost = videos.select(F.col("video_id").cast("string").alias("video_id")).distinct().join(frames.select("video_id").distinct(), "video_id", "left_anti")
+    if errors == "raise" and (some := lost.first()) is not None:
+        raise ValueError(f"{some['video_id']} has no frame")
+    none = lambda t: F.lit(None).cast(t)
+    lost = lost.select("video_id", none("string"), F.lit("the video has no frame"), none("string"), none("double"), *map(F.lit, about)).toDF(*names)
+    return got.unionByName(lost.withColumn("hasher_hash_length", F.col("hasher_hash_length").cast("int")))

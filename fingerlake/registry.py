@@ -10,11 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from fingerlake.functions import codecs, distance, vectors
-from fingerlake.operators import evaluation, graph, knn, similarity, video
+from fingerlake.functions import codecs, distance, images, vectors
+from fingerlake.operators import descriptors, evaluation, graph, hashing, knn, similarity, video
 from fingerlake.sources.tables import table
 
 L2, HAMMING, U8 = 1.12, 0.3125, 460.0
@@ -177,7 +181,7 @@ def ivf_recall(spark, sf):
 
 
 def _hashes(spark, sf):
-    e = _emb(spark, sf).where("id < 200")
+    e = _emb(spark, sf)
     noop = e.select(F.col("id").alias("guid"), F.lit("noop").alias("transform_name"), F.lit("sign").alias("hasher_name"), (F.col("label") % 3).alias("category"), "vec")
     weak = F.transform("vec", lambda x, i: F.when(i % 2 == 0, F.lit(0.0).cast("float")).otherwise(x))
     harsh = F.transform("vec", lambda x, i: F.when(i % 8 == 0, x).otherwise(F.lit(0.0).cast("float")))
@@ -282,26 +286,188 @@ def explode_hashes(spark, sf):
     return f.select("id", F.explode_outer("subs").alias("sub"))
 
 
+_BITS = T.ArrayType(T.StructType([T.StructField("variant", T.StringType()), T.StructField("bits", T.StringType())]))
+
+
+def _each(kind: T.DataType, f: Callable) -> Callable:
+    """Column function from a function of one row's vector, in Arrow batches."""
+
+    @F.arrow_udf(kind)
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([f(np.asarray(v)) for v in values.to_pylist()], to_arrow_type(kind))
+
+    return run
+
+
+def _ones(v: np.ndarray) -> str:
+    return "".join("1" if x else "0" for x in v)
+
+
 def isometric_variants(spark, sf):
     """The eight variants of an 8 x 8 bit hash, without the image."""
-    v = vectors.dihedral(F.col("vec"), 8)
-    rows = _bits(spark, sf).select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), F.concat_ws("", c.cast("array<string>")).alias("bits")) for k, c in v.items()])).alias("e"))
-    return rows.select("id", "e.variant", "e.bits")
+    turn = _each(_BITS, lambda v: [{"variant": k, "bits": _ones(x)} for k, x in images.AverageHash().compute_isometric_from_hash(v).items()])
+    return _bits(spark, sf).select("id", F.explode(turn("vec")).alias("e")).select("id", "e.variant", "e.bits")
 
 
 def hash_rules(spark, sf):
     """Average, median and difference rules over the uint8 vector as an image."""
-    u = _u8(spark, sf)
-    text = lambda c: F.concat_ws("", c.cast("array<string>"))
-    return u.select("id", text(vectors.above_mean(F.col("vec"))).alias("average"), text(vectors.from_median(F.col("vec"))).alias("median"), text(vectors.falling(F.col("vec"), 8)).alias("difference"))
+
+    def rules(v: np.ndarray) -> dict:
+        g = v.reshape(8, 8).astype(np.uint8)
+        return {"average": _ones(images.AverageHash().compute(g)), "median": _ones(images.PHash().finish(g.astype(float))), "difference": _ones(images.falling(g))}
+
+    kind = T.StructType([T.StructField(n, T.StringType()) for n in ("average", "median", "difference")])
+    return _u8(spark, sf).select("id", _each(kind, rules)("vec").alias("r")).select("id", "r.*")
 
 
 def keypoint_intersection(spark, sf):
     """Bounding boxes of all points and of those kept; points are element pairs."""
-    e = _emb(spark, sf).withColumn("p", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.struct(F.get("vec", i * 2).cast("double").alias("x"), F.get("vec", i * 2 + 1).cast("double").alias("y"))))
-    e = e.withColumn("k", F.filter("p", lambda q: q["x"] > 0))
-    area = lambda c: vectors.box_area(F.transform(c, lambda q: q["x"]), F.transform(c, lambda q: q["y"]))
-    return e.select("id", F.round(area("k") / area("p"), 6).alias("share"))
+
+    def share(v: np.ndarray) -> float:
+        p = v.astype(float).reshape(-1, 2)
+        return descriptors.intersection(p[p[:, 0] > 0], p)
+
+    return _emb(spark, sf).select("id", F.round(_each(T.DoubleType(), share)("vec"), 6).alias("share"))
+
+
+def _pictures(spark, sf):
+    """(filepath, image): each uint8 vector as an 8 x 8 gray image, in the image source's form."""
+    data = _each(T.BinaryType(), lambda v: np.repeat(v.astype(np.uint8)[:, None], 3, 1).tobytes())
+    image = F.struct(F.lit(None).cast("string").alias("origin"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), data("vec").alias("data"))
+    return _u8(spark, sf).select(F.col("id").cast("string").alias("filepath"), image.alias("image"))
+
+
+def image_average_hash(spark, sf):
+    """The hash job with the average hash."""
+    got = hashing.hash_images(_pictures(spark, sf), [images.AverageHash()], "hex")
+    return got.select(F.col("filepath").cast("long").alias("id"), "hash", "hasher_name", "hasher_dtype", "hasher_distance_metric", "hasher_hash_length", "error")
+
+
+def image_average_variants(spark, sf):
+    """The hash job over the eight variants."""
+    got = hashing.hash_images(_pictures(spark, sf), [images.AverageHash()], "hex", variants=True)
+    return got.select(F.col("filepath").cast("long").alias("id"), "variant", "hash")
+
+
+def image_difference_hash(spark, sf):
+    """The difference hash of 4 x 4: its 4 x 5 image by area shares."""
+    return hashing.hash_images(_pictures(spark, sf), [images.DHash(4)], "hex").select(F.col("filepath").cast("long").alias("id"), "hash")
+
+
+def _coefficients(spark, sf, hasher):
+    got = _each(T.ArrayType(T.DoubleType()), lambda v: None if (x := hasher.compute(np.repeat(v.reshape(8, 8, 1).astype(np.uint8), 3, 2))) is None else x.astype(float).tolist())
+    return _u8(spark, sf).select("id", F.posexplode(got("vec")).alias("i", "x"))
+
+
+def image_dct_hash(spark, sf):
+    """The DCT hash's 4 x 4 lowest frequencies of the 8 x 8 image, as numbers."""
+    return _coefficients(spark, sf, images.PHashF(4, 2)).select("id", "i", F.round("x", 2).alias("x"))
+
+
+def image_dct_bits(spark, sf):
+    """The DCT hash: frequencies at or above their median."""
+    got = hashing.hash_images(_pictures(spark, sf), [images.PHash(4, 2)], "hex")
+    return got.select(F.col("filepath").cast("long").alias("id"), "hash")
+
+
+def image_dct_bytes(spark, sf):
+    """The DCT hash scaled to bytes; compared by its extremes and sum, within one for each byte."""
+    c = _coefficients(spark, sf, images.PHashU8(4, 2)).groupBy("id").agg(F.min("x").alias("least"), F.max("x").alias("most"), F.count("*").alias("n"))
+    return c.select("id", F.col("least").cast("int").alias("least"), F.col("most").cast("int").alias("most"), "n")
+
+
+def image_wavelet_hash(spark, sf):
+    """The Haar hash of 4 x 4: block sums above their median."""
+    got = hashing.hash_images(_pictures(spark, sf), [images.WaveletHash(4)], "hex")
+    return got.select(F.col("filepath").cast("long").alias("id"), "hash")
+
+
+def image_pdq_numbers(spark, sf):
+    """The 16 x 16 DCT of the 64 x 64 image that each 8 x 8 one is stretched to."""
+    return _coefficients(spark, sf, images.PDQHashF()).where("i % 5 = 0").select("id", "i", F.round("x", 2).alias("x"))
+
+
+def image_pdq_bits(spark, sf):
+    """How many of the 256 frequencies lie above their median."""
+    got = hashing.hash_images(_pictures(spark, sf), [images.PDQHash()], "hex")
+    return got.select(F.col("filepath").cast("long").alias("id"), F.bit_count(F.conv(F.substring("hash", 1, 15), 16, 10).cast("long")).alias("ones15"), F.length("hash").alias("n"))
+
+
+def image_quality(spark, sf):
+    """Sum of gradients of a 64 x 64 image, whose pixels are means of two elements."""
+
+    def q(v: np.ndarray) -> int:
+        return images.quality(((v[:, None] + v[None, :]) // 2).astype(np.uint8))
+
+    return _u8(spark, sf).select("id", _each(T.IntegerType(), q)("vec").alias("quality"))
+
+
+def file_dedupe(spark, sf):
+    """Files whose average hashes differ in fewer than 18 of 64 bits."""
+    got = hashing.deduplicate_files(_pictures(spark, sf), [(images.AverageHash(), 0.28)])
+    p, q = F.col("path1").cast("long"), F.col("path2").cast("long")
+    return got.select(F.least(p, q).alias("id1"), F.greatest(p, q).alias("id2"))
+
+
+def approximate_file_pairs(spark, sf):
+    """Overlaps by range searches in an inverted file, all of whose lists are probed."""
+    f = _files(spark, sf)
+    index = knn.build_index(f.select(F.struct("id", "sub").alias("id"), "vec"), 1.0)
+    return knn.approximate_pairs(index, f, f.groupBy("id").agg(F.count("*").alias("n")), L2, 0.2)
+
+
+def index_range(spark, sf):
+    """Vectors nearer than the threshold to every tenth, by an index over a table of byte hashes."""
+    u = _u8(spark, sf)
+    data = _each(T.BinaryType(), lambda v: v.astype(np.uint8).tobytes())
+    index = knn.from_table(u.select("id", data("vec").alias("hash")), 64)
+    index.set_nprobe(index.nlist)
+    q = u.where("id % 10 = 0").select(F.col("id").alias("qid"), "vec")
+    return index.range_search(q, U8).where("qid <> id").select("qid", "id", F.round(F.col("distance") * F.col("distance")).cast("long").alias("squared"))
+
+
+def tmk_scores(spark, sf):
+    """Scores of each video with the next at two offsets, under every normalisation."""
+    f = _kernel_frames(spark, sf)
+    feature = video.temporal_feature(f).groupBy("video_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("period", "term", "i", "value"))), lambda x: x["value"]).alias("fv"))
+    pair = feature.join(feature.select((F.col("video_id") - 1).alias("video_id"), F.col("fv").alias("other")), "video_id")
+    kind = T.ArrayType(T.StructType([T.StructField("how", T.StringType()), T.StructField("shift", T.IntegerType()), T.StructField("score", T.DoubleType())]))
+
+    @F.arrow_udf(kind)
+    def scores(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a.to_pylist(), b.to_pylist()):
+            x, y = (np.array(v).reshape(len(video.PERIODS), 2 * video.M, -1) for v in (x, y))
+            out.append([{"how": how, "shift": at, "score": s} for how in ("feat", "freq", "feat_freq", "matrix") for at, s in zip((0, 40), video.temporal_scores(x, y, (0, 40), how))])
+        return pa.array(out, to_arrow_type(kind))
+
+    return pair.select("video_id", F.explode(scores("fv", "other")).alias("s")).select("video_id", "s.how", "s.shift", (F.round("s.score", 8) + 0.0).alias("score"))
+
+
+def _kernel_frames(spark, sf):
+    """One frame for each event, of two elements, fifteen a second."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts")) - 1
+    v = F.col("value")
+    return table(spark, sf, "events").select(F.col("user_id").alias("video_id"), (n / 15.0).alias("ts"), F.array(v / 500, F.cos(v)).alias("vec"))
+
+
+def geometry_stats(spark, sf):
+    """Validation of ten descriptors a file against their copies, three of which changed, under a shear."""
+    e = _emb(spark, sf)
+    x, y = (F.get("vec", i).cast("double") * 100 for i in (0, 1))
+    point = lambda a, b: F.array(a.cast("float"), b.cast("float"))
+    moved = F.when(F.col("id") % 10 < 3, F.transform("vec", lambda v: -v)).otherwise(F.col("vec"))
+    rows = e.select(F.floor(F.col("id") / 10).alias("file"), "id", F.col("vec").alias("d1"), moved.alias("d2"), point(x, y).alias("k1"), point(x * 2 + y + 300, y * 3 + 200).alias("k2"))
+    side = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("id", c))), lambda r: r[c]).alias(c)
+    files = rows.groupBy("file").agg(*map(side, ("d1", "d2", "k1", "k2")), F.count("*").alias("n")).where("n = 10")
+
+    @F.arrow_udf(descriptors.STATS)
+    def check(d1: pa.Array, d2: pa.Array, k1: pa.Array, k2: pa.Array) -> pa.Array:
+        made = [[{"descriptors": d, "keypoints": k, "width": w, "height": w} for d, k in zip(ds.to_pylist(), ks.to_pylist())] for ds, ks, w in ((d1, k1, 1000), (d2, k2, 1000))]
+        return pa.array([descriptors.validate(a, b, 0.5, minimum_match=0.5, minimum_intersection_share=0.0) for a, b in zip(*made)], to_arrow_type(descriptors.STATS))
+
+    s = files.select("file", check("d1", "d2", "k1", "k2").alias("s"))
+    return s.select("file", "s.match", "s.min_kpBM", F.round("s.intersection", 4).alias("intersection"), "s.inliers", F.size("s.final_matched_a_pts").alias("points"))
 
 
 def request_validation(spark, sf):
@@ -332,7 +498,7 @@ def frame_padding(spark, sf):
 
 
 def framewise_previous(spark, sf):
-    """Compared with the last frame kept: a fold, which SQL cannot state."""
+    """Compared with the last frame kept: a fold."""
     return video.framewise(_frames(spark, sf).select("video_id", "frame_index", "vec", "event_id"), 60.0, anchor="previous").select("video_id", "event_id")
 
 
@@ -380,7 +546,7 @@ _OV = f"{_F}, n AS (SELECT id, count(*) AS n FROM f GROUP BY id), m AS (SELECT a
 _REACH = f"{_E}, p AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.id < b.id AND {_HP}), s AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(id, c) AS (SELECT id, id FROM e UNION SELECT s.b, r.c FROM r JOIN s ON s.a = r.id), g AS (SELECT id, min(c) AS cluster FROM r GROUP BY id)"
 _KNN = f"WITH {_E}, k AS (SELECT a.id AS qid, b.id AS id, b.label, list_distance(a.vec, b.vec) AS d, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.vec, b.vec), b.id) AS rank FROM e a JOIN e b ON a.id % 10 = 0 AND b.id % 10 <> 0) "
 _H = (
-    f"{_E}, h0 AS (SELECT id AS guid, 'sign' AS hasher_name, label % 3 AS category, vec FROM e WHERE id < 200), "
+    f"{_E}, h0 AS (SELECT id AS guid, 'sign' AS hasher_name, label % 3 AS category, vec FROM e), "
     "t AS (SELECT guid, 'half' AS transform_name, hasher_name, category, list_transform(vec, lambda x, i: CASE WHEN (i - 1) % 2 = 0 THEN 0 ELSE x END) AS vec FROM h0 UNION ALL SELECT guid, 'most', hasher_name, category, list_transform(vec, lambda x, i: CASE WHEN (i - 1) % 8 = 0 THEN x ELSE 0 END) FROM h0), "
     "d AS (SELECT t.guid, transform_name, t.hasher_name, t.category, n.guid AS ng, list_distance(t.vec, n.vec) AS d FROM t JOIN h0 n ON t.hasher_name = n.hasher_name AND t.category = n.category), "
     "mm AS (SELECT guid, transform_name, hasher_name, category, round(min(d) FILTER (guid = ng), 6) AS distance_to_closest_correct_image, round(min(d) FILTER (guid <> ng), 6) AS distance_to_closest_incorrect_image, round(min(d), 6) AS distance_to_closest_image, arg_min(ng, (d, ng)) FILTER (guid <> ng) AS closest_incorrect_guid FROM d GROUP BY ALL)"
@@ -399,6 +565,45 @@ n AS (SELECT {k}, count(*) AS n_exemplars FROM mm GROUP BY {k})
 SELECT {k}, threshold, CASE WHEN fb IS NULL THEN 100.0::DOUBLE WHEN fb = 1 THEN NULL ELSE round(p, 6) END AS precision, CASE WHEN fb IS NULL THEN 100.0::DOUBLE WHEN fb = 1 THEN 0.0::DOUBLE ELSE rec END AS recall, n_exemplars FROM g JOIN n USING ({k})"""
 
 
+_U = "u AS (SELECT id, list_transform(vec, lambda x: CAST(floor(255.0::DOUBLE * (x - list_min(vec)) / (list_max(vec) - list_min(vec))) AS BIGINT)) AS q FROM e)"
+
+
+def _hex(bits: str) -> str:
+    """SQL for the hexadecimal text of a list of bits."""
+    return f"array_to_string(list_transform(range(0, len({bits}) // 4), lambda i: format('{{:x}}', {bits}[i * 4 + 1] * 8 + {bits}[i * 4 + 2] * 4 + {bits}[i * 4 + 3] * 2 + {bits}[i * 4 + 4])), '')"
+
+
+def _table(name: str, m: np.ndarray) -> str:
+    """A matrix as (r, c, w) rows of SQL."""
+    return f"{name}(r, c, w) AS (VALUES " + ", ".join(f"({r}, {c}, {float(w)!r}::DOUBLE)" for (r, c), w in np.ndenumerate(m)) + ")"
+
+
+def _transformed(left: np.ndarray, right: np.ndarray) -> str:
+    """SQL tables up to d (id, r, c, x): left x image x right', for each 8 x 8 image."""
+    return f"{_E}, {_U}, {_table('lm', left)}, {_table('rm', right)}, px AS (SELECT id, i // 8 AS r, i % 8 AS c, q[i + 1] AS x FROM u, (SELECT unnest(range(0, 64)) AS i)), half AS (SELECT id, lm.r AS r, px.c AS c, sum(lm.w * px.x) AS x FROM px JOIN lm ON lm.c = px.r GROUP BY ALL), d AS (SELECT id, half.r AS r, rm.r AS c, sum(rm.w * half.x) AS x FROM half JOIN rm ON rm.c = half.c GROUP BY ALL)"
+
+
+_TURN = "CASE f WHEN 0 THEN i WHEN 1 THEN (7 - i // 8) * 8 + i % 8 WHEN 2 THEN i // 8 * 8 + 7 - i % 8 WHEN 3 THEN 63 - i WHEN 4 THEN i % 8 * 8 + 7 - i // 8 WHEN 5 THEN i % 8 * 8 + i // 8 WHEN 6 THEN (7 - i % 8) * 8 + 7 - i // 8 ELSE (7 - i % 8) * 8 + i // 8 END"
+
+
+def _scores_sql() -> str:
+    """Temporal match scores, normalisation by normalisation."""
+    w = video.temporal_weights()
+    periods = ", ".join(f"({p}, {t})" for p, t in enumerate(video.PERIODS))
+    weights = ", ".join(f"({j}, {float(x)!r}::DOUBLE)" for j, x in enumerate(w))
+    eps = "1e-8::DOUBLE"
+    made = f"""f AS (SELECT user_id AS v, value / 500 AS x0, cos(value) AS x1, (row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1) / 15.0::DOUBLE AS t FROM events),
+k AS (SELECT p, period, j, w, 2 * pi() * j / period AS o FROM (VALUES {periods}) a(p, period), (VALUES {weights}) b(j, w)),
+y AS (SELECT v, p, period, j, w, i, sum(w * sin(o * t) * x) AS s, sum(w * cos(o * t) * x) AS c FROM (SELECT v, t, 0 AS i, x0 AS x FROM f UNION ALL SELECT v, t, 1, x1 FROM f), k GROUP BY ALL),
+z AS (SELECT *, 'none' AS how FROM y),
+feat AS (SELECT v, p, period, j, w, i, s / (sqrt(sum(s * s / w / w) OVER g + {eps}) + {eps}) AS s, c / (sqrt(sum(c * c / w / w) OVER g + {eps}) + {eps}) AS c FROM y WINDOW g AS (PARTITION BY v, p, j)),
+freq AS (SELECT v, p, period, j, w, i, s / n AS s, c / n AS c FROM (SELECT *, sqrt(sum(s * s + c * c) OVER (PARTITION BY v, p, i) / 32 + {eps}) + {eps} AS n FROM y)),
+both_ AS (SELECT v, p, period, j, w, i, s / n AS s, c / n AS c FROM (SELECT *, sqrt(sum(s * s + c * c) OVER (PARTITION BY v, p, i) / 32 + {eps}) + {eps} AS n FROM feat)),
+mat AS (SELECT v, p, period, j, w, i, s / n AS s, c / n AS c FROM (SELECT *, sqrt(sum(s * s + c * c) OVER (PARTITION BY v, p) + {eps}) + {eps} AS n FROM y)),
+every AS (SELECT 'feat' AS how, 512 AS by, * FROM feat UNION ALL SELECT 'freq', 32, * FROM freq UNION ALL SELECT 'feat_freq', 512, * FROM both_ UNION ALL SELECT 'matrix', 1, * FROM mat)"""
+    return f"WITH {made} SELECT a.v AS video_id, a.how, shift, round(sum((a.s * b.s + a.c * b.c) * cos(2 * pi() * a.j * shift / a.period) + (a.s * b.c - a.c * b.s) * sin(2 * pi() * a.j * shift / a.period)) / any_value(a.by) / 4, 8) + 0.0 AS score FROM every a JOIN every b ON b.v = a.v + 1 AND a.how = b.how AND a.p = b.p AND a.j = b.j AND a.i = b.i, (VALUES (0), (40)) o(shift) GROUP BY 1, 2, 3"
+
+
 _V = "SELECT user_id AS video_id, event_id, value, ts, first_value(value) OVER (PARTITION BY user_id ORDER BY ts) AS f, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events"
 
 
@@ -447,6 +652,23 @@ def oracle_sql() -> dict[str, str]:
         "isometric_variants": f"WITH {_E}, v(variant, f) AS (VALUES ('r0', 0), ('fv', 1), ('fh', 2), ('r180', 3), ('r90', 4), ('r90fv', 5), ('r90fh', 6), ('r270', 7)) SELECT id, variant, array_to_string(list_transform(range(0, 64), lambda i: bits[1 + CASE f WHEN 0 THEN i WHEN 1 THEN (7 - i // 8) * 8 + i % 8 WHEN 2 THEN i // 8 * 8 + 7 - i % 8 WHEN 3 THEN 63 - i WHEN 4 THEN i % 8 * 8 + 7 - i // 8 WHEN 5 THEN i % 8 * 8 + i // 8 WHEN 6 THEN (7 - i % 8) * 8 + 7 - i // 8 ELSE (7 - i % 8) * 8 + i // 8 END]), '') AS bits FROM e, v",
         "hash_rules": f"WITH {_E}, u AS (SELECT id, list_transform(vec, lambda x: CAST(floor(255.0::DOUBLE * (x - list_min(vec)) / (list_max(vec) - list_min(vec))) AS BIGINT)) AS q FROM e) SELECT id, array_to_string(list_transform(q, lambda x: CASE WHEN x * 64 > list_sum(q) THEN 1 ELSE 0 END), '') AS average, array_to_string(list_transform(q, lambda x: CASE WHEN x >= list_median(q) THEN 1 ELSE 0 END), '') AS median, array_to_string(list_transform(range(0, 56), lambda i: CASE WHEN q[i // 7 * 8 + i % 7 + 1] > q[i // 7 * 8 + i % 7 + 2] THEN 1 ELSE 0 END), '') AS difference FROM u",
         "keypoint_intersection": "WITH p AS (SELECT vec_id AS id, unnest(list_transform(range(0, 32), lambda i: {'x': embedding[i * 2 + 1]::DOUBLE, 'y': embedding[i * 2 + 2]::DOUBLE})) AS p FROM embeddings) SELECT id, round(coalesce((max(p.x) FILTER (p.x > 0) - min(p.x) FILTER (p.x > 0)) * (max(p.y) FILTER (p.x > 0) - min(p.y) FILTER (p.x > 0)), 0) / ((max(p.x) - min(p.x)) * (max(p.y) - min(p.y))), 6) AS share FROM p GROUP BY id",
+        "image_average_hash": f"WITH {_E}, {_U} SELECT id, {_hex('b')} AS hash, 'ahash' AS hasher_name, 'bool' AS hasher_dtype, 'hamming' AS hasher_distance_metric, 64 AS hasher_hash_length, CAST(NULL AS VARCHAR) AS error FROM (SELECT id, list_transform(q, lambda x: CASE WHEN x * 64 > list_sum(q) THEN 1 ELSE 0 END) AS b FROM u)",
+        "image_average_variants": f"WITH {_E}, {_U}, v(variant, f) AS (VALUES ('r0', 0), ('fv', 1), ('fh', 2), ('r180', 3), ('r90', 4), ('r90fv', 5), ('r90fh', 6), ('r270', 7)), b AS (SELECT id, variant, list_transform(range(0, 64), lambda i: CASE WHEN q[1 + {_TURN}] * 64 > list_sum(q) THEN 1 ELSE 0 END) AS b FROM u, v) SELECT id, variant, {_hex('b')} AS hash FROM b",
+        "image_difference_hash": f"WITH {_transformed(images._area(8, 4), images._area(8, 5))}, g AS (SELECT id, list(round_even(round(x, 9), 0) ORDER BY r, c) AS g FROM d GROUP BY id), b AS (SELECT id, list_transform(range(0, 16), lambda i: CASE WHEN g[i // 4 * 5 + i % 4 + 1] > g[i // 4 * 5 + i % 4 + 2] THEN 1 ELSE 0 END) AS b FROM g) SELECT id, {_hex('b')} AS hash FROM b",
+        "image_dct_hash": f"WITH {_transformed(images._dct(8)[:4], images._dct(8)[:4])} SELECT id, CAST(r * 4 + c AS INTEGER) AS i, round(CAST(CAST(round(x, 6) AS FLOAT) AS DOUBLE), 2) AS x FROM d",
+        "image_dct_bits": f"WITH {_transformed(images._dct(8)[:4], images._dct(8)[:4])}, g AS (SELECT id, list(round(x, 6) ORDER BY r, c) AS g FROM d GROUP BY id), b AS (SELECT id, list_transform(g, lambda x: CASE WHEN x >= list_median(g) THEN 1 ELSE 0 END) AS b FROM g) SELECT id, {_hex('b')} AS hash FROM b",
+        "image_dct_bytes": f"WITH {_transformed(images._dct(8)[:4], images._dct(8)[:4])} SELECT id, 0 AS least, 255 AS most, count(*) AS n FROM d GROUP BY id",
+        "image_wavelet_hash": f"WITH {_transformed(np.kron(np.eye(4), np.ones((1, 2))), np.kron(np.eye(4), np.ones((1, 2))))}, g AS (SELECT id, list(x ORDER BY r, c) AS g FROM d GROUP BY id), b AS (SELECT id, list_transform(g, lambda x: CASE WHEN x > list_median(g) THEN 1 ELSE 0 END) AS b FROM g) SELECT id, {_hex('b')} AS hash FROM b",
+        "image_pdq_numbers": f"WITH {_transformed(images._pdq_dct().reshape(16, 8, 8).sum(2), images._pdq_dct().reshape(16, 8, 8).sum(2))} SELECT id, CAST(r * 16 + c AS INTEGER) AS i, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 2) AS x FROM d WHERE (r * 16 + c) % 5 = 0",
+        "image_pdq_bits": f"WITH {_transformed(images._pdq_dct().reshape(16, 8, 8).sum(2), images._pdq_dct().reshape(16, 8, 8).sum(2))}, g AS (SELECT id, list(round(x, 6) ORDER BY r, c) AS g FROM d GROUP BY id) SELECT id, CAST(len(list_filter(g[1:60], lambda x: x > list_median(g))) AS INTEGER) AS ones15, 64 AS n FROM g",
+        "image_quality": f"WITH {_E}, {_U}, p AS (SELECT id, i, j, (q[i + 1] + q[j + 1]) // 2 AS x, (q[i + 2] + q[j + 1]) // 2 AS down, (q[i + 1] + q[j + 2]) // 2 AS side FROM u, (SELECT unnest(range(0, 64)) AS i), (SELECT unnest(range(0, 64)) AS j)), s AS (SELECT id, coalesce(sum(abs(down - x) * 100 // 255) FILTER (i < 63), 0) + coalesce(sum(abs(side - x) * 100 // 255) FILTER (j < 63), 0) AS s FROM p GROUP BY id) SELECT id, CAST(least(100, s // 90) AS INTEGER) AS quality FROM s",
+        "file_dedupe": f"WITH {_E}, {_U}, b AS (SELECT id, list_transform(q, lambda x: CASE WHEN x * 64 > list_sum(q) THEN 1 ELSE 0 END) AS b FROM u) SELECT a.id AS id1, c.id AS id2 FROM b a JOIN b c ON a.id < c.id AND {_HAM.format('a.b', 'c.b', '64.0')} < 0.28",
+        "approximate_file_pairs": f"WITH {_OV} SELECT id1, id2 FROM o WHERE least(f1, f2) >= 0.2",
+        "index_range": f"WITH {_E}, {_U} SELECT a.id AS qid, b.id AS id, CAST({sq('a.q', 'b.q')} AS BIGINT) AS squared FROM u a JOIN u b ON a.id % 10 = 0 AND a.id <> b.id AND {sq('a.q', 'b.q')} < {int(U8 * U8)}",
+        "tmk_scores": _scores_sql(),
+        "geometry_stats": f"WITH {_E}, r AS (SELECT id // 10 AS file, id, vec, CASE WHEN id % 10 < 3 THEN list_transform(vec, lambda x: -x) ELSE vec END AS other, CAST(vec[1] * 100 AS FLOAT)::DOUBLE AS x, CAST(vec[2] * 100 AS FLOAT)::DOUBLE AS y, CAST(vec[1] * 200 + vec[2] * 100 + 300 AS FLOAT)::DOUBLE AS x2, CAST(vec[2] * 300 + 200 AS FLOAT)::DOUBLE AS y2 FROM e), p AS (SELECT a.file, a.id AS a, b.id AS b, {sq('a.vec', 'b.other')} AS d FROM r a JOIN r b USING (file)), g AS (SELECT file, a, list_sort(list(d)) AS ds FROM p GROUP BY ALL), h AS (SELECT file, b, list_sort(list(d)) AS ds FROM p GROUP BY ALL), s AS (SELECT file, a, ds[1] < 0.5 * ds[2] AS good FROM g), t AS (SELECT file, count(*) FILTER (good) / 10.0::DOUBLE AS ga FROM s GROUP BY file HAVING count(*) = 10), v AS (SELECT file, count(*) FILTER (ds[1] < 0.5 * ds[2]) / 10.0::DOUBLE AS gb FROM h GROUP BY file), m AS (SELECT r.file, count(*) AS k, (max(x) - min(x)) * (max(y) - min(y)) AS k1, (max(x2) - min(x2)) * (max(y2) - min(y2)) AS k2 FROM r JOIN s ON s.a = r.id AND s.good GROUP BY r.file), w AS (SELECT file, (max(x) - min(x)) * (max(y) - min(y)) AS a1, (max(x2) - min(x2)) * (max(y2) - min(y2)) AS a2 FROM r GROUP BY file) SELECT file, least(ga, gb) AS match, CASE WHEN least(ga, gb) >= 0.5 THEN CAST(k AS DOUBLE) END AS min_kpBM, CASE WHEN least(ga, gb) >= 0.5 THEN round(least(k1 / a1, k2 / a2), 4) END AS intersection, CASE WHEN least(ga, gb) >= 0.5 THEN CAST(k AS DOUBLE) END AS inliers, CASE WHEN least(ga, gb) >= 0.5 THEN k END AS points FROM t JOIN v USING (file) LEFT JOIN m USING (file) JOIN w USING (file)",
+        "framewise_previous": f"WITH RECURSIVE v AS ({_V}), r AS (SELECT video_id, event_id, rn, value AS last, true AS keep FROM v WHERE rn = 1 UNION ALL SELECT v.video_id, v.event_id, v.rn, CASE WHEN abs(v.value - r.last) > 60 THEN v.value ELSE r.last END, abs(v.value - r.last) > 60 FROM r JOIN v ON v.video_id = r.video_id AND v.rn = r.rn + 1) SELECT video_id, event_id FROM r WHERE keep",
+        "cluster_community": f"WITH RECURSIVE {_E}, p AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.id < b.id AND {_HP}), s AS (SELECT a, b FROM p UNION SELECT b, a FROM p UNION SELECT a, a FROM p UNION SELECT b, b FROM p), r AS (SELECT DISTINCT 0 AS step, a AS id, a AS c FROM s UNION ALL SELECT step + 1, id, c FROM (SELECT r.step, s.a AS id, r.c, row_number() OVER (PARTITION BY s.a ORDER BY count(*) DESC, r.c) AS k FROM r JOIN s ON s.b = r.id WHERE r.step < 32 GROUP BY r.step, s.a, r.c) WHERE k = 1), f AS (SELECT id, min(id) OVER (PARTITION BY c) AS cluster FROM r WHERE step = 32) SELECT e.id, coalesce(f.cluster, e.id) AS cluster FROM e LEFT JOIN f ON f.id = e.id",
         "request_validation": "SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'hash has a wrong length or characters' WHEN 1 THEN 'no hash' ELSE 'valid' END AS verdict FROM documents",
         "frame_clip": f"SELECT video_id, event_id, (rn - 1) / 4.0::DOUBLE - 2 AS ts FROM ({_V}) WHERE (rn - 1) / 4.0 >= 2 AND (rn - 1) / 4.0 < 6",
         "frame_slideshow": f"WITH t AS (SELECT video_id, event_id, (rn - 1) / 4.0 AS t FROM ({_V})), s AS (SELECT *, row_number() OVER (PARTITION BY video_id, floor(t - 1) ORDER BY t) AS k FROM t WHERE t >= 1), r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t) - 1 AS n FROM s WHERE k = 1) SELECT video_id, event_id, CAST(n AS INTEGER) AS frame_index, n / 2.0::DOUBLE AS ts FROM r WHERE n < 8",

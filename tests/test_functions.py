@@ -145,3 +145,28 @@ def test_distances(spark):
         distance.distance("manhattan", "a", "b")
     distance.register_metric("manhattan", lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: F.abs(u - v)), F.lit(0.0), lambda s, v: s + v))
     assert np.isclose(df.select(distance.distance("manhattan", "a", "b")).first()[0], np.abs(a - b).sum())
+
+
+def test_unletterbox_rules():
+    """No common corner, no content, thin borders, gray values."""
+    x = np.zeros((200, 200, 3), np.uint8)
+    assert images.unletterbox(x) is None and images.unletterbox_crop(x) is None
+    x[60:160, 60:160] = 255
+    assert images.unletterbox(x) == (60, 160, 60, 160)
+    four = x.copy()
+    four[0, 0], four[0, -1], four[-1, 0], four[-1, -1] = 10, 60, 120, 200
+    assert images.unletterbox(four) == (0, 200, 0, 200)
+    thin = np.full((100, 100, 3), 255, np.uint8)
+    thin[:2] = 0
+    assert images.unletterbox(thin) == (0, 100, 0, 100)
+    thin[:3] = 0
+    assert images.unletterbox(thin) == (0, 100, 3, 100)
+    # The background is gray 76; pixels of the same gray in another colour are background too.
+    same = np.full((200, 200, 3), (255, 0, 0), np.uint8)
+    same[50:150, 50:150] = (0, 130, 0)
+    assert images.unletterbox(same) is None
+    gray = x[..., 0]
+    assert images.unletterbox(gray) == (60, 160, 60, 160)
+    part = np.zeros((200, 200, 3), np.uint8)
+    part[60:160, 95:105] = 255
+    assert images.unletterbox(part) is None and images.unletterbox(part, min_side=5, min_fraction=0.04) == (95, 105, 60, 160)

@@ -249,3 +249,234 @@ def test_strategy():
     assert choose("hamming", 0.05, 64) == "bands"
     assert choose("hamming", 0.3, 64) == "blocks"
     assert choose("euclidean", 1, 64, exact=False) == "inverted_file"
+
+
+def test_temporal_norms_and_sign():
+    """The four normalisations written out, and the direction of an offset."""
+    rng = np.random.default_rng(9)
+    m, d = video.M, 3
+    a, b = rng.normal(size=(2, len(video.PERIODS), 2 * m, d))
+    w = np.tile(video.temporal_weights(), 2)
+
+    def norm(f, how):
+        f = f.copy()
+        for p in range(len(f)):
+            if "feat" in how:
+                for j in range(2 * m):
+                    f[p, j] /= np.sqrt(((f[p, j] / w[j]) ** 2).sum() + 1e-8) + 1e-8
+            if "freq" in how:
+                for i in range(d):
+                    f[p, :, i] /= np.sqrt((f[p, :, i] ** 2).sum() / m + 1e-8) + 1e-8
+            if how == "matrix":
+                f[p] /= np.sqrt((f[p] ** 2).sum() + 1e-8) + 1e-8
+        return f
+
+    for how, by in (("feat", 512), ("freq", m), ("feat_freq", 512), ("matrix", 1)):
+        x, y = norm(a, how), norm(b, how)
+        for at in (0.0, 25.0):
+            want = 0.0
+            for p, period in enumerate(video.PERIODS):
+                for j in range(m):
+                    o = 2 * np.pi * j * at / period
+                    want += (x[p, j] @ y[p, j] + x[p, m + j] @ y[p, m + j]) * np.cos(o) + (x[p, j] @ y[p, m + j] - x[p, m + j] @ y[p, j]) * np.sin(o)
+            assert video.temporal_scores(a, b, [at], how)[0] == pytest.approx(want / by / len(video.PERIODS))
+    assert video.temporal_scores(a, a, how="freq")[0] == pytest.approx(2 * d / 2, rel=1e-6)
+    with pytest.raises(ValueError):
+        video.temporal_scores(a, b, how="other")
+    x = rng.normal(size=(200, 3))
+
+    def feature(t):
+        out = []
+        for period in video.PERIODS:
+            o = 2 * np.pi * np.outer(np.arange(m), t) / period
+            out.append(np.concatenate([w[:m, None] * np.sin(o) @ x, w[:m, None] * np.cos(o) @ x]))
+        return np.array(out)
+
+    t, offsets = np.arange(200) * 3.0, np.arange(-60, 61, 10)
+    assert offsets[video.temporal_scores(feature(t), feature(t + 30), offsets).argmax()] == -30
+
+
+def test_temporal_sums_in_batches(spark):
+    """Sums over batches of mixed videos equal one sum for each video."""
+    rng = np.random.default_rng(10)
+    rows = [(int(v), float(t), rng.normal(size=2).tolist()) for t in range(60) for v in rng.permutation(3)] + [(None, 0.5, [1.0, 2.0]), (1, 3.0, None)]
+    df = spark.createDataFrame(rows, "video_id long, ts double, vec array<double>").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.video_id, r.period, r.term, r.i): r.value for r in video.temporal_feature(df).collect()}
+        mean = {r.video_id: r.vec for r in video.mean_vector(df, norm=None).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    w = video.temporal_weights()
+    for v in (0, 1, 2, None):
+        mine = [r for r in rows if r[0] == v and r[2] is not None]
+        t, x = np.array([r[1] for r in mine]), np.array([r[2] for r in mine])
+        assert mean[v] == pytest.approx(x.mean(0).tolist())
+        for p, j, c in ((0, 1, 0), (1, 5, 1), (3, 31, 0)):
+            o = 2 * np.pi * j * t / video.PERIODS[p]
+            want = (w[j] * (np.cos(o) if c else np.sin(o))) @ x
+            assert [got[v, p, j + c * video.M, i] for i in range(2)] == pytest.approx(want.tolist())
+
+
+class Brightness(video.VideoHash):
+    name, length, frames_per_second = "brightness", 2, 2.0
+
+    def process_frame(self, frame, frame_index, frame_timestamp, state=None):
+        state = state or {"seen": [], "scenes": []}
+        if frame.min() == 77:
+            raise ValueError("a frame it does not like")
+        state["seen"].append((frame_index, float(frame.mean())))
+        state["scenes"].append(frame_index)
+        return state
+
+    def hash_from_final_state(self, state):
+        assert [i for i, _ in state["seen"]] == sorted(i for i, _ in state["seen"])
+        return np.array([len(state["seen"]), state["seen"][-1][1]], np.float32)
+
+
+def test_video_fold(spark):
+    def frame(v, i, x):
+        return (v, i, i / 2.0, 2, 2, 3, bytearray(bytes([x] * 12)))
+
+    rows = [frame("a", i, i) for i in range(30)] + [frame("b", 0, 5), frame("c", 0, 1), frame("c", 1, 77)]
+    df = spark.createDataFrame(rows, "video_id string, frame_index long, ts double, height int, width int, channels int, data binary").repartition(5)
+    every = spark.createDataFrame([("a",), ("b",), ("c",), ("none",)], "video_id string")
+    got = {r.video_id: r for r in video.hash_videos(df, Brightness(), errors="ignore", videos=every).collect()}
+    assert got["a"].hash == hashing.encode(np.array([30, 29], np.float32), "float32") and got["a"].end == 14.5
+    assert got["b"].scenes == "[0]" and got["b"].error is None
+    assert "does not like" in got["c"].error and got["c"].hash is None and "no frame" in got["none"].error
+    with pytest.raises(Exception, match="does not like"):
+        video.hash_videos(df, Brightness()).collect()
+    with pytest.raises(ValueError):
+        video.hash_videos(df.where("video_id = 'a'"), Brightness(), videos=every)
+
+
+def test_validation_of_geometry():
+    """Each test of the validation in turn, on made-up descriptors."""
+    rng = np.random.default_rng(11)
+    n = 40
+    desc = rng.normal(size=(n, 16))
+    at = rng.uniform(0, 200, (n, 2))
+    a = {"keypoints": at.tolist(), "descriptors": desc.tolist(), "width": 200, "height": 200}
+    same = descriptors.validate(a, dict(a), 0.5)
+    assert same["passed"] and same["match"] == 1 and same["inliers"] == n and same["bounds_intersection"] == pytest.approx(1.0, abs=1e-6)
+    few = desc.copy()
+    few[: n * 7 // 10] = rng.normal(size=(n * 7 // 10, 16))
+    got = descriptors.validate(a, a | {"descriptors": few.tolist()}, 0.5)
+    assert got["match"] < 0.4 and got["intersection"] is None and not got["passed"]
+    assert descriptors.validate(a, a | {"descriptors": few.tolist()}, 0.5, minimum_match=0.1)["min_kpBM"] == n - n * 7 // 10
+    # A small part of b lies in a: both directions of the bounds count.
+    half = a | {"keypoints": (at / 4).tolist()}
+    for x, y in ((a, half), (half, a)):
+        got = descriptors.validate(x, y, 0.5)
+        assert got["inliers"] == n and got["bounds_intersection"] == pytest.approx(1 / 16, rel=1e-3) and not got["passed"]
+    more = a | {"keypoints": [*at.tolist(), [1.0, 1.0]], "descriptors": [*desc.tolist(), rng.normal(size=16).tolist()]}
+    got = descriptors.validate(a, more, 0.5)
+    assert got["final_matched_a_pts"] == [p for p in got["final_matched_a_pts"] if p in a["keypoints"]] and got["passed"]
+    off = at.copy()
+    off[: n // 4] += 3
+    assert descriptors.validate(a, a | {"keypoints": off.tolist()}, 0.5)["inliers"] == n - n // 4
+    assert not descriptors.validate(a, a | {"descriptors": None}, 0.5)["passed"]
+    near, good, back = descriptors.ratio_matches(desc[:1], desc, 0.5)
+    assert near[0] == 0 and good[0] and not back.any()
+
+
+def test_index_over_a_table(spark):
+    rng = np.random.default_rng(12)
+    x = rng.integers(0, 256, (500, 6)).astype(np.uint8)
+    t = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "id long, hash binary")
+    index = knn.from_table(t, 6)
+    assert index.nlist == 12 and index.ntotal == 500 and index.hash_length == 6
+    n = index.tune(min_recall=90, n_query=80)
+    recall, _, at = index.tuned
+    assert n == at == index.nprobe and recall >= 90
+    q = index.noisy_queries(80)
+    true = {r.qid: r.id for r in index._all().search(q, 1).collect()}
+    share = lambda: 100 * np.mean([true[r.qid] == r.id for r in index.search(q, 1).collect()])
+    assert share() == pytest.approx(recall)
+    index.set_nprobe(n - 1) if n > 1 else None
+    assert n == 1 or share() < 90
+    with pytest.warns(UserWarning):
+        assert index.tune(min_recall=100, n_query=5) == 12
+    again = knn.from_table(t.where("id < 50"), 6, index=index)
+    assert again.ntotal == 50 and again.nlist == 12
+    near = {(r.qid, r.id) for r in again.range_search(q, 150.0).collect()} if again.set_nprobe(12) else None
+    some = {r.qid: np.array(r.vec) for r in q.collect()}
+    assert near == {(k, i) for k, v in some.items() for i in range(50) if np.linalg.norm(v - x[i].astype(float)) < 150}
+    for bad in ({"dtype": "float32"}, {"distance_metric": "hamming"}, {"hash_length": 7}, {"train_size": 600}, {"train_size": 10}, {"ids_train": t.limit(5)}):
+        with pytest.raises(ValueError):
+            knn.from_table(t, **({"hash_length": 6} | bad))
+    with pytest.raises(ValueError):
+        index.noisy_queries(501)
+    with pytest.raises(knn.TuningFailure):
+        knn.InvertedFile(index.postings.withColumn("list_id", 11 - F.col("list_id")), index.centroids).tune(q, 99)
+
+
+def test_long_lists_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(knn, "CHUNK", 40)
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(300, 5))
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "id long, vec array<double>")
+    index = knn.build_index(v, 1.0, approximate=False)
+    got = sorted((r.qid, r["rank"], r.id) for r in index.search(v.withColumnRenamed("id", "qid").where("qid < 30"), 4).collect())
+    d = np.linalg.norm(x[:30, None] - x[None], axis=2)
+    assert got == [(i, k + 1, j) for i in range(30) for k, j in enumerate(np.argsort(d[i], kind="stable")[:4].tolist())]
+
+
+def test_metrics_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(evaluation, "BLOCK", 7)
+    rng = np.random.default_rng(14)
+    rows = []
+    for g in range(30):
+        v = rng.integers(0, 4, 5).astype(float)
+        rows.append((f"g{g}", "noop", "h", f"c{g % 2}", v.tolist()))
+        rows += [(f"g{g}", f"t{k}", "h", f"c{g % 2}", (v + rng.integers(-1, 2, 5)).tolist()) for k in range(2)]
+    rows += [("x", "t0", "h", "c0", [0.0] * 5), ("g1", "t9", "h", "c1", None)]
+    df = spark.createDataFrame(rows, "guid string, transform_name string, hasher_name string, category string, vec array<double>")
+    with pytest.warns(UserWarning, match="1 rows"):
+        got = {(r.guid, r.transform_name): r for r in evaluation.metrics(df, warn=True).collect()}
+    assert len(got) == 60
+    noop = [(r[0], r[3], np.array(r[4])) for r in rows if r[1] == "noop"]
+    for r in rows:
+        if r[1] in ("t0", "t1") and r[0] != "x":
+            d = sorted((np.linalg.norm(np.array(r[4]) - v), g) for g, c, v in noop if c == r[3])
+            m = got[r[0], r[1]]
+            wrong = next(x for x in d if x[1] != r[0])
+            assert m.distance_to_closest_correct_image == pytest.approx(next(x[0] for x in d if x[1] == r[0]))
+            assert (m.distance_to_closest_incorrect_image, m.closest_incorrect_guid) == (pytest.approx(wrong[0]), wrong[1])
+            assert m.distance_to_closest_image == pytest.approx(d[0][0])
+
+
+def test_earth_mover_in_ranges(spark):
+    rng = np.random.default_rng(15)
+    pos, neg = rng.integers(0, 20, 60) / 4.0, rng.integers(5, 40, 60) / 4.0
+    df = spark.createDataFrame([("a", float(p), float(n)) for p, n in zip(pos, neg)] + [("b", 1.0, None), ("b", None, 3.0)], "g string, distance_to_closest_correct_image double, distance_to_closest_incorrect_image double")
+    xs = np.unique(np.concatenate([pos, neg]))
+    want = sum(abs((pos <= a).mean() - (neg <= a).mean()) * (b - a) for a, b in zip(xs[:-1], xs[1:]))
+    got = {r.g: r.emd for r in evaluation.earth_mover(df, ["g"]).collect()}
+    assert got["a"] == pytest.approx(want) and got["b"] == pytest.approx(2.0)
+    assert evaluation.earth_mover(df.where("g = 'a'"), []).first().emd == pytest.approx(want)
+
+
+def test_hash_job_carries_columns_and_integrity(spark, tmp_path):
+    from fingerlake.functions.images import AverageHash, DHash, PDQHash, PHash, PHashF, PHashU8
+    from fingerlake.sources import images as source
+
+    write_images(tmp_path, 2)
+    df = source.read_images(spark, str(tmp_path)).withColumn("category", F.lit("c")).withColumn("guid", F.upper("filepath"))
+    got = hashing.hash_images(df, [PHash(), AverageHash()], keep=["category", "guid"]).collect()
+    assert len(got) == 2 * df.count() and all(r.category == "c" and r.guid == r.filepath.upper() for r in got)
+    with pytest.warns(UserWarning, match="more than once"):
+        hashing.deduplicate_files(df.union(df), [(PHash(), 0.1)], warn=True)
+    rng = np.random.default_rng(16)
+    pictures = [rng.integers(0, 256, (64, 64, 3)).astype(np.uint8) for _ in range(3)]
+    for h, limit in ((AverageHash(), 0.0), (DHash(), 1.0), (PHash(), 0.06), (PDQHash(), 0.06), (PHashF(), 1e3), (PHashU8(), 60)):
+        hashing.hasher_integrity(spark, h, pictures, 0.05, limit)
+
+    class Short(AverageHash):
+        def compute(self, image):
+            return super().compute(image)[:-1]
+
+    with pytest.raises(AssertionError, match="shape"):
+        hashing.hasher_integrity(spark, Short(), pictures, 0.05, 1.0)
+    assert hashing.low_detail_image().shape == (100, 100, 3)

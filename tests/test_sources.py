@@ -68,3 +68,104 @@ def test_mean_stream(spark, tmp_path):
     finally:
         q.stop()
     assert got == {0: 2.0, 1: 3.0}
+
+
+FAKE = """#!{python}
+import json, sys
+import numpy as np
+a = sys.argv[1:]
+src = a[a.index("-i") + 1] if "-i" in a else a[-1]
+try:
+    n, h, w = map(int, open(src).read().split())
+except ValueError:
+    sys.stderr.write("invalid data\\n")
+    sys.exit(1)
+if "frame=pict_type" in a:
+    print(json.dumps({{"frames": [{{"pict_type": "I" if i % 4 == 0 else "P"}} for i in range(n)]}}))
+elif "-show_entries" in a:
+    print(json.dumps({{"streams": [{{"width": w, "height": h, "avg_frame_rate": "10/1", "codec_name": "x9", "duration": str(n / 10)}}]}}))
+elif a[-1] == "-":
+    w, h = map(int, a[a.index("-s") + 1].split("x"))
+    for i in range(n):
+        sys.stdout.buffer.write(np.full((h, w, 3), i, np.uint8).tobytes())
+else:
+    open(a[-1], "w").write(f"{{n}} {{h}} {{w}}")
+    open(a[-1] + ".args", "w").write(" ".join(a))
+"""
+
+
+@pytest.fixture
+def ffmpeg(tmp_path, monkeypatch):
+    """A stand-in whose videos are text files: frames, height, width."""
+    import sys
+
+    tool = tmp_path / "bin" / "ffmpeg"
+    tool.parent.mkdir()
+    tool.write_text(FAKE.format(python=sys.executable))
+    tool.chmod(0o755)
+    monkeypatch.setenv("FINGERLAKE_FFMPEG", str(tool))
+    monkeypatch.setenv("FINGERLAKE_FFPROBE", str(tool))
+    return tool
+
+
+def test_ffmpeg_frames(ffmpeg, tmp_path):
+    v = tmp_path / "a.mp4"
+    v.write_text("30 40 80")
+    got = list(frames.ffmpeg_frames(str(v)))
+    assert len(got) == 30 and got[3][0] == 3 and got[3][1] == pytest.approx(0.3) and got[3][2].shape == (40, 80, 3) and (got[3][2] == 3).all()
+    assert [i for i, _, _ in frames.ffmpeg_frames(str(v), wanted=4.0)] == [0, 2, 5, 7, 10, 12, 15, 17, 20, 22, 25, 27]
+    assert [i for i, _, _ in frames.ffmpeg_frames(str(v), wanted="keyframes")] == list(range(0, 30, 4))
+    assert [i for i, _, _ in frames.ffmpeg_frames(str(v), max_duration=0.5)] == list(range(7))
+    assert next(frames.ffmpeg_frames(str(v), max_size=20))[2].shape == (10, 20, 3)
+    assert frames.scaled(100, 50, None) == (100, 50) and frames.scaled(100, 50, 200) == (100, 50)
+
+
+def test_video_reader_kinds_and_errors(spark, ffmpeg, tmp_path, monkeypatch):
+    folder = tmp_path / "videos"
+    folder.mkdir()
+    np.save(folder / "n.npy", np.zeros((6, 8, 8, 3), np.uint8))
+    (folder / "notes.txt").write_text("no video")
+    # Workers started earlier lack the stand-in, so ffmpeg is missing there: the file gives no frame.
+    (folder / "bad.mp4").write_text("broken")
+    f = frames.read_videos(spark, str(folder), 2.0, wanted=1.0, errors="ignore")
+    assert sorted((r.video_id, r.frame_index, r.ts) for r in f.collect()) == [("n", 0, 0.0), ("n", 2, 1.0), ("n", 4, 2.0)]
+    with pytest.raises(Exception, match="bad.mp4|ffmpeg|ffprobe|installed|exit status"):
+        frames.read_videos(spark, str(folder), 2.0).collect()
+    with pytest.raises(Exception, match="engine"):
+        frames.read_videos(spark, str(folder), engine="other").collect()
+    broken = spark.createDataFrame([("v", 0, 0.0, 8, 8, 3, None), ("v", 1, 0.5, 8, 8, 3, bytearray(192))], frames.SCHEMA)
+    from fingerlake.functions.images import AverageHash
+
+    got = {r.frame_index: r for r in frames.hash_frames(broken, AverageHash()).collect()}
+    assert got[0].error and got[0].vec is None and got[1].error is None and len(got[1].vec) == 64
+
+
+def test_video_transforms(spark, ffmpeg, tmp_path):
+    v = tmp_path / "a.mp4"
+    v.write_text("30 40 80")
+    t = frames.simple_transform(width=160, pad="iw:ih+2", fps=5, sar="1/1", clip_pct=(0.5, None), clip_s=(None, 1.5))
+    out = t(str(v), str(tmp_path / "out"))
+    assert out.endswith("out.mp4")
+    args = (tmp_path / "out.mp4.args").read_text()
+    assert "-vf scale=160:-1,pad=iw:ih+2,fps=5,setsar=1/1 -codec:v x9 -ss 1.5 -t 1.5" in args
+    assert frames.simple_transform(codec="y", output_ext=".gif")(str(v), str(tmp_path / "o.GIF")).endswith("o.GIF")
+    for bad in ({"clip_pct": (0.5, 0.2)}, {"clip_pct": (-1, 0.5)}):
+        with pytest.raises(ValueError):
+            frames.simple_transform(**bad)
+
+    def copy(a, b):
+        return a if a.endswith("good") else None
+
+    def upper(a, b):
+        if a.endswith("good"):
+            return a.upper()
+        raise AssertionError("works on what noop gave only")
+
+    df = spark.createDataFrame([("x/good", "c"), ("x/bad", None)], "filepath string, category string")
+    got = {(r.input_filepath, r.transform_name): r for r in frames.transform_videos(df, {"up": upper, "noop": copy}, str(tmp_path), errors="ignore").collect()}
+    assert len(got) == 4 and got["x/good", "up"].filepath == "X/GOOD" and got["x/good", "noop"].guid == got["x/good", "up"].guid
+    assert got["x/bad", "noop"].error and got["x/bad", "up"].error and got["x/bad", "up"].filepath is None
+    with pytest.raises(ValueError):
+        frames.transform_videos(df, {"up": upper}, str(tmp_path))
+    with pytest.raises(Exception, match="noop of x/bad"):
+        frames.transform_videos(df, {"noop": copy}, str(tmp_path)).collect()
