@@ -145,7 +145,7 @@ def deduplicate_files(images: DataFrame, hashers: Iterable[tuple[ImageHash, floa
         got = hash_images(files, [h], variants=variants).where("hash is not null")
         vec = string_to_vector(h.dtype, h.length)(F.col("hash"))
         v = got.select(F.xxhash64("filepath").alias("id"), F.transform(vec, lambda x: x.cast("double")).alias("vec"))
-        parts.append(threshold_pairs(v, t, h.metric).select("id1", "id2"))
+        parts.append(threshold_pairs(v, t, h.metric, length=h.length).select("id1", "id2"))
     pairs = union_pairs(*parts)
     a, b = ids.select(F.col("filepath").alias("p1"), F.col("id").alias("id1")), ids.select(F.col("filepath").alias("p2"), F.col("id").alias("id2"))
     return pairs.join(a, "id1").join(b, "id2").select(F.least("p1", "p2").alias("path1"), F.greatest("p1", "p2").alias("path2"))

@@ -7,6 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fingerlake.functions.vectors import pack_words
+from fingerlake.plans.strategy import choose
+
 METRICS = ("euclidean", "sqeuclidean", "cosine", "hamming")
 BLOCK = 2048
 _PAIR = "id1 long, id2 long, distance double"
@@ -52,17 +55,20 @@ def _blocked(df: DataFrame, id_col: str, vec_col: str, by: list[str], block: int
     return v.withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), sizes
 
 
-def threshold_pairs(df: DataFrame, threshold: float, metric: str = "euclidean", id_col: str = "id", vec_col: str = "vec", by: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+def threshold_pairs(df: DataFrame, threshold: float, metric: str = "euclidean", id_col: str = "id", vec_col: str = "vec", by: list[str] | None = None, block: int = BLOCK, length: int | None = None) -> DataFrame:
     """``(id1, id2, distance)``: all pairs with ``distance < threshold``, id1 < id2.
 
     Exact. Vectors are hashed into blocks of about ``block``; each pair of blocks
     is one matrix product in one group, so the n^2 work is spread over the cluster
     and no side is broadcast. With ``by`` only rows that agree on these columns
     meet (null agrees with nothing). Pairs of one id are left out; a pair of ids
-    with several vectors appears once, with its smallest distance.
+    several vectors appears once, with its smallest distance. Where the ``length`` of bit
+    hashes is told and few bits may differ, they are packed and joined by bands.
     """
     if metric not in METRICS:
         raise NotImplementedError(f"no metric {metric!r}")
+    if length is not None and choose(metric, threshold, length, by) == "bands":
+        return hamming_pairs(df.select(F.col(id_col).alias("id"), pack_words(F.col(vec_col), length).alias("words")), threshold, length)
     by = by or []
     keys = [f"by{i}" for i in range(len(by))]
     v, _ = _blocked(df, id_col, vec_col, by, block)
@@ -104,8 +110,31 @@ def cross_vector_pairs(queries: DataFrame, vectors: DataFrame, threshold: float,
 
 
 def vector_matches(files: DataFrame, threshold: float, metric: str = "euclidean", block: int = BLOCK) -> DataFrame:
-    """``(id1, id2, sub1, sub2)``: matching vectors of different files, id1 < id2."""
-    return cross_vector_pairs(files, files, threshold, metric, block).where("qid < mid").select(F.col("qid").alias("id1"), F.col("mid").alias("id2"), F.col("qsub").alias("sub1"), F.col("msub").alias("sub2"))
+    """``(id1, id2, sub1, sub2)``: matching vectors of different files, id1 < id2.
+
+    Each pair of blocks meets once, so each pair of vectors is compared once.
+    """
+    n = files.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(block))).cast("int").alias("blocks"))  # one row
+    v = files.where("vec is not null").crossJoin(F.broadcast(n)).withColumn("b", F.pmod(F.xxhash64("id", "sub"), F.col("blocks")).cast("int"))
+    v = v.select("id", "sub", "vec", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    v = v.select("id", "sub", "vec", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), (F.col("b") <= F.col("o")).alias("left"))
+
+    def run(t: pa.Table) -> pa.Table:
+        x, left, ids = _vectors(t["vec"]), t["left"].to_numpy(), t["id"].to_numpy()
+        same = t["lo"][0].as_py() == t["hi"][0].as_py()
+        l, r = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
+        i, j, _ = _gram(x[l], x[r], metric, threshold) if len(l) and len(r) else (np.zeros(0, int),) * 3
+        i, j = l[i], r[j]
+        # In one block every pair comes both ways; elsewhere the smaller id goes first.
+        keep = ids[i] < ids[j] if same else ids[i] != ids[j]
+        i, j = i[keep], j[keep]
+        turn = ids[i] > ids[j]
+        i, j = np.where(turn, j, i), np.where(turn, i, j)
+        a, b = t.take(pa.array(i)), t.take(pa.array(j))
+        return pa.table([a["id"], b["id"], a["sub"], b["sub"]], names=["id1", "id2", "sub1", "sub2"])
+
+    kinds = [files.schema[c].dataType.simpleString() for c in ("id", "sub")]
+    return v.groupBy("lo", "hi").applyInArrow(run, f"id1 {kinds[0]}, id2 {kinds[0]}, sub1 {kinds[1]}, sub2 {kinds[1]}")
 
 
 def overlap_counts(files: DataFrame, threshold: float, metric: str = "euclidean", dense: bool = False) -> DataFrame:

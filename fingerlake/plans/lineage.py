@@ -1,7 +1,15 @@
-"""Cutting lineage through tables written to the cluster's shared folder."""
+"""Cutting lineage through tables written to the cluster's shared folder.
+
+Tables that are not needed any more are dropped by :func:`discard`. Those behind a lazy
+result must outlive it: their owner is the session, which drops them in
+:func:`cleanup`, at the end of a :func:`scratch` block, or when the driver ends.
+"""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +18,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: Paths written by each application and not dropped yet.
+_WRITTEN: dict[str, set[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,7 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="fingerlake-")
+        folder = tempfile.mkdtemp(prefix="fingerlake-")
+        atexit.register(shutil.rmtree, folder, True)
+        _LOCAL[app] = "file://" + folder
     return _LOCAL[app]
 
 
@@ -40,16 +52,49 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._fl_path = path
+    app = spark.sparkContext.applicationId
+    if app not in _WRITTEN:
+        _WRITTEN[app] = set()
+        atexit.register(_at_exit, spark)
+    _WRITTEN[app].add(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    _WRITTEN.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete the files behind a table that :func:`materialize` returned."""
     path = getattr(df, "_fl_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def cleanup(spark: SparkSession, keep: set[str] | None = None) -> int:
+    """Drop the session's tables but ``keep``; results that read them must be consumed by then."""
+    paths = set(_WRITTEN.get(spark.sparkContext.applicationId, ())) - (keep or set())
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
+
+
+def _at_exit(spark: SparkSession) -> None:
+    # The session may be stopped and its machine gone by now.
+    with contextlib.suppress(Exception):
+        cleanup(spark)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are dropped at the end, so results must be consumed inside."""
+    before = set(_WRITTEN.get(spark.sparkContext.applicationId, ()))
+    try:
+        yield
+    finally:
+        cleanup(spark, before)
 
 
 @contextmanager

@@ -8,6 +8,7 @@ import shutil
 import uuid
 import warnings
 import zipfile
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,10 +61,21 @@ def save_dataset(df: DataFrame, path: str) -> None:
         shutil.rmtree(folder)
 
 
+def _holds(path: str, crc: int) -> bool:
+    if not os.path.exists(path):
+        return False
+    have = 0
+    with open(path, "rb") as f:
+        while part := f.read(1 << 20):
+            have = zlib.crc32(part, have)
+    return have == crc
+
+
 def load_dataset(spark: SparkSession, path: str, storage: str | None = None, verify: bool = True) -> DataFrame:
     """Read what :func:`save_dataset` wrote; checksums are compared in a join.
 
-    A zip is unpacked to ``storage`` unless all its files are there already.
+    A zip is unpacked to ``storage``, but for files that are there already with the
+    content that the zip states; others of the same name are replaced.
     """
     folder = path
     if path.endswith(".zip"):
@@ -71,8 +83,9 @@ def load_dataset(spark: SparkSession, path: str, storage: str | None = None, ver
             raise ValueError("a folder to unpack to is needed")
         folder = storage
         with zipfile.ZipFile(path) as z:
-            if not all(os.path.exists(os.path.join(folder, n)) and os.path.getsize(os.path.join(folder, n)) == z.getinfo(n).file_size for n in z.namelist()):
-                z.extractall(folder)
+            for n in z.namelist():
+                if not _holds(os.path.join(folder, n), z.getinfo(n).CRC):
+                    z.extract(n, folder)
     index = spark.read.csv(os.path.join(folder, "index.csv"), header=True)
     if verify:
         files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.md5("content").alias("found"))

@@ -480,3 +480,90 @@ def test_hash_job_carries_columns_and_integrity(spark, tmp_path):
     with pytest.raises(AssertionError, match="shape"):
         hashing.hasher_integrity(spark, Short(), pictures, 0.05, 1.0)
     assert hashing.low_detail_image().shape == (100, 100, 3)
+
+
+def test_vector_matches_in_blocks(spark):
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(90, 3))
+    files = spark.createDataFrame([(i // 4, i % 4, v.tolist()) for i, v in enumerate(x)] + [(99, 0, None)], "id long, sub long, vec array<double>")
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    want = {(i // 4, j // 4, i % 4, j % 4) for i in range(90) for j in range(90) if i // 4 < j // 4 and d[i, j] < 0.8}
+    for block in (2048, 13):
+        got = [tuple(r) for r in similarity.vector_matches(files, 0.8, block=block).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_few_bits_go_by_bands(spark):
+    rng = np.random.default_rng(18)
+    bits = rng.integers(0, 2, (60, 100))
+    bits[30:] = bits[:30]
+    for i in range(30):
+        bits[30 + i, rng.choice(100, i % 6, False)] ^= 1
+    df = spark.createDataFrame([(i, b.astype(float).tolist()) for i, b in enumerate(bits)], "id long, vec array<double>")
+    banded = similarity.threshold_pairs(df, 0.04, "hamming", length=100)
+    assert "applyInArrow" not in banded._jdf.queryExecution().toString() and "InArrow" not in banded._jdf.queryExecution().toString()
+    got = sorted((r.id1, r.id2, round(r.distance, 6)) for r in banded.collect())
+    assert got == sorted((r.id1, r.id2, round(r.distance, 6)) for r in similarity.threshold_pairs(df, 0.04, "hamming").collect()) and len(got) >= 20
+
+
+def test_tables_are_cleaned_up(spark):
+    import os
+
+    from fingerlake.plans import lineage
+
+    folder = lineage.shared_dir(spark).removeprefix("file://")
+    with lineage.scratch(spark):
+        a = lineage.materialize(spark.range(3))
+        b = lineage.materialize(spark.range(4))
+        assert a.count() == 3 and all(os.path.basename(t._fl_path) in os.listdir(folder) for t in (a, b))
+        lineage.discard(a)
+        assert os.path.basename(a._fl_path) not in os.listdir(folder)
+    assert os.path.basename(b._fl_path) not in os.listdir(folder)
+    c = lineage.materialize(spark.range(5))
+    assert lineage.cleanup(spark) >= 1 and os.path.basename(c._fl_path) not in os.listdir(folder)
+
+
+def test_descriptor_queries(spark, tmp_path):
+    """Queries against a table of files, and decoding of hash texts."""
+    write_images(tmp_path, 3)
+    from fingerlake.sources import images as source
+
+    h = descriptors.PatchHasher()
+    d = descriptors.describe(source.read_images(spark, str(tmp_path)), h).cache()
+    copies = d.where("filepath like '%copy%'")
+    pairs = descriptors.deduplicate_described(d.where("filepath not like '%copy%'"), h, queries=copies, verbose=True).collect()
+    names = {(r.path1.rpartition("/")[2], r.path2.rpartition("/")[2]) for r in pairs}
+    assert {("copy0.png", "i0.png"), ("copy1.png", "i1.png")} <= names and all(r.stats.match >= 0.4 and r.stats.MAB == "good" for r in pairs)
+    v = np.arange(6).astype(np.uint8)
+    req = spark.createDataFrame([(1, hashing.encode(v, "uint8")), (2, "??")], "id long, hash string")
+    with pytest.raises(knn.QueryDecodingFailure):
+        knn.decode_queries(req, 6)
+    got = knn.decode_queries(req, 6, strict=False).collect()
+    assert [r.qid for r in got] == [1] and list(got[0].vec) == v.tolist()
+    x = spark.createDataFrame([(i, [float(i)]) for i in range(4)], "id long, vec array<double>")
+    near = knn.knn(x.withColumnRenamed("id", "qid"), x, 4, threshold=F.when(F.col("qid") < 2, 1.5).otherwise(0.5)).collect()
+    assert sorted((r.qid, r.id) for r in near) == [(0, 0), (0, 1), (1, 0), (1, 1), (1, 2), (2, 2), (3, 3)]
+    with pytest.raises(ValueError):
+        hashing.to_image(np.zeros((2, 2), np.uint8))
+    with pytest.raises(ValueError):
+        hashing.to_image(np.zeros((4, 4, 3), np.uint8)[::2])
+    assert hashing.to_image(np.zeros((2, 2, 3), np.uint8)).shape == (2, 2, 3)
+
+
+def test_zip_members_are_replaced(spark, tmp_path):
+    from fingerlake.sources import datasets
+
+    write_images(tmp_path, 2)
+    files = datasets.from_tuples(spark, [(str(tmp_path / "i0.png"), "x"), (str(tmp_path / "i1.png"), "y")])
+    datasets.save_dataset(files, str(tmp_path / "set.zip"))
+    datasets.load_dataset(spark, str(tmp_path / "set.zip"), str(tmp_path / "out"))
+    bad = tmp_path / "out" / "i0.png"
+    bad.write_bytes(b"x" * bad.stat().st_size)
+    assert datasets.load_dataset(spark, str(tmp_path / "set.zip"), str(tmp_path / "out")).count() == 2
+    assert bad.read_bytes() == (tmp_path / "i0.png").read_bytes()
+    cols = dict.fromkeys(evaluation.HASH_COLUMNS, "1")
+    h = spark.createDataFrame([tuple(cols.values())], ", ".join(f"{c} string" for c in cols))
+    datasets.save_hashes(h, str(tmp_path / "csv"))
+    assert datasets.load_hashes(spark, str(tmp_path / "csv")).first().hasher_hash_length == 1
+    with pytest.raises(ValueError):
+        datasets.save_hashes(h.drop("guid"), str(tmp_path / "csv2"))
