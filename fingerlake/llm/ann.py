@@ -43,8 +43,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fingerlake.llm.running import running_before
 from fingerlake.plans.lineage import discard, materialize
+from fingerlake.plans.running import sums_before
 
 K = 10
 LIST = 56
@@ -368,7 +368,7 @@ def _ordered(v: DataFrame, planes: np.ndarray, shift: np.ndarray, n: int, ties:
     low = max(0, bits - max(0, math.ceil(math.log2(max(1, n) / 1024))))
     coded = coded.withColumn("bucket", F.shiftright("code", low)).withColumn("one", F.lit(1).cast("long"))
     order = [F.col("code"), *[F.col(c) for c in ties]] if "row" in keep else [F.col("code"), F.xxhash64("vec_id", "vec"), F.col("vec_id"), F.col("vec")]
-    return running_before(coded, ["tree"], "bucket", order, "one", out).drop("code", "bucket", "one")
+    return sums_before(coded, ["tree"], "bucket", order, {"one": out}).drop("code", "bucket", "one")
 
 
 def _planes(trees: int, n: int, dim: int, seed: int) -> np.ndarray:

@@ -22,8 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fingerlake.llm.names import free_name, quoted
-from fingerlake.llm.running import running_before
-from fingerlake.plans.lineage import materialize
+from fingerlake.plans.running import ranged, sums_before
 
 BITS = 7
 SHARD_CHARS = 16_000_000
@@ -122,10 +121,9 @@ def _levels(docs: DataFrame, col: str, bits: int) -> DataFrame:
     ranges.
     """
     per = docs.groupBy(F.col(col).alias("__v")).agg(F.count("*").alias("__n"))
-    per = per.repartitionByRange(F.col("__v").asc_nulls_first()).withColumn("__range", F.spark_partition_id())
-    per = materialize(per, "levels")
+    per = ranged(per, [F.col("__v").asc_nulls_first()])
     total = per.agg(F.sum("__n").alias("__all"))  # one row
-    per = running_before(per, [], "__range", [F.col("__v").asc_nulls_first()], "__n", "__before").crossJoin(F.broadcast(total))
+    per = sums_before(per, [], "__range", [F.col("__v").asc_nulls_first()], {"__n": "__before"}).crossJoin(F.broadcast(total))
     return per.select("__v", F.floor(F.col("__before") * (1 << bits) / F.col("__all")).cast("int").alias("__level"))
 
 
@@ -141,7 +139,7 @@ def hilbert_shards(docs: DataFrame, shard_chars: int = SHARD_CHARS, bits: int =
         lv = _levels(docs, c, bits).withColumnRenamed("__v", f"__v{i}").withColumnRenamed("__level", f"__l{i}")
         d = d.join(lv, d[c].eqNullSafe(lv[f"__v{i}"])).drop(f"__v{i}")
     d = d.withColumn("hilbert", hilbert_column(F.col("__l0"), F.col("__l1"), F.col("__l2"), bits)).withColumn("__chars", F.coalesce(F.col("n_chars").cast("long"), F.lit(0).cast("long")))
-    d = running_before(d, [], "hilbert", [F.col("doc_id").asc_nulls_first(), F.col("n_chars").asc_nulls_first()], "__chars", "__before")
+    d = sums_before(d, [], "hilbert", [F.col("doc_id").asc_nulls_first(), F.col("n_chars").asc_nulls_first()], {"__chars": "__before"})
     return d.select("doc_id", *DIMENSIONS, "hilbert", F.floor(F.col("__before") / shard_chars).cast("long").alias("shard"))
 
 

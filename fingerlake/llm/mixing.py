@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fingerlake.llm.names import free_name, quoted
-from fingerlake.llm.running import running_before
 from fingerlake.llm.secretscan import VOCABULARY, tokenizer
 from fingerlake.plans.lineage import materialize
+from fingerlake.plans.running import sums_before
 
 BLOCK_TOKENS = 20_000
 SHARD_BLOCKS = 64
@@ -71,7 +71,7 @@ def blocks_of(docs: DataFrame, tokens: Column | None = None, block_tokens: int =
     d = docs.select("doc_id", "source", (tokens if tokens is not None else token_count()).alias("tokens"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"))
     d = d.withColumn("__key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     d = d.withColumn("__bucket", F.substring("__key", 1, 3))
-    d = running_before(d, ["source"], "__bucket", [F.col("__key"), F.col("text_hash")], "tokens", "__before")
+    d = sums_before(d, ["source"], "__bucket", [F.col("__key"), F.col("text_hash")], {"tokens": "__before"})
     return d.select("doc_id", "source", "tokens", F.floor(F.col("__before") / block_tokens).cast("long").alias("block"), "text_hash")
 
 
@@ -111,7 +111,7 @@ def quotas(weights: DataFrame, total_blocks: int | None = None, shard_blocks: in
     seats = seats.crossJoin(F.broadcast(total)).withColumn("__bucket", F.floor(F.col("__all") / F.col("quotient") / (2 * SEAT_BUCKET))).drop("__all")
     seats = seats.withColumn("__one", F.lit(1).cast("long"))
     order = [F.desc("quotient"), F.desc("weight"), F.col("source").asc_nulls_first()]
-    seats = running_before(seats, [], "__bucket", order, "__one", "seat").withColumn("seat", F.col("seat").cast("long"))
+    seats = sums_before(seats, [], "__bucket", order, {"__one": "seat"}).withColumn("seat", F.col("seat").cast("long"))
     if total_blocks is not None:
         seats = seats.where(F.col("seat") < total_blocks)
     return seats.select("source", "seat", F.floor(F.col("seat") / shard_blocks).cast("long").alias("shard"), F.col("j").alias("rank"))
@@ -124,7 +124,7 @@ def _chosen(blocks: DataFrame, weights: dict | None, total_blocks: int | None, s
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")), F.lit(":"), F.col("block").cast("string")))
     # A source's blocks in a seeded order, ranked bucket by bucket of the key.
     pick = pick.withColumn("__key", key).withColumn("__bucket", F.substring("__key", 1, 3)).withColumn("__one", F.lit(1).cast("long"))
-    pick = running_before(pick, ["source"], "__bucket", [F.col("__key"), F.col("block")], "__one", "__rank")
+    pick = sums_before(pick, ["source"], "__bucket", [F.col("__key"), F.col("block")], {"__one": "__rank"})
     s = seats.withColumnRenamed("source", "__source")
     chosen = pick.join(s, pick["source"].eqNullSafe(s["__source"]) & (pick["__rank"] == s["rank"])).select(F.col("source").alias("__source"), F.col("block").alias("__block"), "seat", "shard")
     return blocks.join(chosen, blocks["source"].eqNullSafe(chosen["__source"]) & (blocks["block"] == chosen["__block"])).drop("__source", "__block")

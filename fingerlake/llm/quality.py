@@ -99,6 +99,32 @@ def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return buf, first[:-1]
 
 
+def gradients(m: ByteCNN, buf: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Of the mean weighted log loss of laid out texts: emb, conv, shift, out, bias.
+
+    The padding byte's embedding stays zero.
+    """
+    n = len(buf) // STEP - CHUNK
+    z = m.emb[buf].reshape(-1, STEP * DIM)
+    resp = np.zeros((n, FILTERS), m.emb.dtype)
+    for g in range(WIDTH // STEP):
+        resp += z[g : g + n] @ m.conv[g * STEP * DIM : (g + 1) * STEP * DIM]
+    bounds = [*(first * CHUNK), n]
+    top = np.array([a + resp[a:b].argmax(axis=0) for a, b in zip(bounds[:-1], bounds[1:])])
+    raw = resp[top, np.arange(FILTERS)] + m.shift
+    h = np.maximum(raw, 0)
+    p = 1 / (1 + np.exp(-np.clip(h @ m.out + m.bias, -30, 30)))
+    ds = ((p - y) * weight / len(y)).astype(m.emb.dtype)
+    dh = ds[:, None] * m.out * (raw > 0)
+    seen = buf[top[:, :, None] * STEP + np.arange(WIDTH)]  # docs, filters, WIDTH
+    e = m.emb[seen].reshape(len(y), FILTERS, WIDTH * DIM)
+    dconv = np.einsum("dfk,df->kf", e, dh)
+    demb = np.zeros_like(m.emb)
+    np.add.at(demb, seen.ravel(), (dh[:, :, None] * m.conv.T[None]).reshape(-1, DIM))
+    demb[0] = 0
+    return [demb, dconv, dh.sum(axis=0), h.T @ ds, np.array([ds.sum()], m.emb.dtype)]
+
+
 def fit(rows: list[tuple[str, int]], seed: int = 5, epochs: int = EPOCHS) -> ByteCNN:
     """Train on (text, quality) rows with Adam; classes weigh the same."""
     rng = np.random.default_rng(seed)
@@ -122,32 +148,13 @@ def fit(rows: list[tuple[str, int]], seed: int = 5, epochs: int = EPOCHS) -> Byt
     params = [m.emb, m.conv, m.shift, m.out, np.zeros(1, np.float32)]
     mom = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     step = 0
-    lead = WIDTH // STEP
     for epoch in range(epochs):
         order = rng.permutation(use)
         rate = RATE * (1 - epoch / epochs)
         for i in range(0, len(order), BATCH):
             ids = order[i : i + BATCH]
             buf, first = layout([crop(texts[k]) if y[k] == 1 and rng.random() < CROPPED else texts[k] for k in ids])
-            n = len(buf) // STEP - CHUNK
-            z = m.emb[buf].reshape(-1, STEP * DIM)
-            resp = np.zeros((n, FILTERS), np.float32)
-            for g in range(lead):
-                resp += z[g : g + n] @ m.conv[g * STEP * DIM : (g + 1) * STEP * DIM]
-            bounds = [*(first * CHUNK), n]
-            top = np.array([a + resp[a:b].argmax(axis=0) for a, b in zip(bounds[:-1], bounds[1:])])
-            raw = resp[top, np.arange(FILTERS)] + m.shift
-            h = np.maximum(raw, 0)
-            p = 1 / (1 + np.exp(-np.clip(h @ m.out + m.bias, -30, 30)))
-            ds = ((p - y[ids]) * weight[ids] / len(ids)).astype(np.float32)
-            dh = ds[:, None] * m.out * (raw > 0)
-            seen = buf[top[:, :, None] * STEP + np.arange(WIDTH)]  # docs, filters, WIDTH
-            e = m.emb[seen].reshape(len(ids), FILTERS, WIDTH * DIM)
-            dconv = np.einsum("dfk,df->kf", e, dh)
-            demb = np.zeros_like(m.emb)
-            np.add.at(demb, seen.ravel(), (dh[:, :, None] * m.conv.T[None]).reshape(-1, DIM))
-            demb[0] = 0
-            grads = [demb, dconv, dh.sum(axis=0), h.T @ ds, np.array([ds.sum()], np.float32)]
+            grads = gradients(m, buf, first, y[ids], weight[ids])
             step += 1
             for q, g, (a, b) in zip(params, grads, mom):
                 a += 0.1 * (g - a)

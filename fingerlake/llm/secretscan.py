@@ -18,7 +18,8 @@ Cases: null and empty texts have no secrets; the whole of a long text is
 searched; a long run is judged in pieces of ``PIECE`` characters by its worst
 piece; a run that passes as a whole is judged again by each of its segments between
 ``/ - _ = +`` and by overlapping windows of ``SHORT`` characters, so that a key behind
-a long path is not averaged away; equal rows give equal findings.
+a long path is not averaged away; equal rows give equal findings; further columns are
+carried through whatever their names.
 """
 
 from __future__ import annotations

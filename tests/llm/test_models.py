@@ -154,3 +154,38 @@ def test_spread_evidence_is_not_overruled():
     model = toxicity.NoisyOr(-2.9444, {})
     p, scored = model.document("a. " * 20)
     assert p == pytest.approx(1 - 0.95**20, abs=1e-3) and p > toxicity.THRESHOLD and len(scored) == 20
+
+
+def test_quality_gradients():
+    """Derivatives of the loss against differences, parameter by parameter."""
+    rng = np.random.default_rng(7)
+    emb = rng.normal(0, 0.5, (256, quality.DIM))
+    emb[0] = 0
+    m = quality.ByteCNN(emb, rng.normal(0, 0.2, (quality.WIDTH * quality.DIM, quality.FILTERS)), rng.normal(0, 0.1, quality.FILTERS), rng.normal(0, 0.3, quality.FILTERS), 0.1)
+    buf, first = quality.layout([prose(rng, n).encode() for n in (3, 40, 200)])
+    y, weight = np.array([1.0, 0.0, 1.0]), np.array([0.7, 1.4, 0.7])
+
+    def loss():
+        n = len(buf) // quality.STEP - quality.CHUNK
+        win = np.stack([buf[i * quality.STEP : i * quality.STEP + quality.WIDTH] for i in range(n)])
+        resp = m.emb[win].reshape(n, -1) @ m.conv
+        cuts = [*(first * quality.CHUNK), n]
+        h = np.maximum(np.stack([resp[a:b].max(0) for a, b in zip(cuts[:-1], cuts[1:])]) + m.shift, 0)
+        p = 1 / (1 + np.exp(-(h @ m.out + m.bias)))
+        return float(np.mean(-weight * (y * np.log(p) + (1 - y) * np.log(1 - p))))
+
+    got = quality.gradients(m, buf, first, y, weight)
+    for param, grad in zip((m.emb, m.conv, m.shift, m.out), got):
+        at = np.argwhere(np.abs(grad) > np.abs(grad).max() / 20)
+        for i in at[rng.choice(len(at), min(6, len(at)), False)]:
+            i, step = tuple(i), 1e-6
+            param[i] += step
+            up = loss()
+            param[i] -= 2 * step
+            down = loss()
+            param[i] += step
+            assert grad[i] == pytest.approx((up - down) / (2 * step), rel=1e-3, abs=1e-8)
+    m.bias += 1e-6
+    up = loss()
+    m.bias -= 2e-6
+    assert got[4][0] == pytest.approx((up - loss()) / 2e-6, rel=1e-3)

@@ -57,3 +57,22 @@ def test_stages_keep_columns(spark, folder):
         docs = stage(spark, docs, folder)
         assert docs.columns == [c.split(" ")[0] for c in COLUMNS.split(", ")]
         assert stage(spark, docs.where("false"), folder).count() == 0
+
+
+def test_stages_on_odd_rows(spark, folder, odd):
+    """Nulls in any column, empty and very long texts, repeated rows and clashing columns."""
+    docs = odd.withColumnRenamed("quality", "a.b").withColumn("tokens", odd["h"]).withColumn("keep", odd["h"]).withColumn("__id", odd["h"])
+    count = {"quality": None, "neardup": None, "secrets": None, "mixing": None}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        count[name] = (docs.count(), len(rows))
+        docs = spark.createDataFrame(rows, out.schema) if name != "quality" else docs
+        assert stage(spark, docs.where("false"), folder).count() == 0
+    # Quality drops texts that are null or empty; the later stages, given all rows, keep those,
+    # but for a source that has no token at all, which gets no seat.
+    assert count["quality"][1] <= 8
+    assert count["neardup"] == (12, 9) and count["secrets"] == (9, 9) and count["mixing"] == (9, 5)
+    windows = corpus_pipeline.packing_stage(spark, docs, folder).collect()
+    assert {i for w in windows for i in w.doc_ids} == {1, 6, 7, 8, 9}
