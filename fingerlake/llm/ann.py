@@ -109,18 +109,78 @@ def _by_row(table: pa.Table) -> pa.Table:
     return table.take(pa.array(np.argsort(table["row"].to_numpy(), kind="stable")))
 
 
-def _top(rows: np.ndarray, ids: np.ndarray, sims: np.ndarray, fresh: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """The ``size`` best distinct entries of each row; an entry known before stays old."""
-    order = np.lexsort((-sims, ids, rows))
-    rows, ids, sims, fresh = rows[order], ids[order], sims[order], fresh[order]
-    if len(rows):
-        once = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (ids[1:] != ids[:-1])]))
-        rows, ids, sims, fresh = rows[once], ids[once], sims[once], np.logical_and.reduceat(fresh, once)
-    order = np.lexsort((ids, -sims, rows))
-    rows, ids, sims, fresh = rows[order], ids[order], sims[order], fresh[order]
-    rank = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
-    keep = rank < size
-    return rows[keep], ids[keep], sims[keep], fresh[keep]
+def _top(at: np.ndarray, ids: np.ndarray, sims: np.ndarray, fresh: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """The ``size`` best distinct entries of each list ``at``; an entry known before stays old.
+
+    Lists and ids, then lists and similarities, are sorted as one number each.
+    """
+    order = np.argsort((at.astype(np.uint64) << np.uint64(40)) | ids.astype(np.uint64))
+    at, ids, sims, fresh = at[order], ids[order], sims[order], fresh[order]
+    if len(at):
+        once = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (ids[1:] != ids[:-1])]))
+        at, ids, sims, fresh = at[once], ids[once], np.maximum.reduceat(sims, once), np.logical_and.reduceat(fresh, once)
+    far = ((1 - np.clip(sims.astype(np.float64), -1, 1)) * (1 << 38)).astype(np.uint64)
+    order = np.argsort((at.astype(np.uint64) << np.uint64(40)) | far, kind="stable")
+    at, ids, sims, fresh = at[order], ids[order], sims[order], fresh[order]
+    head = _heads(at)
+    keep = np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at)))) < size
+    return at[keep], ids[keep], sims[keep], fresh[keep]
+
+
+class _Best:
+    """The best ``LIST`` candidates of each row, kept as sorted numbers.
+
+    A number holds the row, its distance and the candidate, rows and candidates by
+    their places in the part's tables; a part's tables are small enough for that.
+    """
+
+    def __init__(self, rows: int, candidates: int, worst: np.ndarray):
+        self.bits = max(1, (candidates - 1).bit_length())
+        self.far = min(32, 64 - self.bits - max(1, (rows - 1).bit_length()))
+        if self.far < 20:
+            raise ValueError(f"a part with {rows} and {candidates} vectors is too large")
+        self.scale = ((1 << self.far) - 1) / 2.0
+        self.worst = worst.copy()
+        self.keys: list[np.ndarray] = []
+        self.held = self.pending = 0
+
+    def add(self, u: np.ndarray, v: np.ndarray, s: np.ndarray) -> None:
+        """Offer ``v`` to ``u``."""
+        far = ((1 - np.clip(s.astype(np.float64), -1, 1)) * self.scale).astype(np.uint64)
+        self.keys.append((((u.astype(np.uint64) << np.uint64(self.far)) | far) << np.uint64(self.bits)) | v.astype(np.uint64))
+        self.pending += len(u)
+        if self.pending > 3_000_000 + self.held:
+            self.squeeze()
+
+    def _rows(self, k: np.ndarray) -> np.ndarray:
+        return (k >> np.uint64(self.far + self.bits)).astype(np.int64)
+
+    def _sims(self, k: np.ndarray) -> np.ndarray:
+        return 1 - ((k >> np.uint64(self.bits)) & np.uint64((1 << self.far) - 1)).astype(np.float64) / self.scale
+
+    def squeeze(self) -> None:
+        k = np.concatenate([np.zeros(0, np.uint64), *self.keys])
+        k.sort()
+        if len(k):
+            k = k[np.concatenate([[True], k[1:] != k[:-1]])]
+        head = _heads(self._rows(k))
+        rank = np.arange(len(k)) - np.repeat(head, np.diff(np.append(head, len(k))))
+        last = k[rank == LIST - 1]
+        # A full row wants nothing worse than its last, but for the rounding of distances.
+        at = self._rows(last)
+        self.worst[at] = np.maximum(self.worst[at], self._sims(last) - 2 / self.scale)
+        k = k[rank < LIST]
+        self.keys, self.held, self.pending = [k], len(k), 0
+
+    def answer(self, rows: np.ndarray, ids: np.ndarray, span: int) -> pa.Table:
+        """Candidate lists of ``rows``, which name the rows by place as ``ids`` the candidates."""
+        self.squeeze()
+        k = self.keys[0]
+        at = self._rows(k)
+        head = _heads(at)
+        off = np.append(head, len(at))
+        to = rows[at[head]]
+        return pa.table([pa.array(to // span), pa.array(to), _packed(off, ids[(k & np.uint64((1 << self.bits) - 1)).astype(np.int64)]), _packed(off, self._sims(k).astype(_S))], names=["part", "row", "ids", "sims"])
 
 
 def _leaf_lists(seed: int, size: int, span: int):
@@ -146,7 +206,7 @@ def _leaf_lists(seed: int, size: int, span: int):
                 best = np.argpartition(-g, k - 1, axis=1)[:, :k]
                 out.append((np.repeat(rows[ix], k), rows[ix][best].ravel(), np.take_along_axis(g, best, 1).ravel()))
         if not out:
-            return _answer([], [], [], span, size)
+            return _nothing()
         r, i, s = (np.concatenate(v) for v in zip(*out))
         order = np.argsort(r, kind="stable")
         rows_out, lists = _lists(r[order], i[order], s[order].astype(np.float32))
@@ -171,11 +231,10 @@ def _merge(size: int):
         _, fresh = _ragged(state["fresh"], _F)
         cn, cids = _ragged(cand["ids"], _I)
         _, csims = _ragged(cand["sims"], _S)
-        crow = np.repeat(cand["row"].to_numpy(), cn)
-        r, i, s, f = _top(np.concatenate([np.repeat(rows, ln), crow]), np.concatenate([ids, cids]), np.concatenate([sims, csims]), np.concatenate([fresh, np.ones(len(cids), bool)]), size)
-        off = np.concatenate([np.searchsorted(r, rows, side="left"), [len(r)]])
-        rank = np.arange(len(r)) - np.repeat(off[:-1], np.diff(off))
-        owner = np.repeat(np.arange(len(rows)), np.diff(off))
+        at = np.concatenate([np.repeat(np.arange(len(rows)), ln), np.repeat(np.searchsorted(rows, cand["row"].to_numpy()), cn)])
+        owner, i, s, f = _top(at, np.concatenate([ids, cids]), np.concatenate([sims, csims]), np.concatenate([fresh, np.ones(len(cids), bool)]), size)
+        off = np.searchsorted(owner, np.arange(len(rows) + 1))
+        rank = np.arange(len(owner)) - np.repeat(off[:-1], np.diff(off))
         news = np.bincount(owner[f], minlength=len(rows))
         ahead = np.bincount(owner[f & (rank < BEAM)], minlength=len(rows)) > 0
         return pa.table([state["part"], state["row"], state["vec"], _packed(off, i), _packed(off, s.astype(_S)), _packed(off, f), pa.array(news), pa.array(ahead)], names=["part", "row", "vec", "ids", "sims", "fresh", "news", "ahead"])
@@ -246,12 +305,9 @@ def _visits(span: int):
     return run
 
 
-def _answer(a: list, b: list, g: list, span: int, size: int) -> pa.Table:
-    """Candidates (a gets b) without repeats, the best ``size`` for each a."""
-    r, i, s = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((a, _I), (b, _I), (g, _S)))
-    r, i, s, _ = _top(r, i, s, np.zeros(len(r), bool), size)
-    rows, lists = _lists(r, i, s.astype(_S))
-    return pa.table([pa.array(rows // span), pa.array(rows), *lists], names=["part", "row", "ids", "sims"])
+def _nothing() -> pa.Table:
+    """No candidates."""
+    return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.binary())], names=["part", "row", "ids", "sims"])
 
 
 def _meet(span: int):
@@ -267,15 +323,8 @@ def _meet(span: int):
         order = np.lexsort((ix, ~new, host))
         host, ix, new = host[order], ix[order], new[order]
         cuts = np.concatenate([_heads(host), [len(host)]])
-        a, b, g = [], [], []
-        pend = 0
-
-        def squeeze() -> None:
-            nonlocal a, b, g, pend
-            if pend:
-                r, i, s, _ = _top(np.concatenate(a), np.concatenate(b), np.concatenate(g), np.zeros(pend, bool), LIST)
-                a, b, g, pend = [r], [i], [s], len(r)
-
+        best = _Best(len(rows), len(rows), worst)
+        worst = best.worst
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             n_new = int(new[lo:hi].sum())
             if not n_new:
@@ -286,17 +335,11 @@ def _meet(span: int):
             for i, j in itertools.product(range(0, n_new, TILE), range(0, len(every), TILE)):
                 fi, ej = fresh_ix[i : i + TILE], every[j : j + TILE]
                 sim = x[fi] @ x[ej].T
-                p, q = np.nonzero(sim > np.minimum(worst[fi][:, None], worst[ej][None, :]))
-                u, v, s = fi[p], ej[q], sim[p, q]
-                for m, n in ((u, v), (v, u)):
-                    ok = (s > worst[m]) & (m != n)
-                    a.append(rows[m[ok]])
-                    b.append(rows[n[ok]])
-                    g.append(s[ok])
-                    pend += int(ok.sum())
-                if pend > 3_000_000 + (len(a[0]) if a else 0):
-                    squeeze()
-        return _answer(a, b, g, span, LIST)
+                for u, v, s in ((fi, ej, sim), (ej, fi, sim.T)):
+                    p, q = np.nonzero(s > worst[u][:, None])
+                    ok = u[p] != v[q]
+                    best.add(u[p[ok]], v[q[ok]], s[p[ok], q[ok]])
+        return best.answer(rows, rows, span)
 
     return run
 
@@ -484,7 +527,7 @@ def _look(span: int, own: bool):
 
     def run(here: pa.Table, asking: pa.Table) -> pa.Table:
         if not asking.num_rows or not here.num_rows:
-            return _answer([], [], [], span, LIST)
+            return _nothing()
         here, asking = _by_row(here), _by_row(asking)
         x, y = _matrix(here["vec"]), _matrix(asking["vec"])
         ids, rows, worst = here["row"].to_numpy(), asking["row"].to_numpy(), asking["worst"].to_numpy()
@@ -496,20 +539,18 @@ def _look(span: int, own: bool):
         order = np.argsort(qh, kind="stable")
         qh, qi = qh[order], qi[order]
         cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], qh[1:] != qh[:-1]])), [len(qh)]])
-        a, b, g = [], [], []
+        best = _Best(len(rows), len(ids), worst)
         for lo, hi_ in zip(cuts[:-1], cuts[1:]):
             l, r = np.searchsorted(hh, [qh[lo], qh[lo] + 1])
             if l == r:
                 continue
             q, w = qi[lo:hi_], hi[l:r]
             sim = y[q] @ x[w].T
-            m, n = np.nonzero(sim > worst[q][:, None])
-            ra, rb = rows[q[m]], ids[w[n]]
-            ok = ra != rb if own else np.ones(len(ra), bool)
-            a.append(ra[ok])
-            b.append(rb[ok])
-            g.append(sim[m, n][ok])
-        return _answer(a, b, g, span, LIST)
+            m, n = np.nonzero(sim > best.worst[q][:, None])
+            m_, n_ = q[m], w[n]
+            ok = rows[m_] != ids[n_] if own else np.ones(len(m), bool)
+            best.add(m_[ok], n_[ok], sim[m[ok], n[ok]])
+        return best.answer(rows, ids, span)
 
     return run
 
