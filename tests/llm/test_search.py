@@ -1,8 +1,9 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from fingerlake.llm import ann, topk
+from fingerlake.llm import ann, ivf, queries, topk
 
 from .conftest import frame, prose
 from .test_layout import rows, sql
@@ -137,3 +138,59 @@ def test_topk_odd_ids_and_blanks(spark, monkeypatch):
     assert rows(topk.top_documents(docs, queries, 4)) == want and want
     monkeypatch.setattr(topk, "BROADCAST_ROWS", 0)
     assert rows(topk.top_documents(docs, queries, 4)) == want
+
+
+def brute(x, ids, k=10):
+    """By query: the ids of its ``k`` nearest, smaller id first where cosines are equal."""
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    out = {}
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = np.round(u @ u[i], 9)
+        s[i] = -2
+        out[int(ids[i])] = ids[np.lexsort((ids, -s))[:k]].tolist()
+    return out
+
+
+def answers(df):
+    got = {}
+    for r in sorted(df.collect(), key=lambda r: (r.vec_id, r["rank"])):
+        got.setdefault(r.vec_id, []).append(r.neighbour_id)
+    return got
+
+
+def test_op1_asks_for_every_fiftieth_row(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1200, 16)).astype(np.float32)
+    x[300:340] = x[50]
+    vectors(spark, x).write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = queries.op1_ann(spark, str(tmp_path))
+    assert out.columns == ["vec_id", "rank", "neighbour_id", "similarity"]
+    assert answers(out) == brute(x, np.arange(1200))
+
+
+def test_index_reaches_its_recall_and_splits_a_hot_list(spark, monkeypatch):
+    monkeypatch.setattr(ivf, "EXACT_PAIRS", 0)
+    monkeypatch.setattr(ivf, "_parts", lambda size, room, real=ivf._parts: real(size, 300))
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6000, 24)).astype(np.float32)
+    x[1000:2500] = x[7]
+    df = vectors(spark, x)
+    asks = F.col("vec_id") % 50 == 0
+    got, want = answers(ivf.nearest(df, asks)), brute(x, np.arange(6000))
+    assert got.keys() == want.keys() and all(len(v) == 10 for v in got.values())
+    assert np.mean([len(set(got[i]) & set(want[i])) / 10 for i in want]) >= 0.9
+    # Of a thousand equal vectors in several parts, the smallest ids.
+    assert got[1050] == [7, *range(1000, 1009)]
+    assert found(ivf.nearest(df, asks)) == found(ivf.nearest(df.repartition(7), asks))
+
+
+def test_index_on_odd_vectors(spark, monkeypatch):
+    data = [(0, [1.0, 0.0], "a"), (0, [1.0, 0.0], "a"), (None, [0.0, 2.0], None), (50, None, "a"), (100, [0.0, 0.0], "a"), (150, [float("nan"), 1.0], "a"), (200, [1.0], "a"), (250, [1.0, None], "a")]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, row string")
+    asks = F.col("vec_id") % 50 == 0
+    for pairs in (0, ivf.EXACT_PAIRS):
+        monkeypatch.setattr(ivf, "EXACT_PAIRS", pairs)
+        got = ivf.nearest(df, asks).collect()
+        assert sorted((r.vec_id, r["rank"], r.neighbour_id is None) for r in got) == [(0, 1, False), (0, 1, False), (0, 2, True), (0, 2, True)]
+        assert [r.similarity for r in got if r["rank"] == 1] == [1.0, 1.0]
+        assert ivf.nearest(df.where("false"), asks).count() == 0 and ivf.nearest(df, F.lit(False)).count() == 0
