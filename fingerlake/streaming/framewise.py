@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from fingerlake.plans.lineage import adopt, discard, drop_path, own, shared_dir
+
 
 def framewise_stream(frames: DataFrame, threshold: float, metric: str = "euclidean") -> DataFrame:
     """Frames kept so far, as they arrive: (video_id, frame_index, vec).
@@ -51,3 +55,42 @@ def mean_stream(frames: DataFrame, watermark: str = "10 minutes", window: str =
     """
     e = frames.withWatermark("ts", watermark).select("video_id", "ts", F.posexplode("vec").alias("i", "x"))
     return e.groupBy("video_id", F.window("ts", window), "i").agg(F.avg("x").alias("mean"))
+
+
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB and not on the heap."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
+def run_to_end(stream: DataFrame, label: str = "stream") -> DataFrame:
+    """The whole result of an aggregated stream once all that is there has been read.
+
+    Each trigger's complete result is written by the executors to the shared folder
+    and replaces the one before, so the driver holds no rows.
+    """
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/fl-{label}-{uuid.uuid4().hex}"
+    state = own(spark, f"{base}-state")
+    last: list[DataFrame] = []
+
+    def write(df: DataFrame, batch: int) -> None:
+        path = f"{base}-{batch}"
+        df.write.mode("overwrite").parquet(path)
+        while last:
+            discard(last.pop())
+        last.append(adopt(spark, path, stream.schema))
+
+    try:
+        with _state_on_disk(spark):
+            q = stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", state).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        drop_path(spark, state)
+    return last[0] if last else spark.createDataFrame([], stream.schema)

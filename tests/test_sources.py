@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from fingerlake import registry
 from fingerlake.sources import frames, lookup
 from fingerlake.streaming.framewise import framewise_stream, mean_stream
 
@@ -70,6 +71,20 @@ def test_mean_stream(spark, tmp_path):
     assert got == {0: 2.0, 1: 3.0}
 
 
+def test_stream_of_a_folder_runs_to_its_end_without_the_driver(spark, tmp_path):
+    day = pd.to_datetime("2024-01-01")
+    for f in range(3):
+        (tmp_path / "events.parquet").mkdir(exist_ok=True)
+        n = np.arange(2000) + 2000 * f
+        pd.DataFrame({"event_id": n, "ts": (day + pd.to_timedelta(n % 7, "h")).astype("datetime64[us]"), "user_id": n % 500, "event_type": "view", "value": n / 8, "props": ""}).to_parquet(tmp_path / "events.parquet" / f"{f}.parquet")
+    n = np.arange(6000)
+    want = pd.DataFrame({"video_id": n % 500, "start": 1704067200 + 3600 * (n % 7), "mean": n / 8}).groupby(["video_id", "start"])["mean"].mean().round(6)
+    before = {t.name for t in spark.catalog.listTables()}
+    rows = registry.stream_window_mean(spark, str(tmp_path)).collect()
+    assert len(rows) == len(want) and {(r.video_id, r.start): r["mean"] for r in rows} == want.to_dict()
+    assert {t.name for t in spark.catalog.listTables()} == before  # no table in the driver's memory
+
+
 FAKE = """#!{python}
 import json, sys
 import numpy as np
