@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fingerlake.functions import nearest
 from fingerlake.functions.distance import distance
 from fingerlake.plans.lineage import materialize
 from fingerlake.plans.running import ranged, sums_before
+from fingerlake.plans.strategy import blocks
 
 HASH_COLUMNS = ("error", "filepath", "hash", "hasher_name", "hasher_dtype", "hasher_distance_metric", "hasher_hash_length", "category", "guid", "input_filepath", "transform_name")
 METRIC_COLUMNS = ("guid", "transform_name", "hasher_name", "category", "distance_to_closest_correct_image", "distance_to_closest_incorrect_image", "distance_to_closest_image", "closest_incorrect_guid")
@@ -43,23 +45,8 @@ def union_distinct(*hashsets: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-#: Rows of a block that are compared with rows of another at once.
-BLOCK = 2048
-
-
-def _between(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
-    """All distances, by differences rather than products, so that equal ones tie."""
-    out = np.empty((len(x), len(y)))
-    step = max(1, 4_000_000 // max(1, y.size))
-    for at in range(0, len(x), step):
-        part = x[at : at + step, None, :]
-        if metric == "hamming":
-            out[at : at + step] = (part != y[None]).mean(2)
-        elif metric == "cosine":
-            out[at : at + step] = 1 - (part * y[None]).sum(2) / (np.linalg.norm(part, axis=2) * np.linalg.norm(y, axis=1)[None])
-        else:
-            out[at : at + step] = ((part - y[None]) ** 2).sum(2)
-    return np.sqrt(out) if metric == "euclidean" else out
+#: Rows of a block that are compared with rows of another at once; None for as many as ``strategy.blocks`` says.
+BLOCK: int | None = None
 
 
 def metrics(hashes: DataFrame, metric: str = "euclidean", vec_col: str = "vec", warn: bool = False) -> DataFrame:
@@ -71,8 +58,9 @@ def metrics(hashes: DataFrame, metric: str = "euclidean", vec_col: str = "vec",
     and guids that lack either side, are left out; with ``warn`` null hashes are counted
     first and named in a warning. Of equally near incorrect guids the smallest is named.
 
-    Blocks of both sides are compared in numpy, so a category's n^2 work is spread
-    over its pairs of blocks, and only each row's best of a block are shuffled. A
+    Blocks of both sides are compared by matrix products, so a category's n^2 work is spread
+    over its pairs of blocks, and only each row's best of a block are shuffled. What the products
+    cannot tell apart is compared by differences, so that equal distances tie. A
     registered metric is an expression and is joined pair by pair.
     """
     custom = metric not in ("euclidean", "sqeuclidean", "cosine", "hamming")
@@ -92,8 +80,8 @@ def metrics(hashes: DataFrame, metric: str = "euclidean", vec_col: str = "vec",
         right = F.col("guid") == F.col("n_guid")
         pair = t.join(n, keys).withColumn("d", distance(metric, "vec", "n_vec"))
         return _nearest(t, pair.select(F.col("__row").alias("row"), F.when(right, F.col("d")).alias("right"), F.when(~right, F.col("d")).alias("wrong"), F.when(~right, F.col("n_guid")).alias("wrong_guid")))
-    blocks = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    sizes = blocks(t, "tn").join(blocks(noop, "nn"), keys)
+    count = lambda df, name: df.groupBy(*keys).agg(blocks(F.count("*"), BLOCK).alias(name))
+    sizes = count(t, "tn").join(count(noop, "nn"), keys)
     left = t.join(sizes, keys).select(*keys, "__row", "guid", "vec", F.pmod(F.xxhash64("__row"), F.col("tn")).cast("int").alias("lo"), F.explode(F.sequence(F.lit(0), F.col("nn") - 1)).alias("hi"))
     right = noop.join(sizes, keys).select(*[F.col(c).alias(f"n_{c}") for c in keys], F.col("guid").alias("n_guid"), F.col("vec").alias("n_vec"), F.pmod(F.xxhash64("guid"), F.col("nn")).cast("int").alias("n_hi"), F.explode(F.sequence(F.lit(0), F.col("tn") - 1)).alias("n_lo"))
     guid = h.schema["guid"].dataType.simpleString()
@@ -107,13 +95,15 @@ def metrics(hashes: DataFrame, metric: str = "euclidean", vec_col: str = "vec",
         if not a.num_rows or not b.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.float64()), a["guid"].slice(0, 0)], names=names)
         b = b.sort_by("n_guid")
-        d = _between(flat(a["vec"]), flat(b["n_vec"]), metric)
-        theirs = np.array(b["n_guid"].to_pylist(), object)
-        own = np.array(a["guid"].to_pylist(), object)[:, None] == theirs[None, :]
-        near = np.where(own, d, np.inf).min(1)
-        far = np.where(own, np.inf, d)
-        at = far.argmin(1)
-        wrong = far[np.arange(len(at)), at]
+        x, y = flat(a["vec"]), flat(b["n_vec"])
+        codes = np.unique(np.array(a["guid"].to_pylist() + b["n_guid"].to_pylist()), return_inverse=True)[1]
+        own = codes[: len(x)], codes[len(x) :]
+        near = nearest.nearest_same(x, y, metric, own)
+        i, j, d = nearest.nearest(x, y, 1, metric, own)
+        at, wrong = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+        at[i], wrong[i] = j, d
+        if metric == "euclidean":
+            near, wrong = np.sqrt(near), np.sqrt(wrong)
         none = ~np.isfinite(wrong)
         named = b["n_guid"].combine_chunks().take(pa.array(at, mask=none))
         return pa.table([a["__row"], pa.array(near, mask=~np.isfinite(near)), pa.array(wrong, mask=none), named], names=names)
@@ -186,6 +176,8 @@ def threshold_recall(m: DataFrame, precision: float = 99.9, grouping: list[str]
     grouping = ["category", "transform_name"] if grouping is None else grouping
     keys = [*grouping, "hasher_name"]
     inner = list(dict.fromkeys([*keys, "guid", "transform_name"]))
+    # Written, as it is read several times and may stand for a comparison of all pairs.
+    m = materialize(m.select(*inner, "distance_to_closest_correct_image", "distance_to_closest_incorrect_image"), "metrics")
     least = m.groupBy(*inner).agg(F.min("distance_to_closest_correct_image").alias("pos"), F.min("distance_to_closest_incorrect_image").alias("neg"))
     n = m.groupBy(*keys).agg(F.count("*").alias("n_exemplars"))
     return threshold_precision_recall(least, keys, precision).join(n, keys)
