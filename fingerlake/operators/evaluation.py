@@ -189,6 +189,7 @@ def histograms(m: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
     ``(by..., bin, low, high, n_correct, n_incorrect)``, bins from 0.
     """
     pos, neg = "distance_to_closest_correct_image", "distance_to_closest_incorrect_image"
+    m = materialize(m.select(*by, pos, neg), "metrics")  # read twice
     top = m.groupBy(*by).agg(F.greatest(F.max(pos), F.max(neg)).alias("top"))
     e = m.select(*by, F.explode(F.array(F.struct(F.col(pos).alias("x"), F.lit(1).alias("p")), F.struct(F.col(neg).alias("x"), F.lit(0).alias("p")))).alias("e")).where("e.x is not null").join(top, by)
     e = e.withColumn("bin", F.when(F.col("top") == 0, 0).otherwise(F.least(F.lit(bins - 1), F.floor(F.col("e.x") * bins / F.col("top")))).cast("int"))
@@ -199,6 +200,7 @@ def histograms(m: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
 def earth_mover(m: DataFrame, by: list[str]) -> DataFrame:
     """``(by..., emd)``: area between both distances' distribution functions."""
     pos, neg = "distance_to_closest_correct_image", "distance_to_closest_incorrect_image"
+    m = materialize(m.select(*by, pos, neg), "metrics")  # ranges are found by a first reading
     e = m.select(*by, F.explode(F.array(F.struct(F.col(pos).alias("x"), F.lit(1).alias("p")), F.struct(F.col(neg).alias("x"), F.lit(0).alias("p")))).alias("e")).where("e.x is not null")
     keys = by or ["__all"]
     e = e.withColumn("__all", F.lit(0)).select(*keys, "e.x", "e.p").groupBy(*keys, "x").agg(F.sum("p").alias("p"), F.sum(1 - F.col("p")).alias("n"))
