@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fingerlake.functions.codecs import encode
 from fingerlake.functions.images import ImageHash, isometric, watermark
 from fingerlake.operators.similarity import threshold_pairs, union_pairs
+from fingerlake.plans.lineage import materialize
 
 RECORD = "filepath string, hash string, quality int, variant string, error string, hasher_name string, hasher_dtype string, hasher_distance_metric string, hasher_hash_length int"
 
@@ -144,7 +145,8 @@ def deduplicate_files(images: DataFrame, hashers: Iterable[tuple[ImageHash, floa
     for h, t in hashers:
         got = hash_images(files, [h], variants=variants).where("hash is not null")
         vec = string_to_vector(h.dtype, h.length)(F.col("hash"))
-        v = got.select(F.xxhash64("filepath").alias("id"), F.transform(vec, lambda x: x.cast("double")).alias("vec"))
+        v = got.select(F.xxhash64("filepath").alias("id"), vec.cast("array<tinyint>" if h.dtype == "bool" else "array<double>").alias("vec"))
+        v = materialize(v, "hashes")  # images are hashed once, though counted and compared
         parts.append(threshold_pairs(v, t, h.metric, length=h.length).select("id1", "id2"))
     pairs = union_pairs(*parts)
     a, b = ids.select(F.col("filepath").alias("p1"), F.col("id").alias("id1")), ids.select(F.col("filepath").alias("p2"), F.col("id").alias("id2"))
